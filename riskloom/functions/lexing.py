@@ -11,6 +11,7 @@ import tokenize
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import fixed
 
@@ -44,11 +45,11 @@ def shown_tokens(code: str) -> list[str]:
 
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def lex_model_tokens(code: pd.Series) -> pd.Series:
     return code.map(model_tokens, na_action="ignore")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def lex_shown_tokens(code: pd.Series) -> pd.Series:
     return code.map(shown_tokens, na_action="ignore")

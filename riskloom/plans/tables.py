@@ -265,6 +265,8 @@ def with_ctes(needs, body: str, **more: str) -> str:
         for name in (*NEEDS.get(need, ()), need):
             names[name] = CTE[name]
     names |= more
+    if not names:
+        return body
     recursive = "RECURSIVE " if any("UNION ALL" in s and f"FROM {n}" in s
                                     for n, s in more.items()) else ""
     return ("WITH " + recursive + ", ".join(

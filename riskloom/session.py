@@ -17,6 +17,7 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8,
     return (
         SparkSession.builder.master(f"local[{cpus}]").appName("riskloom")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
