@@ -84,8 +84,8 @@ def _indent_line(line: Column) -> Column:
     tabs = F.length(lead) - F.length(F.replace(lead, F.lit("\t"), F.lit("")))
     spaces = F.length(lead) - F.length(F.replace(lead, F.lit(" "), F.lit("")))
     level = F.floor((tabs * 4 + spaces) / 4).cast("int")
-    return F.concat(F.repeat(F.lit("    "), level),
-                    F.substring(line, F.length(lead) + 1, F.length(line)))
+    body = F.substring(line, F.length(lead) + 1, F.length(line))
+    return F.when(body == "", "").otherwise(F.concat(F.repeat(F.lit("    "), level), body))
 
 
 def normalise_indent(code: Column) -> Column:

@@ -14,28 +14,29 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import scoring, text
-from .skew import salted_join
+from .skew import compute_once, salted_join
 
 
 def clean_labelled(df: DataFrame, min_length: int = 10) -> DataFrame:
     """`code, language, safety` to `code_clean, language, safety, label, code_hash`."""
     safety = F.lower(text.strip(F.col("safety")))
-    return (df.dropna(subset=["code", "safety"])
+    kept = (df.dropna(subset=["code", "safety"])
             .withColumn("language", F.lower(text.strip(
                 F.coalesce(F.col("language"), F.lit("Other")))))
             .withColumn("safety", safety)
             .where(F.col("safety").isin("vulnerable", "safe"))
-            .withColumn("label", (F.col("safety") == "vulnerable").cast("int"))
-            .withColumn("code_clean", text.clean_text(F.col("code")))
+            .withColumn("label", (F.col("safety") == "vulnerable").cast("int")))
+    return (compute_once(kept, code_clean=text.clean_text(F.col("code")))
             .where(F.length("code_clean") > min_length)
             .withColumn("code_hash", F.sha2("code_clean", 256))
             .drop("code"))
 
 
 def conflicting(df: DataFrame, key: str = "code_hash", label: str = "label") -> DataFrame:
-    """Keys that occur with more than one label."""
-    return (df.groupBy(key).agg(F.min(label).alias("_lo"), F.max(label).alias("_hi"))
-            .where("_lo <> _hi").select(key))
+    """Keys that occur with more than one label, with their number of rows."""
+    return (df.groupBy(key).agg(F.min(label).alias("_lo"), F.max(label).alias("_hi"),
+                                F.count("*").alias("n_rows"))
+            .where("_lo <> _hi").select(key, "n_rows"))
 
 
 def drop_conflicting(df: DataFrame, key: str = "code_hash", label: str = "label",
@@ -44,7 +45,7 @@ def drop_conflicting(df: DataFrame, key: str = "code_hash", label: str = "label"
 
     The rows of a much-copied key are shared out by salt; the conflicting keys are few.
     """
-    return salted_join(df, conflicting(df, key, label), [key], "left_anti", [ord])
+    return salted_join(df, conflicting(df, key, label), [key], "left_anti", [ord], "n_rows")
 
 
 def dedupe_first(df: DataFrame, keys: Sequence[str] = ("code_hash", "label"),
@@ -77,8 +78,8 @@ def normalise(df: DataFrame, code: str = "code_clean", language: Column | None =
               tokenise=text.corpus_tokens) -> DataFrame:
     """Add `normalized_code`, `tokens`, `token_length`; rows without tokens are dropped."""
     lang = F.col("language") if language is None else language
-    return (df.withColumn("normalized_code", text.normalise_code(F.col(code), lang))
-            .withColumn("tokens", tokenise(F.col("normalized_code")))
+    normal = compute_once(df, normalized_code=text.normalise_code(F.col(code), lang))
+    return (compute_once(normal, tokens=tokenise(F.col("normalized_code")))
             .withColumn("token_length", F.size("tokens"))
             .where("token_length > 0"))
 
@@ -93,7 +94,7 @@ def union_corpora(parts: Sequence[DataFrame], ord: str = "ord",
     tagged = [p.withColumn(ord, F.concat(F.lit(f"{i:03d}:"), F.lpad(
         F.col(ord).cast("string"), 63, "0"))) for i, p in enumerate(parts)]
     both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
-    both = both.withColumn("_h", F.sha2("normalized_code", 256))
+    both = compute_once(both, _h=F.sha2("normalized_code", 256))
     out = (resolve_copies(both, "_h", ord=ord) if drop_conflicts
            else dedupe_first(both, ("_h", "label"), ord))
     return out.drop("_h")
@@ -141,12 +142,12 @@ def encode_tokens(df: DataFrame, vocabulary: DataFrame, key: str, tokens: str =
     most `length` pairs per row.
     """
     spots = df.select(key, F.posexplode(F.slice(tokens, 1, length)).alias("pos", "token"))
-    vocab = vocabulary.select("token", "id")
+    vocab = vocabulary.select("token", F.col("id").alias("_id"))
     if vocabulary_size <= max_broadcast:
         looked = spots.join(F.broadcast(vocab), "token", "left")
     else:
         looked = salted_join(spots, vocab, ["token"], "left", [key, "pos"])
-    pair = F.struct("pos", F.coalesce("id", F.lit(fixed.UNK_ID)).alias("id"))
+    pair = F.struct("pos", F.coalesce("_id", F.lit(fixed.UNK_ID)).alias("id"))
     ids = (looked.groupBy(key).agg(F.array_sort(F.collect_list(pair)).alias("_p"))
            .select(key, F.transform("_p", lambda p: p["id"]).alias("_ids")))
     empty = F.array().cast("array<int>")

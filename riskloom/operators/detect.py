@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..fixed import Rule
 from ..functions import scoring, text
+from .skew import compute_once
 
 _SEP = "\x01"
 REMEDIATION_FIELDS = ("title", "description", "vulnerable_example", "secure_example")
@@ -34,7 +35,7 @@ def match_rules(df: DataFrame, code: str = "code",
         return F.when(cond, F.lit(rule.token))
 
     category = F.create_map(*[F.lit(x) for r in rules for x in (r.token, r.cwe)])
-    joined = lowered.withColumn("_hits", F.concat_ws(_SEP, *[hit(r) for r in rules]))
+    joined = compute_once(lowered, _hits=F.concat_ws(_SEP, *[hit(r) for r in rules]))
     matched = F.when(F.col("_hits") == "", F.array().cast("array<string>")).otherwise(
         F.split("_hits", _SEP))
     first = F.nullif(F.substring_index("_hits", _SEP, 1), F.lit(""))
@@ -179,6 +180,31 @@ def scan_counters(findings: DataFrame, keys: Sequence[str], file: str) -> DataFr
         F.greatest(F.count_distinct(file), F.lit(1)).alias("files"))
 
 
+def scan_profile(findings: DataFrame, keys: Sequence[str], file: str,
+                 categories: Sequence[str]) -> DataFrame:
+    """`scan_counters` plus the number of categories found and the most frequent one.
+
+    One pass: rows are summed up per file, with one counter per category of the rule table,
+    and the files per key. Ties go to the earlier category.
+    """
+    per_file = findings.groupBy(*keys, file).agg(
+        F.count("*").alias("total"), F.count_if("is_vulnerable").alias("vulnerable"),
+        F.count_if(F.col("risk_level") == "HIGH").alias("high_risk"),
+        *[F.count_if(F.col("cwe_category") == c).alias(f"_c{i}")
+          for i, c in enumerate(categories)])
+    summed = per_file.groupBy(*keys).agg(
+        F.sum("total").alias("total"), F.sum("vulnerable").alias("vulnerable"),
+        F.sum("high_risk").alias("high_risk"), F.count("*").alias("files"),
+        *[F.sum(f"_c{i}").alias(f"_c{i}") for i in range(len(categories))])
+    ranked = F.array(*[F.struct(F.col(f"_c{i}").alias("n"), F.lit(-i).alias("rank"),
+                                F.lit(c).alias("cwe")) for i, c in enumerate(categories)])
+    seen = F.filter(ranked, lambda s: s["n"] > 0)
+    return (summed.withColumn("safe", F.col("total") - F.col("vulnerable"))
+            .withColumn("cwes", F.nullif(F.size(seen), F.lit(0)).cast("bigint"))
+            .withColumn("top_cwe", F.array_max(seen)["cwe"])
+            .drop(*[f"_c{i}" for i in range(len(categories))]))
+
+
 def with_grade(counters: DataFrame) -> DataFrame:
     rate = scoring.vulnerability_rate(F.col("vulnerable"), F.col("total"))
     return (counters.withColumn("_rate", rate)

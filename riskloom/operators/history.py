@@ -106,11 +106,10 @@ def unique_violations(batch: DataFrame, existing: DataFrame, column: str) -> Dat
     owner = existing.select(column, F.col("id").alias("_owner"))
     known = repeats.join(owner, column, "left").where(
         (F.col("_n") > 1) | F.col("_owner").isNotNull())
-    joined = salted_join(batch, known, [column], "inner", ["id"])
+    known = known.withColumn("repeated", F.col("_n") > 1)
+    joined = salted_join(batch, known, [column], "inner", ["id"], "_n")
     taken = F.coalesce(F.col("_owner") != F.col("id"), F.lit(False))
-    repeated = F.col("_n") > 1
-    return (joined.withColumn("taken", taken).withColumn("repeated", repeated)
-            .where("taken or repeated").drop("_n", "_owner"))
+    return joined.withColumn("taken", taken).where("taken or repeated").drop("_owner")
 
 
 def user_dashboard(scans: DataFrame) -> dict[str, DataFrame]:

@@ -80,16 +80,17 @@ def evaluate_scores(scored: DataFrame, threshold: Column | float) -> DataFrame:
     return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
-def token_weights(df: DataFrame, weights: DataFrame, key: str, tokens: str = "tokens"
-                  ) -> DataFrame:
-    """Contribution of each token of a row: `weights` holds (token, weight).
+def token_weights(df: DataFrame, weights: DataFrame, key: str, tokens: str = "tokens",
+                  count: str | None = None) -> DataFrame:
+    """Contribution of each token of a row: `weights` holds (token, weight) and, if
+    `count` names it, how often the token occurs.
 
     Gives `array<struct<token,weight,pos>>` for `detect.ranked_tokens`. Tokens are first
     counted per row, so a row sends each distinct token once.
     """
     spots = (df.select(key, F.posexplode(tokens).alias("pos", "token"))
-             .groupBy(key, "token").agg(F.count("*").alias("n"), F.min("pos").alias("pos")))
-    scored = salted_join(spots, weights, ["token"], "left", [key]).select(
-        key, F.struct("token", (F.coalesce("weight", F.lit(0.0)) * F.col("n")).alias("weight"),
+             .groupBy(key, "token").agg(F.count("*").alias("times"), F.min("pos").alias("pos")))
+    scored = salted_join(spots, weights, ["token"], "left", [key], count).select(
+        key, F.struct("token", (F.coalesce("weight", F.lit(0.0)) * F.col("times")).alias("weight"),
                       "pos").alias("w"))
     return scored.groupBy(key).agg(F.array_sort(F.collect_list("w")).alias("token_weights"))

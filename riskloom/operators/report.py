@@ -26,12 +26,12 @@ def report_columns(findings: DataFrame, default_file: Column | None = None) -> D
     return findings.withColumn("filename", name).select(*FINDING_COLUMNS)
 
 
-def file_labels(findings: DataFrame, chunk: int, scan: str = "scan_id", ord: str = "ord",
-                file: str = "filename") -> DataFrame:
+def file_labels(firsts: DataFrame, chunk: int, scan: str = "scan_id", file: str = "filename"
+                ) -> DataFrame:
     """`File n` per scan and file, numbered by first appearance."""
-    first = findings.groupBy(scan, file).agg(F.min(ord).alias("_first"))
-    numbered = number_rows(first, [scan], "_first", "_n", chunk)
-    return numbered.select(scan, file, F.concat(F.lit("File "), "_n").alias("file_label"))
+    numbered = number_rows(firsts, [scan], "first_ord", "_n", chunk)
+    return numbered.select(scan, file, F.concat(F.lit("File "), "_n").alias("file_label"),
+                           "n_rows")
 
 
 def target_name(n_files: Column) -> Column:
@@ -42,8 +42,10 @@ def target_name(n_files: Column) -> Column:
 def anonymise_findings(findings: DataFrame, chunk: int = 1_000_000, scan: str = "scan_id",
                        ord: str = "ord", redact_lines: bool = False) -> DataFrame:
     """Replace file names by labels and leave the code out."""
-    labels = file_labels(findings, chunk, scan, ord)
-    out = (salted_join(findings, labels, [scan, "filename"], "left", [ord])
+    firsts = findings.groupBy(scan, "filename").agg(F.min(ord).alias("first_ord"),
+                                                    F.count("*").alias("n_rows"))
+    labels = file_labels(firsts, chunk, scan)
+    out = (salted_join(findings, labels, [scan, "filename"], "left", [ord], "n_rows", firsts)
            .drop("filename", "function_code").withColumnRenamed("file_label", "filename"))
     if redact_lines:
         out = out.withColumn("vulnerable_line_text", F.lit(""))
@@ -139,7 +141,8 @@ def sarif_lines(findings: DataFrame, tool: str = "Security", version: str = "2.0
     rules = sarif_rules(findings, tool)
     results = sarif_results(findings)
     scans = findings.select("scan_id").distinct()
-    first = results.groupBy("scan_id").agg(F.min("ord").alias("_lead"))
+    first = results.groupBy("scan_id").agg(F.min("ord").alias("_lead"),
+                                           F.count("*").alias("n_rows"))
 
     def comma(leading: Column) -> Column:
         return F.when(leading, "").otherwise(",")
@@ -161,7 +164,7 @@ def sarif_lines(findings: DataFrame, tool: str = "Security", version: str = "2.0
     result = F.to_json(F.struct(F.col("rule_id").alias("ruleId"), "level",
                                 nest("message", F.col("message")),
                                 F.array(place).alias("locations")))
-    led = salted_join(results, first, ["scan_id"], "left", ["ord"])
+    led = salted_join(results, first, ["scan_id"], "left", ["ord"], "n_rows")
     return (row(scans, 0, F.lit(0), head)
             .unionByName(row(rules, 1, F.col("rule_index"),
                              F.concat(comma(F.col("rule_index") == 1), rule)))

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SALTS = 16
+# A key with fewer rows than this is no burden for one task.
+HOT_ROWS = 4_000_000
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -24,19 +26,44 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add costly columns so that each row evaluates them exactly once.
+
+    A later filter on a plain computed column is pushed below it and evaluates the
+    expression again (for `spread` inputs even before the rows are spread). A generated
+    column stays where it is.
+    """
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left",
-                salt_from: Sequence[str] = (), salts: int = SALTS) -> DataFrame:
-    """Equi-join in which one key of `big` is shared out over `salts` tasks.
+                salt_from: Sequence[str] = (), count: str | None = None,
+                counts: DataFrame | None = None, salts: int = SALTS,
+                hot_rows: int | None = None) -> DataFrame:
+    """Equi-join in which the rows of a hot key of `big` are shared out over several tasks.
 
     `small` has at most one row per key and is repeated once per salt, so `how` may be
     inner, left, left_semi or left_anti. `salt_from` names columns of `big` that differ
-    between the rows of one key.
+    between the rows of one key. If `small` knows the number of rows of `big` per key
+    (`count`), only keys of at least `hot_rows` rows are salted: there are no more of them
+    than rows of `big` / `hot_rows`, which is what makes their broadcast safe. `counts` is a
+    cheaper table with the same keys and counts, if there is one. Without counts every key
+    is salted.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"salted_join cannot do a {how} join")
     salt = F.pmod(F.xxhash64(*salt_from), F.lit(salts)).cast("int")
-    left = big.withColumn("_salt", salt)
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    every = F.sequence(F.lit(0), F.lit(salts - 1))
+    if count is None:
+        left, right = big.withColumn("_salt", salt), small.withColumn("_salt", F.explode(every))
+    else:
+        hot = F.col(count) >= (HOT_ROWS if hot_rows is None else hot_rows)
+        marks = (small if counts is None else counts).where(hot).select(*on, F.lit(True).alias("_hot"))
+        left = big.join(F.broadcast(marks), list(on), "left").withColumn(
+            "_salt", F.when(F.col("_hot"), salt).otherwise(0)).drop("_hot")
+        right = small.withColumn("_salt", F.explode(
+            F.when(hot, every).otherwise(F.array(F.lit(0))))).drop(count)
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 

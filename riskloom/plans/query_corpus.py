@@ -299,8 +299,8 @@ SPLIT = {
     "SELECT doc_id, label, split FROM split"), **PARITY,
     labelled_="SELECT ord AS doc_id, label FROM hashed", **SPLIT))
 def stratified_split(spark, base):
-    return curate.stratified_split(_parity(spark, base).select(
-        F.col("ord").alias("doc_id"), "label"), "doc_id")
+    rows = _parity(spark, base).select(F.col("ord").alias("doc_id"), "label")
+    return curate.stratified_split(jobs.settle(rows, "labelled"), "doc_id")
 
 
 @query("dataset_summary", t.with_ctes(("parity_labelled",), (
@@ -311,7 +311,7 @@ def stratified_split(spark, base):
     **CURATED, labelled_="SELECT doc_id, label, len(toks) AS n FROM curated", **SPLIT))
 def dataset_summary(spark, base):
     rows = _curated(spark, base).select("doc_id", "label", "token_length")
-    split = curate.stratified_split(rows, "doc_id")
+    split = curate.stratified_split(jobs.settle(rows, "curated"), "doc_id")
     return curate.dataset_summary(split).withColumn("mean_length", F.bround("mean_length", 4))
 
 
@@ -380,9 +380,8 @@ def attribution_topk(spark, base):
     """Tokens of a document by share of all their occurrences."""
 
     tokens = _tokenised(spark, base).select("doc_id", "tokens")
-    weights = curate.token_frequency(tokens).select("token", (F.lit(1.0) / F.col("n"))
-                                                    .alias("weight"))
-    weighted = model.token_weights(tokens, weights, "doc_id")
+    weights = curate.token_frequency(tokens).withColumn("weight", F.lit(1.0) / F.col("n"))
+    weighted = model.token_weights(tokens, weights, "doc_id", count="n")
     top = weighted.withColumn("tokens", detect.ranked_tokens(F.col("token_weights")))
     return top.where(F.size("tokens") > 0).select("doc_id", F.array_join("tokens", " ")
                                                   .alias("tokens"))

@@ -139,15 +139,9 @@ def security_grade(spark, base):
     **WORDS, counters=COUNTERS, rated=RATED))
 def security_summary(spark, base):
     """Per repository: counters, rate, grade and the most frequent weakness."""
-    found = verdicts(spark, base, t.WORD_RULES)
-    counters = detect.with_grade(detect.scan_counters(found, ["repo"], "doc_id"))
     order = list(dict.fromkeys(r.cwe for r in t.WORD_RULES))
-    first = F.array_position(F.array(*[F.lit(c) for c in order]), F.col("cwe_category"))
-    top = (found.where("is_vulnerable").groupBy("repo", "cwe_category")
-           .agg(F.count("*").alias("n")).groupBy("repo")
-           .agg(F.count("*").alias("cwes"),
-                F.max_by("cwe_category", F.struct(F.col("n"), -first)).alias("top_cwe")))
-    return counters.join(top, "repo", "left")
+    found = verdicts(spark, base, t.WORD_RULES)
+    return detect.with_grade(detect.scan_profile(found, ["repo"], "doc_id", order))
 
 
 @query("cwe_distribution", t.with_ctes((), (

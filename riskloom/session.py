@@ -31,7 +31,8 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8,
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; a scratch folder only where none is set."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = (spark.conf.get("spark.checkpoint.dir", None)
+                  or spark.sparkContext.getCheckpointDir())
     if configured:
         return configured
     if not spark.sparkContext.master.startswith("local"):
