@@ -93,7 +93,7 @@ def _finish(table: DataFrame, output: str, max_vocabulary: int, fit_on: str,
 
 def diff_snippets(docs: DataFrame) -> DataFrame:
     """Nested diff documents to curated snippets with weakness and category."""
-    parts = curate.attach_category(curate.diff_sides(corpus.diff_parts(docs)))
+    parts = detect.attach_category(curate.diff_sides(corpus.diff_parts(docs)))
     category = F.array_position(F.array(*[F.lit(c) for c in fixed.DIFF_CATEGORIES]),
                                 F.col("source_category"))
     place = [F.lpad(p.cast("string"), 9, "0") for p in (category, *(

@@ -27,6 +27,8 @@ WORD_RULES = (
 CATEGORIES = tuple(dict.fromkeys(r.cwe for r in fixed.DEFAULT_RULES))
 DIFF_NAMES = (*fixed.DIFF_CATEGORIES, "plain_unknown")
 TIME = "yyyy-MM-dd HH:mm:ss"
+# Positions of `findings` come in stretches of this length, one per line number.
+FINDING_CHUNK = 10 ** 18
 
 
 def load(spark: SparkSession, base: str, name: str) -> DataFrame:
@@ -102,7 +104,8 @@ def findings(spark: SparkSession, base: str) -> DataFrame:
     whole = (F.col("l_quantity") + 50).cast("int")
     return load(spark, base, "lineitem").select(
         F.col("l_orderkey").alias("scan_id"),
-        (place * 10 ** 15 + F.col("l_partkey") * 10 ** 6 + F.col("l_suppkey")).alias("ord"),
+        (place * FINDING_CHUNK + F.col("l_partkey") * 10 ** 8 + F.pmod("l_suppkey", F.lit(10 ** 6))
+         * 100 + F.col("l_quantity").cast("int")).alias("ord"),
         F.format_string("src/file_%d.py", "l_suppkey").alias("filename"),
         F.format_string("part_%d", "l_partkey").alias("function_name"),
         (F.col("l_linenumber") * 10).alias("start_line"), bad.alias("is_vulnerable"),
@@ -117,10 +120,6 @@ def findings(spark: SparkSession, base: str) -> DataFrame:
         F.format_string("call(%d)", "l_partkey").alias("vulnerable_line_text"))
 
 
-# Positions of `findings` come in stretches of this length, one per line number.
-FINDING_CHUNK = 10 ** 15
-
-
 def audit_log(spark: SparkSession, base: str) -> DataFrame:
     return load(spark, base, "events").select(
         F.col("event_id").alias("id"),
@@ -214,8 +213,8 @@ CTE = {
                     "count(*) FILTER (l_returnflag = 'R') AS high, "
                     "count(DISTINCT l_suppkey) AS files FROM lineitem GROUP BY 1) c "
                     "ON s.id = c.l_orderkey",
-    "findings": "SELECT l_orderkey AS scan_id, l_linenumber::BIGINT * 1000000000000000 + "
-                "l_partkey * 1000000 + l_suppkey AS ord, 'src/file_' || l_suppkey || '.py' AS "
+    "findings": f"SELECT l_orderkey AS scan_id, l_linenumber::BIGINT * {FINDING_CHUNK} + l_partkey "
+                "* 100000000 + l_suppkey % 1000000 * 100 + l_quantity::INT AS ord, 'src/file_' || l_suppkey || '.py' AS "
                 "filename, 'part_' || l_partkey AS function_name, l_linenumber * 10 AS "
                 "start_line, l_returnflag IN ('R', 'A') AS is_vulnerable, CASE l_returnflag "
                 "WHEN 'R' THEN 'HIGH' WHEN 'A' THEN 'MEDIUM' ELSE 'SAFE' END AS risk_level, "

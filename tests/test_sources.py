@@ -80,10 +80,10 @@ def test_labelled_csv_and_curation(spark, tmp_path):
 
 DIFF = {"repo1": {"c1": {"files": {"a.py": {"changes": [
     {"badparts": [["os.system(cmd + x)", "return 1"], "eval(user_input)"],
-     "goodparts": [["subprocess.run([cmd])"]]}]}}},
+     "goodparts": [["subprocess.run([cmd])"]]}]}}}},
     "repo2": {"c9": {"files": {"b.py": {"changes": [
         {"badparts": [["short"]], "goodparts": ["eval(user_input)", 12345678901234]},
-        {"badparts": []}]}}, "c8": {"note": 1}}}
+        {"badparts": []}]}}}, "c8": {"note": 1}}}
 
 
 def test_diff_corpus(spark, tmp_path):
@@ -114,7 +114,8 @@ def test_merged_corpus(spark, tmp_path):
     summary = jobs.curate_diff_corpus(corpus.read_diff_corpus(spark, str(tmp_path)), labelled,
                                       str(tmp_path / "o"))
     assert {r["split"]: r["total"] for r in summary.collect()}["all"] == 23
-    out = spark.read.option("header", True).csv(str(tmp_path / "o/normalised"))
+    out = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+           .csv(str(tmp_path / "o/normalised")))
     assert {r["source_category"]: r["count"] for r in out.groupBy("source_category").count()
             .collect()} == {"plain_xss": 3, "labelled": 20}
 
