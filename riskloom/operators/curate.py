@@ -248,6 +248,29 @@ def dataset_summary(split: DataFrame) -> DataFrame:
     ).withColumn("split", F.coalesce("split", F.lit("all")))
 
 
+def summary_document(summary: DataFrame, language: str | None = None,
+                     length: int = fixed.SEQUENCE_LENGTH, categories: DataFrame | None = None,
+                     **tables: DataFrame) -> DataFrame:
+    """One row for a summary file: splits as a map, token lengths, and the row count of each
+    of `tables` under its name. `summary` has one row per split."""
+    share = F.struct("total", "vulnerable", "safe")
+    overall = F.col("split") == "all"
+    stats = F.struct(*[F.col(f"{s}_length").alias(s) for s in ("mean", "median", "max", "min")])
+    parts = [summary.agg(
+        F.max(F.when(overall, F.col("total"))).alias("target_samples"),
+        F.map_from_entries(F.collect_list(F.when(~overall, F.struct("split", share))))
+        .alias("splits"), F.max(F.when(overall, stats)).alias("token_length_stats"))]
+    parts += [df.agg(F.count("*").alias(name)) for name, df in tables.items()]
+    if categories is not None:
+        entry = F.struct(*categories.columns)
+        parts.append(categories.agg(F.map_from_entries(F.collect_list(entry))
+                                    .alias("category_distribution")))
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    merged = rows.agg(*[F.first(c, ignorenulls=True).alias(c) for c in rows.columns])
+    return merged.withColumn("language", F.lit(language)).withColumn(
+        "max_sequence_length", F.lit(length))
+
+
 def copy_audit(df: DataFrame, keys: Sequence[str], code: str = "code") -> DataFrame:
     """Rows, distinct stripped texts (by SHA-256) and duplicates per key."""
     per_hash = (df.withColumn("_h", text.sha256_stripped(F.col(code)))

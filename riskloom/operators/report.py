@@ -58,43 +58,44 @@ def report_lines(scans: DataFrame, findings: DataFrame, chunk: int = 1_000_000,
 
     `scans` holds the counters; a section without findings has no heading.
     """
-    def lines(df: DataFrame, section: int, item: Column, texts: list[Column]) -> DataFrame:
-        return df.select("scan_id", F.lit(section).alias("section"),
-                         item.cast("bigint").alias("item"),
-                         F.posexplode(F.array(*texts)).alias("line_no", "line"))
+    def lines(section: int, item: Column, texts: list[Column]) -> Column:
+        return F.transform(F.array(*texts), lambda line, i: F.struct(
+            F.lit(section).alias("section"), item.cast("bigint").alias("item"),
+            i.alias("line_no"), line.alias("line")))
 
     def text(label: str, column: str) -> Column:
         return F.concat(F.lit(label), F.col(column).cast("string"))
 
+    def when(condition: str, part: Column) -> Column:
+        return F.when(F.expr(condition), part).otherwise(F.slice(part, 1, 0))
+
     zero = F.lit(0)
-    head = lines(scans, 0, zero, [
-        F.lit(title), F.lit("=" * 40), text("File: ", "filename"),
-        text("Scan Time: ", "scan_time"),
-        text("Total Functions Analysed: ", "total_functions"),
-        text("Vulnerable Functions: ", "vulnerable_count"),
-        text("Safe Functions: ", "safe_count"), F.lit("")])
+    frame = F.concat(
+        lines(0, zero, [
+            F.lit(title), F.lit("=" * 40), text("File: ", "filename"),
+            text("Scan Time: ", "scan_time"),
+            text("Total Functions Analysed: ", "total_functions"),
+            text("Vulnerable Functions: ", "vulnerable_count"),
+            text("Safe Functions: ", "safe_count"), F.lit("")]),
+        when("vulnerable_count > 0", lines(1, zero, [F.lit("VULNERABLE FUNCTIONS"),
+                                                     F.lit("-" * 20)])),
+        when("safe_count > 0", lines(2, F.lit(-1), [F.lit("SAFE FUNCTIONS"), F.lit("-" * 14)])),
+        when("safe_count > 0", lines(3, zero, [F.lit("")])),
+        lines(4, zero, [F.lit(footer)]))
     flagged = number_rows(findings.where("is_vulnerable"), ["scan_id"], "ord", "_n", chunk)
-    bad_head = lines(scans.where("vulnerable_count > 0"), 1, zero,
-                     [F.lit("VULNERABLE FUNCTIONS"), F.lit("-" * 20)])
-    bad = lines(flagged, 1, F.col("_n"), [
+    bad = lines(1, F.col("_n"), [
         F.format_string("[%d] %s -- Line %d", "_n", "function_name", "start_line"),
         text("    Risk Level: ", "risk_level"),
         F.format_string("    Confidence: %d%%", "confidence_percent"),
         text("    CWE Category: ", "cwe_category"),
         F.concat(F.lit("    Suspicious Tokens: "),
                  F.array_join("suspicious_tokens", " | ")), F.lit("")])
-    with_safe = scans.where("safe_count > 0")
-    good_head = lines(with_safe, 2, F.lit(-1), [F.lit("SAFE FUNCTIONS"), F.lit("-" * 14)])
-    good = lines(findings.where("not is_vulnerable"), 2, F.col("ord"), [
+    good = lines(2, F.col("ord"), [
         F.format_string("%s -- Line %d -- Confidence: %d%%", "function_name", "start_line",
                         "confidence_percent")])
-    foot = lines(with_safe, 3, zero, [F.lit("")]).unionByName(
-        lines(scans, 4, zero, [F.lit(footer)]))
-    parts = [head, bad_head, bad, good_head, good, foot]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return (scans.select("scan_id", F.inline(frame))
+            .unionByName(flagged.select("scan_id", F.inline(bad)))
+            .unionByName(findings.where("not is_vulnerable").select("scan_id", F.inline(good))))
 
 
 def _rule_id(category: Column) -> Column:

@@ -77,7 +77,7 @@ def number_rows(df: DataFrame, group: Sequence[str], position: str, out: str,
     rows are numbered inside their stretch.
     """
     keys = list(group)
-    cut = df.withColumn("_chunk", F.floor(F.col(position) / chunk))
+    cut = df.withColumn("_chunk", whole_steps(F.col(position), chunk))
     running = (Window.partitionBy(*keys).orderBy("_chunk")
                .rowsBetween(Window.unboundedPreceding, -1))
     offsets = (cut.groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"))
@@ -95,10 +95,15 @@ def micros(ts: Column | str) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
+def whole_steps(value: Column, step: int) -> Column:
+    """floor(value / step) in whole numbers, also below zero."""
+    return F.call_function("div", value - F.pmod(value, F.lit(step)), F.lit(step))
+
+
 def slot_of(us: Column | str, span_us: int) -> Column:
     """Number of the time slot a microsecond value falls into."""
     us = F.col(us) if isinstance(us, str) else us
-    return ((us - F.pmod(us, F.lit(span_us))) / span_us).cast("bigint")
+    return whole_steps(us, span_us)
 
 
 def with_time_slots(df: DataFrame, ts: str, span_seconds: int) -> DataFrame:

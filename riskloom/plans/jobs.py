@@ -58,26 +58,39 @@ def scan_corpus(spark: SparkSession, root: str, output: str | None = None,
     return out
 
 
+def load_labelled(spark: SparkSession, path: str) -> DataFrame:
+    """A labelled CSV with its row numbers written down once, so that they never change."""
+    return settle(corpus.read_labelled_corpus(spark, path), "labelled")
+
+
 def curated(labelled: DataFrame, language: str | None = "py", exact: bool = False
             ) -> DataFrame:
     """Labelled rows to clean, conflict-free, distinct, normalised, tokenised rows."""
-    clean = curate.resolve_copies(curate.clean_labelled(labelled))
+    return _normalised(curate.resolve_copies(curate.clean_labelled(labelled)), language, exact)
+
+
+def _normalised(clean: DataFrame, language: str | None, exact: bool = False) -> DataFrame:
     tokenise = lexing.lex_model_tokens if exact else text.corpus_tokens
     return curate.normalise(curate.language_slice(clean, language), tokenise=tokenise)
 
 
 def curate_corpus(labelled: DataFrame, output: str, language: str | None = "py",
-                  max_vocabulary: int = 10_000, fit_on: str = "all") -> DataFrame:
-    """Curate, split, encode and write; returns the summary.
+                  max_vocabulary: int = 10_000, fit_on: str = "all", exact: bool = False
+                  ) -> DataFrame:
+    """Curate, split, encode and write; returns the summary per split.
 
     `fit_on="train"` builds the vocabulary on the training rows only.
     """
-    table = settle(curated(labelled, language), "curated")
-    return _finish(table, output, max_vocabulary, fit_on, sinks.NORMALISED_COLUMNS)
+    clean = settle(curate.resolve_copies(curate.clean_labelled(labelled)), "clean")
+    sinks.write_corpus_csv(clean, f"{output}/clean", sinks.CLEAN_COLUMNS)
+    table = settle(_normalised(clean, language, exact), "curated")
+    return _finish(table, output, max_vocabulary, fit_on, sinks.NORMALISED_COLUMNS, language,
+                   raw_rows=labelled, raw_samples=clean)
 
 
 def _finish(table: DataFrame, output: str, max_vocabulary: int, fit_on: str,
-            columns: Sequence[str]) -> DataFrame:
+            columns: Sequence[str], language: str | None, categories: str | None = None,
+            **counted: DataFrame) -> DataFrame:
     split = settle(curate.stratified_split(table, "ord"), "split")
     base = split.where("split = 'train'") if fit_on == "train" else split
     vocabulary = settle(curate.build_vocabulary(base, "tokens", max_vocabulary), "vocabulary")
@@ -87,7 +100,10 @@ def _finish(table: DataFrame, output: str, max_vocabulary: int, fit_on: str,
     sinks.write_splits(encoded, [f"{output}/encoded"])
     sinks.write_vocabulary(vocabulary, f"{output}/vocabulary", as_json=True)
     summary = curate.dataset_summary(split)
-    sinks.write_json(summary, f"{output}/summary")
+    shares = curate.value_counts(split, categories) if categories else None
+    sinks.write_json(curate.summary_document(
+        summary, language, categories=shares, vocabulary_size=vocabulary, **counted),
+        f"{output}/summary")
     return summary
 
 
@@ -107,11 +123,14 @@ def curate_diff_corpus(docs: DataFrame, labelled: DataFrame, output: str,
                        max_vocabulary: int = 15_000, drop_conflicts: bool = False
                        ) -> DataFrame:
     """Diff snippets first, labelled corpus second, merged, split, encoded and written."""
+    snippets = settle(diff_snippets(docs), "snippets")
+    sinks.write_corpus_csv(snippets, f"{output}/snippets", [*sinks.SPLIT_COLUMNS, "cwe"])
     other = (curated(labelled).withColumn("cwe", F.lit("Unspecified-Vulnerability"))
              .withColumn("source_category", F.lit("labelled")))
-    merged = settle(curate.union_corpora([diff_snippets(docs), other],
+    merged = settle(curate.union_corpora([snippets, other],
                                          drop_conflicts=drop_conflicts), "merged")
-    return _finish(merged, output, max_vocabulary, "all", sinks.COMBINED_COLUMNS)
+    return _finish(merged, output, max_vocabulary, "all", sinks.COMBINED_COLUMNS, "py", "cwe",
+                   snippets=snippets, combined_samples=merged)
 
 
 def train_and_evaluate(split: DataFrame, **options) -> tuple[object, DataFrame]:

@@ -63,7 +63,7 @@ def test_labelled_csv_and_curation(spark, tmp_path):
             for i in range(40)]
     quoted = "\n".join(",".join('"' + v.replace('"', '""') + '"' for v in r) for r in rows)
     (tmp_path / "c.csv").write_text("code,language,safety\n" + quoted + "\n")
-    df = corpus.read_labelled_corpus(spark, str(tmp_path / "c.csv"))
+    df = jobs.load_labelled(spark, str(tmp_path / "c.csv"))
     assert [r["code"] for r in df.orderBy("ord").collect()] == [r[0] for r in rows]
     summary = {r["split"]: r for r in jobs.curate_corpus(df, str(tmp_path / "o")).collect()}
     total = {s: summary[s]["total"] for s in summary}
@@ -74,6 +74,11 @@ def test_labelled_csv_and_curation(spark, tmp_path):
     vocab = corpus.read_vocabulary(spark, str(tmp_path / "o/vocabulary"))
     ids = {r["token"]: r["id"] for r in vocab.collect()}
     assert ids["<STR>"] == 2 and sorted(ids.values()) == list(range(len(ids)))
+    doc = spark.read.json(str(tmp_path / "o/summary")).first()
+    assert (doc["raw_rows"], doc["raw_samples"], doc["target_samples"]) == (40, 40, 40)
+    assert doc["vocabulary_size"] == len(ids) and doc["splits"]["train"]["total"] == 28
+    assert doc["token_length_stats"]["median"] == 9.0
+    assert spark.read.option("multiLine", True).csv(str(tmp_path / "o/clean")).count() > 0
     only_train = jobs.curate_corpus(df, str(tmp_path / "o2"), fit_on="train").count()
     assert only_train == 4
 
@@ -114,6 +119,9 @@ def test_merged_corpus(spark, tmp_path):
     summary = jobs.curate_diff_corpus(corpus.read_diff_corpus(spark, str(tmp_path)), labelled,
                                       str(tmp_path / "o"))
     assert {r["split"]: r["total"] for r in summary.collect()}["all"] == 23
+    doc = spark.read.json(str(tmp_path / "o/summary")).first()
+    assert (doc["snippets"], doc["combined_samples"]) == (3, 23)
+    assert doc["category_distribution"]["CWE-79: Cross-Site Scripting (XSS)"] == 3
     out = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
            .csv(str(tmp_path / "o/normalised")))
     assert {r["source_category"]: r["count"] for r in out.groupBy("source_category").count()
