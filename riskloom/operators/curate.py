@@ -9,8 +9,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import fixed
 from ..functions import scoring, text
@@ -137,16 +141,40 @@ def encode_tokens(df: DataFrame, vocabulary: DataFrame, key: str, tokens: str =
                   vocabulary_size: int = 10_000) -> DataFrame:
     """Fixed-length id sequences: first `length` tokens, unknown = 1, zero-padded.
 
-    A hash join of token positions with the vocabulary. A vocabulary of proven size is
-    broadcast; a larger one is joined with the hot tokens salted. Regrouping collects at
-    most `length` pairs per row.
+    A vocabulary of proven size is sent to the tasks once and looked up there in Arrow
+    batches, so no row is shuffled. A larger one is joined, with hot tokens salted.
     """
+    if vocabulary_size <= max_broadcast:
+        return df.withColumn("features", _lookup(vocabulary, length)(
+            F.slice(tokens, 1, length)))
+    return _encode_by_join(df, vocabulary, key, tokens, length)
+
+
+def _lookup(vocabulary: DataFrame, length: int):
+    rows = vocabulary.select("token", "id").collect()
+    shared = vocabulary.sparkSession.sparkContext.broadcast(
+        ([r["token"] for r in rows], [r["id"] for r in rows]))
+
+    def encode(lists: pa.Array) -> pa.Array:
+        words, ids = shared.value
+        # One place past the end stands for unknown words.
+        table = np.array([*ids, fixed.UNK_ID], dtype=np.int32)
+        place = pc.fill_null(pc.index_in(lists.flatten(), pa.array(words)), len(words))
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        out = np.full((len(lists), length), fixed.PAD_ID, dtype=np.int32)
+        out[np.arange(length) < sizes[:, None]] = table[place.to_numpy(zero_copy_only=False)]
+        ends = pa.array(np.arange(len(lists) + 1, dtype=np.int32) * length)
+        return pa.ListArray.from_arrays(ends, pa.array(out.ravel()))
+
+    return F.arrow_udf(encode, T.ArrayType(T.IntegerType()))
+
+
+def _encode_by_join(df: DataFrame, vocabulary: DataFrame, key: str, tokens: str, length: int
+                    ) -> DataFrame:
+    """The join collects at most `length` pairs per row when it regroups."""
     spots = df.select(key, F.posexplode(F.slice(tokens, 1, length)).alias("pos", "token"))
     vocab = vocabulary.select("token", F.col("id").alias("_id"))
-    if vocabulary_size <= max_broadcast:
-        looked = spots.join(F.broadcast(vocab), "token", "left")
-    else:
-        looked = salted_join(spots, vocab, ["token"], "left", [key, "pos"])
+    looked = salted_join(spots, vocab, ["token"], "left", [key, "pos"])
     pair = F.struct("pos", F.coalesce("_id", F.lit(fixed.UNK_ID)).alias("id"))
     ids = (looked.groupBy(key).agg(F.array_sort(F.collect_list(pair)).alias("_p"))
            .select(key, F.transform("_p", lambda p: p["id"]).alias("_ids")))

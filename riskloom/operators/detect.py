@@ -83,14 +83,11 @@ def top_tokens(ranked: Column, raw: Column, limit: int = 5, enough: int = 3) ->
 
 def ranked_tokens(weights: Column, limit: int = 5) -> Column:
     """Tokens of `array<struct<token,weight,pos>>` by weight: long, distinct, no markers."""
-    order = F.array_sort(weights, lambda a, b: F.when(a["weight"] > b["weight"], -1)
-                         .when(a["weight"] < b["weight"], 1)
-                         .when(a["pos"] > b["pos"], -1).when(a["pos"] < b["pos"], 1)
-                         .otherwise(0))
     markers = fixed.RESERVED_TOKENS[2:]
-    kept = F.filter(F.transform(order, lambda s: s["token"]),
-                    lambda t: (F.length(t) > 2) & ~t.isin(*markers))
-    return F.slice(F.array_distinct(kept), 1, limit)
+    kept = F.filter(weights, lambda s: (F.length(s["token"]) > 2) & ~s["token"].isin(*markers))
+    order = F.sort_array(F.transform(kept, lambda s: F.struct(s["weight"], s["pos"], s["token"])),
+                         asc=False)
+    return F.slice(F.array_distinct(F.transform(order, lambda s: s["token"])), 1, limit)
 
 
 def locate_line(df: DataFrame, code: str = "code", start_line: Column | None = None

@@ -93,4 +93,4 @@ def token_weights(df: DataFrame, weights: DataFrame, key: str, tokens: str = "to
     scored = salted_join(spots, weights, ["token"], "left", [key], count).select(
         key, F.struct("token", (F.coalesce("weight", F.lit(0.0)) * F.col("times")).alias("weight"),
                       "pos").alias("w"))
-    return scored.groupBy(key).agg(F.array_sort(F.collect_list("w")).alias("token_weights"))
+    return scored.groupBy(key).agg(F.collect_list("w").alias("token_weights"))

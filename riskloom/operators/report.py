@@ -84,15 +84,16 @@ def report_lines(scans: DataFrame, findings: DataFrame, chunk: int = 1_000_000,
         lines(4, zero, [F.lit(footer)]))
     flagged = number_rows(findings.where("is_vulnerable"), ["scan_id"], "ord", "_n", chunk)
     bad = lines(1, F.col("_n"), [
-        F.format_string("[%d] %s -- Line %d", "_n", "function_name", "start_line"),
+        F.concat(F.lit("["), F.col("_n"), F.lit("] "), "function_name", F.lit(" -- Line "),
+                 F.col("start_line")),
         text("    Risk Level: ", "risk_level"),
-        F.format_string("    Confidence: %d%%", "confidence_percent"),
+        F.concat(F.lit("    Confidence: "), F.col("confidence_percent"), F.lit("%")),
         text("    CWE Category: ", "cwe_category"),
         F.concat(F.lit("    Suspicious Tokens: "),
                  F.array_join("suspicious_tokens", " | ")), F.lit("")])
     good = lines(2, F.col("ord"), [
-        F.format_string("%s -- Line %d -- Confidence: %d%%", "function_name", "start_line",
-                        "confidence_percent")])
+        F.concat("function_name", F.lit(" -- Line "), F.col("start_line"),
+                 F.lit(" -- Confidence: "), F.col("confidence_percent"), F.lit("%"))])
     return (scans.select("scan_id", F.inline(frame))
             .unionByName(flagged.select("scan_id", F.inline(bad)))
             .unionByName(findings.where("not is_vulnerable").select("scan_id", F.inline(good))))

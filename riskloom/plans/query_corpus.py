@@ -200,8 +200,8 @@ def curated_corpus(spark, base):
 def corpus_union(spark, base):
     rated = curate.normalise(curate.clean_labelled(t.rated_labelled(spark, base)),
                              language=F.lit("py"))
-    parts = [df.select("doc_id", "label", "normalized_code", F.col("doc_id").alias("ord"),
-                       F.lit(name).alias("part"))
+    parts = [jobs.settle(df.select("doc_id", "label", "normalized_code",
+                                   F.col("doc_id").alias("ord"), F.lit(name).alias("part")), name)
              for name, df in (("rated", rated.withColumnRenamed("ord", "doc_id")),
                               ("zparity", _curated(spark, base)))]
     return curate.union_corpora(parts).select("part", "doc_id", "label")

@@ -106,18 +106,18 @@ def findings(spark: SparkSession, base: str) -> DataFrame:
         F.col("l_orderkey").alias("scan_id"),
         (place * FINDING_CHUNK + F.col("l_partkey") * 10 ** 8 + F.pmod("l_suppkey", F.lit(10 ** 6))
          * 100 + F.col("l_quantity").cast("int")).alias("ord"),
-        F.format_string("src/file_%d.py", "l_suppkey").alias("filename"),
-        F.format_string("part_%d", "l_partkey").alias("function_name"),
+        F.concat(F.lit("src/file_"), "l_suppkey", F.lit(".py")).alias("filename"),
+        F.concat(F.lit("part_"), "l_partkey").alias("function_name"),
         (F.col("l_linenumber") * 10).alias("start_line"), bad.alias("is_vulnerable"),
         F.when(F.col("l_returnflag") == "R", "HIGH").when(bad, "MEDIUM").otherwise("SAFE")
         .alias("risk_level"),
         (whole / 100).alias("confidence"), whole.alias("confidence_percent"),
         F.when(bad, category).otherwise(fixed.NO_CWE).alias("cwe_category"),
         F.array(F.concat(F.lit("tok_"), "l_linestatus"),
-                F.format_string("size_%d", "l_linenumber")).alias("suspicious_tokens"),
+                F.concat(F.lit("size_"), "l_linenumber")).alias("suspicious_tokens"),
         F.when(F.col("l_discount") == 0, 0).otherwise(F.col("l_linenumber") * 11)
         .alias("vulnerable_line_no"),
-        F.format_string("call(%d)", "l_partkey").alias("vulnerable_line_text"))
+        F.concat(F.lit("call("), "l_partkey", F.lit(")")).alias("vulnerable_line_text"))
 
 
 def audit_log(spark: SparkSession, base: str) -> DataFrame:
