@@ -45,6 +45,19 @@ def shown_tokens(code: str) -> list[str]:
 
 
 
+def scorer_tokens(code: str) -> list[str]:
+    lexed = _lex(code)
+    if lexed is None:
+        return re.findall(r"[A-Za-z_][A-Za-z0-9_]*|\d+|[^\s\w]", code)
+    words = (t.string.strip() for t in lexed if t.type not in _NOT_SHOWN)
+    return [w for w in words if w]
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def lex_scorer_tokens(code: pd.Series) -> pd.Series:
+    return code.map(scorer_tokens, na_action="ignore")
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def lex_model_tokens(code: pd.Series) -> pd.Series:
     return code.map(model_tokens, na_action="ignore")

@@ -166,6 +166,24 @@ def detect(df: DataFrame, code: str = "code", rules: Sequence[Rule] = fixed.DEFA
     return attach_remediation(locate_line(matched, code, start_line))
 
 
+def score_hybrid(df: DataFrame, prob: str = "prob", code: str = "code",
+                 raw_tokens: str = "raw_tokens", weights: str | None = None,
+                 threshold: Column | float = fixed.DEFAULT_THRESHOLD,
+                 rules: Sequence[Rule] = fixed.DEFAULT_RULES, start_line: Column | None = None
+                 ) -> DataFrame:
+    """Scorer and rules, end to end: `prob` and optionally token `weights` are given.
+
+    A flagged row shows its heaviest tokens; with fewer than three of them, and for safe
+    rows, the row's first tokens are added.
+    """
+    judged = hybrid_verdict(match_rules(df, code, rules, raw_tokens), prob, threshold)
+    none = F.array().cast("array<string>")
+    heavy = none if weights is None else F.when(
+        F.col("is_vulnerable"), ranked_tokens(F.col(weights))).otherwise(none)
+    shown = judged.withColumn("suspicious_tokens", top_tokens(heavy, F.col(raw_tokens)))
+    return attach_remediation(locate_line(shown, code, start_line))
+
+
 # Summaries ---------------------------------------------------------------------------
 
 def scan_counters(findings: DataFrame, keys: Sequence[str], file: str) -> DataFrame:

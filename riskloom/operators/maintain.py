@@ -7,16 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .skew import salted_join
 
-def new_users(batch: DataFrame, existing: DataFrame, next_id: int | None = None) -> DataFrame:
+
+def new_users(batch: DataFrame, existing: DataFrame) -> DataFrame:
     """Rows of a registration batch that may be inserted, with defaults.
 
     The first row (by `ord`) of a user name and of an e-mail wins, as with unique keys; rows
-    whose name or e-mail already exists are left out. Keys are reduced by `min(ord)`, so a
-    much-repeated name is combined map-side.
+    whose name or e-mail already exists are left out. Values are counted map-side before
+    they are looked up, and the rows of a much-repeated value are shared out by salt.
     """
-    free = batch.join(existing.select("username"), "username", "left_anti").join(
-        existing.select("email"), "email", "left_anti")
+    free = batch
+    for column in ("username", "email"):
+        taken = (batch.groupBy(column).agg(F.count("*").alias("n_rows"))
+                 .join(existing.select(column), column, "left_semi"))
+        free = salted_join(free, taken, [column], "left_anti", ["ord"], "n_rows")
     by_name = free.groupBy("username").agg(F.min("ord").alias("ord")).select("ord")
     named = free.join(by_name, "ord", "left_semi")
     by_mail = named.groupBy("email").agg(F.min("ord").alias("ord")).select("ord")

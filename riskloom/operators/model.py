@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import evaluate
+from .curate import token_frequency
+from .detect import ranked_tokens
 from .skew import salted_join
 
 FEATURE_BITS = 18
@@ -80,6 +82,24 @@ def evaluate_scores(scored: DataFrame, threshold: Column | float) -> DataFrame:
     return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
+def token_table(model: PipelineModel, df: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """(token, n, weight): what each token of a corpus adds to the model's log-odds.
+
+    Every distinct token is scored as a text of its own; its log-odds without the
+    intercept is its weight.
+    """
+    each = token_frequency(df, tokens).withColumn("tokens", F.array("token"))
+    margin = vector_to_array("rawPrediction")[1] - F.lit(float(model.stages[-1].intercept))
+    return model.transform(each).select("token", "n", margin.alias("weight"))
+
+
+def explain_topk(model: PipelineModel, df: DataFrame, key: str, tokens: str = "tokens",
+                 limit: int = 5) -> DataFrame:
+    """The tokens of each row that speak most for `vulnerable`."""
+    weighted = token_weights(df, token_table(model, df, tokens), key, tokens, "n")
+    return weighted.select(key, ranked_tokens(F.col("token_weights"), limit).alias("tokens"))
+
+
 def token_weights(df: DataFrame, weights: DataFrame, key: str, tokens: str = "tokens",
                   count: str | None = None) -> DataFrame:
     """Contribution of each token of a row: `weights` holds (token, weight) and, if

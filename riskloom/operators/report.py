@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import scoring
+from .detect import attach_remediation
 from .skew import number_rows, salted_join
 
 REPORT_TITLE = "Vulnerability Detection Report"
@@ -109,19 +110,16 @@ def sarif_rules(findings: DataFrame, tool: str = "Security") -> DataFrame:
     category = F.col("cwe_category")
     first = (findings.where("is_vulnerable").withColumn("rule_id", _rule_id(category))
              .groupBy("scan_id", "rule_id")
-             .agg(F.min_by(F.struct("cwe_category", "remediation"), "ord").alias("_f"),
+             .agg(F.min_by("cwe_category", "ord").alias("cwe_category"),
                   F.min("ord").alias("_first")))
-    # One row per rule of the rule table and scan.
+    # One row per scan and rule of the rule table: the advice is looked up here, not per finding.
     place = F.row_number().over(Window.partitionBy("scan_id").orderBy("_first"))
-    category = F.col("_f.cwe_category")
-    return first.select(
+    return attach_remediation(first).select(
         "scan_id", "rule_id", place.alias("rule_index"),
         scoring.cwe_name(category).alias("name"),
         F.concat(F.lit(f"{tool} Finding: "), category).alias("short_description"),
-        F.coalesce("_f.remediation.description", F.lit("Vulnerability detected."))
-        .alias("full_description"),
-        F.coalesce("_f.remediation.secure_example",
-                   F.lit("Use parameterized or sanitized calls.")).alias("help"))
+        F.col("remediation.description").alias("full_description"),
+        F.col("remediation.secure_example").alias("help"))
 
 
 def sarif_results(findings: DataFrame) -> DataFrame:

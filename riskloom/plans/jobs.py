@@ -24,15 +24,26 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def preprocess_files(files: DataFrame, vocabulary: DataFrame | None = None,
+                     exact: bool = False) -> DataFrame:
+    """(path, content) to functions: filename, function_name, code, start_line, raw_tokens,
+    and with a `vocabulary` (of at most 100,000 tokens) the encoded `tokens`."""
+    functions = extract.extract_functions(tree.with_code(files), "path", "code")
+    named = functions.withColumnsRenamed({"file_id": "filename", "name": "function_name"})
+    raw = lexing.lex_shown_tokens("code") if exact else text.display_tokens(F.col("code"))
+    out = named.withColumn("raw_tokens", raw)
+    if vocabulary is None:
+        return out
+    words = lexing.lex_scorer_tokens("code") if exact else text.scan_tokens(F.col("code"))
+    return curate.encode_tokens(out.withColumn("words", words), vocabulary, "fn", "words").drop(
+        "words").withColumnRenamed("features", "tokens")
+
+
 def scan_files(files: DataFrame, rules: Sequence[Rule] = fixed.DEFAULT_RULES,
                exact_tokens: bool = False) -> DataFrame:
     """(path, content) to findings, one row per function."""
-    coded = tree.with_code(files)
-    functions = extract.extract_functions(coded, "path", "code").withColumnRenamed(
-        "file_id", "filename").withColumnRenamed("name", "function_name")
-    raw = lexing.lex_shown_tokens("code") if exact_tokens else text.display_tokens(F.col("code"))
-    tokens = functions.withColumn("raw_tokens", raw)
-    found = detect.detect(tokens, "code", rules, F.col("start_line"), "raw_tokens")
+    found = detect.detect(preprocess_files(files, exact=exact_tokens), "code", rules,
+                          F.col("start_line"), "raw_tokens")
     return found.withColumnRenamed("code", "function_code").drop(
         "matched_tokens", "rule_category")
 

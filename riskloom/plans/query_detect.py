@@ -341,7 +341,7 @@ SARIF_ID = "split_part(cwe_category, ':', 1)"
     f=f"SELECT scan_id, {SARIF_ID} AS rule_id, min(cwe_category) AS cwe, min(ord) AS first FROM "
       "findings WHERE is_vulnerable GROUP BY 1, 2"))
 def sarif_rules(spark, base):
-    rules = report.sarif_rules(detect.attach_remediation(t.findings(spark, base)))
+    rules = report.sarif_rules(t.findings(spark, base))
     return rules.select("scan_id", "rule_id", "rule_index", "name", "short_description",
                         F.md5("help").alias("help_md5"))
 

@@ -26,6 +26,16 @@ def audit_stream(events: DataFrame, ts: str = "timestamp", action: str = "action
     return limits.action_windows(events.withWatermark(ts, lateness), ts, action, width)
 
 
+def session_stream(events: DataFrame, key: str, ts: str = "timestamp",
+                   pause: str = "2 hours", lateness: str = "15 minutes") -> DataFrame:
+    """Closed activity sessions per key, in Spark's own session windows."""
+    sessions = events.withWatermark(ts, lateness).groupBy(
+        F.session_window(ts, pause).alias("s"), key).agg(
+        F.count("*").alias("n_events"), F.max(ts).alias("session_end"))
+    return sessions.select(key, F.col("s.start").alias("session_start"), "session_end",
+                           "n_events")
+
+
 def scan_stream(code_rows: DataFrame, code: str = "code",
                 rules: Sequence[Rule] = fixed.DEFAULT_RULES) -> DataFrame:
     """Findings for arriving code: the batch detector is stateless, so it runs as it is."""

@@ -9,6 +9,7 @@ from riskloom import fixed
 from riskloom.functions import scoring
 from riskloom.operators import detect, extract, report
 from riskloom.plans import jobs
+from riskloom.sources.corpus import default_vocabulary
 
 MIXED = '''import os
 # a comment
@@ -84,6 +85,20 @@ def test_hybrid_bands(spark):
     assert got[1]["cwe_category"] == fixed.FALLBACK_CWE and got[3]["cwe_category"] == "N/A"
 
 
+def test_score_hybrid(spark):
+    rows = code_rows(spark, "alpha = beta(gamma)", "def run(command):\n    do(command)").withColumn(
+        "prob", F.when(F.col("i") == 0, 0.2).otherwise(0.9)).withColumn(
+        "raw_tokens", F.when(F.col("i") == 0, F.array(*map(F.lit, ["alpha", "beta", "x", "gamma"])))
+        .otherwise(F.array(*map(F.lit, ["def", "run", "command", "do"])))).withColumn(
+        "w", F.expr("array(named_struct('token', 'command', 'weight', 2.0D, 'pos', 3))"))
+    got = {r["i"]: r for r in detect.score_hybrid(rows, weights="w").collect()}
+    assert got[0]["suspicious_tokens"] == ["alpha", "beta", "gamma"]
+    assert got[0]["vulnerable_line_text"] == "" and got[0]["risk_level"] == "SAFE"
+    assert got[1]["suspicious_tokens"] == ["command", "def", "run"]
+    assert got[1]["vulnerable_line_text"] == "def run(command):"
+    assert got[1]["remediation"]["title"] == "General Security Fix"
+
+
 def test_top_and_ranked_tokens(spark):
     weights = [("ab", 9.0, 0), ("abc", 1.0, 1), ("abc", 5.0, 2), ("<NUM>", 8.0, 3),
                ("def", 5.0, 4)]
@@ -143,6 +158,18 @@ def test_scan_files_end_to_end(spark):
             summary["security_grade"]) == (4, 3, "F")
 
 
+def test_preprocess_encodes(spark):
+    files = spark.createDataFrame([("m.py", bytearray(b"def f(x):\n  return os.eval(x)  # c\n"))],
+                                  "path string, content binary")
+    for exact in (False, True):
+        row = jobs.preprocess_files(files, default_vocabulary(spark), exact).first()
+        words = "def f ( x ) : return os . eval ( x )".split()
+        want = [fixed.DEFAULT_VOCABULARY.index(w) if w in fixed.DEFAULT_VOCABULARY else 1
+                for w in words]
+        assert row["tokens"] == want + [0] * (200 - len(want))
+        assert row["raw_tokens"] == ["def", "f", "x", "return", "os", "eval", "x"]
+
+
 def test_source_line(spark):
     df = spark.createDataFrame([("# c\n\nx = 1\ny = 2 # d\n", 2)], "source string, start_line int")
     assert extract.with_source_line(df, F.col("source")).first()["source_line"] == 4

@@ -94,6 +94,10 @@ def test_training_learns_a_marker_token(spark):
     fitted = model.train_classifier(df.where("split = 'train'"), bits=8, iterations=20)
     scores = model.score_batch(fitted, df.where("split = 'test'"))
     assert model.evaluate_scores(scores, 0.5).first()["auc"] > 0.95
+    table = {r["token"]: r["weight"] for r in model.token_table(fitted, df).collect()}
+    assert max(table, key=table.get) == "danger"
+    top = {r["id"]: r["tokens"] for r in model.explain_topk(fitted, df, "id").collect()}
+    assert all(top[i] == (["danger"] if label else []) for i, label, _, _ in rows)
     weights = {r["label"]: r["weight"] for r in model.with_class_weight(df).select(
         "label", "weight").distinct().collect()}
     n = sum(r[1] for r in rows)

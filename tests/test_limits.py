@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -151,11 +152,26 @@ def test_stream_audit_windows(spark, tmp_path):
         START + datetime.timedelta(seconds=s) for s in (5400, 6300)}
 
 
+def test_stream_sessions(spark, tmp_path):
+    rows = [("a", s, False) for s in (0, 100, 7100, 20000, 20010, 90000)]
+    df = frame(spark, rows)
+    write_batches(spark, df, tmp_path, 2)
+    stream = jobs.session_stream(read_stream(spark, df.schema, tmp_path), "ip", "ts")
+    query = (stream.writeStream.format("memory").queryName("sessions").outputMode("append")
+             .option("checkpointLocation", str(tmp_path / "cp")).start())
+    query.processAllAvailable()
+    query.stop()
+    got = sorted((r["session_start"], r["n_events"]) for r in spark.table("sessions").collect())
+    batch = limits.idle_sessions(df, "ip", "ts").orderBy("session").collect()
+    assert got == [(r["session_start"], r["n_events"]) for r in batch][:2]
+
+
 def test_stream_scan(spark, tmp_path):
     code = spark.createDataFrame([(1, "os.system(x)"), (2, "pass")], "id long, code string")
     code.write.parquet(f"{tmp_path}/in")
     source = spark.readStream.schema(code.schema).parquet(f"{tmp_path}/in")
-    writer = jobs.append_batches(jobs.scan_stream(source), str(tmp_path / "out"), "scan")
+    writer = jobs.append_batches(jobs.scan_stream(source), str(tmp_path / "out"),
+                                 f"scan-{uuid.uuid4().hex}")
     for _ in range(2):
         query = writer.trigger(availableNow=True).start()
         assert query.awaitTermination(60)

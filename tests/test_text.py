@@ -1,5 +1,6 @@
 """Native text expressions against plain Python on awkward strings."""
 
+import itertools
 import random
 import re
 
@@ -34,18 +35,18 @@ def run(spark, samples):
 
 
 def py_clean(s):
-    s = s.replace("\r\n", "\n").replace("\r", "\n")
-    return "".join(c for c in s if c in "\n\t" or 32 <= ord(c) <= 126 or ord(c) > 127).strip()
+    return re.sub(r"[\x00-\x08\x0b-\x1f\x7f]", "", re.sub(r"\r\n?", "\n", s)).strip()
 
 
 def py_no_comments(s):
-    return "\n".join(l for l in (re.sub("#.*", "", x) for x in s.split("\n")) if l.strip())
+    return "\n".join(filter(str.strip, re.sub(r"#[^\n]*", "", s).split("\n")))
 
 
 def py_no_c_comments(s):
-    return "\n".join(l for l in re.sub(r"//.*|/\*[\s\S]*?\*/", "", s).split("\n") if l.strip())
+    return "\n".join(filter(str.strip, re.sub(r"//[^\n]*|/\*[\s\S]*?\*/", "", s).split("\n")))
 
 
+# Literal patterns.
 STRING = re.compile(r'("""[\s\S]*?"""|\'\'\'[\s\S]*?\'\'\'|"[^\n"\\]*(?:\\.[^\n"\\]*)*"'
                     r"|'[^\n'\\]*(?:\\.[^\n'\\]*)*')")
 
@@ -55,13 +56,10 @@ def py_mask(s):
 
 
 def py_indent(s):
-    out = []
-    for line in s.splitlines():
-        body = line.lstrip()
-        lead = line[:len(line) - len(body)]
-        out.append(" " * ((4 * lead.count("\t") + lead.count(" ")) // 4 * 4) + body
-                   if body else "")
-    return "\n".join(out)
+    def steps(line):
+        blanks = itertools.takewhile(str.isspace, line)
+        return sum({"\t": 4, " ": 1}.get(c, 0) for c in blanks) // 4
+    return "\n".join("    " * steps(l) * bool(l.strip()) + l.lstrip() for l in s.splitlines())
 
 
 def py_clean_code(s):
