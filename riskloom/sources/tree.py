@@ -7,6 +7,7 @@ open. Files on object stores that follow Spark's naming can use `binaryFile` ins
 
 from __future__ import annotations
 
+import itertools
 import os
 import zipfile
 from collections.abc import Iterator
@@ -88,25 +89,21 @@ class SourceTreeReader(DataSourceReader):
         return plan_subtrees(self.root, self.wanted)
 
     def read(self, partition):
-        def files():
-            for full in _walk(partition, self.suffix):
-                try:
-                    with open(full, "rb") as f:
-                        yield os.path.relpath(full, self.root), f.read()
-                except OSError:
-                    continue
-        return _batches(files())
+        found = _walk(partition, self.suffix)
+        while part := list(itertools.islice(found, 10_000)):
+            yield pa.RecordBatch.from_pydict(
+                {"path": [os.path.relpath(full, self.root) for full in part]})
 
 
 class SourceTree(DataSource):
-    """`spark.read.format("source_tree").load(root)`"""
+    """`spark.read.format("source_tree").load(root)`: the paths of a tree."""
 
     @classmethod
     def name(cls):
         return "source_tree"
 
     def schema(self):
-        return FILE_SCHEMA
+        return "path string"
 
     def reader(self, schema):
         return SourceTreeReader(self.options)
@@ -114,14 +111,37 @@ class SourceTree(DataSource):
 
 def read_source_tree(spark: SparkSession, root: str, partitions: int | None = None
                      ) -> DataFrame:
-    """(path, content) of every `.py` file below `root`, ignored folders left out."""
+    """(path, content) of every `.py` file below `root`, ignored folders left out.
+
+    Paths are listed by the tasks and then spread evenly before any file is opened, so one
+    huge folder is not one task's work. Files that cannot be read are skipped.
+    """
+    base = os.path.abspath(root)
+
+    def contents(batches):
+        def files():
+            for batch in batches:
+                for path in batch.column(0).to_pylist():
+                    try:
+                        with open(os.path.join(base, path), "rb") as f:
+                            yield path, f.read()
+                    except OSError:
+                        continue
+        return _batches(files())
+
     spark.dataSource.register(SourceTree)
-    wanted = partitions or max(64, 4 * spark.sparkContext.defaultParallelism)
-    return spark.read.format("source_tree").option("partitions", wanted).load(root)
+    wanted = partitions or _tasks(spark)
+    paths = spark.read.format("source_tree").option("partitions", wanted).load(base)
+    return paths.repartition(wanted, "path").mapInArrow(contents, FILE_SCHEMA)
+
+
+def _tasks(spark: SparkSession) -> int:
+    """A fixed number of tasks: the paths are too small for their bytes to tell the work."""
+    return max(64, 4 * spark.sparkContext.defaultParallelism)
 
 
-def read_source_archives(spark: SparkSession, archives: DataFrame, path: str = "path"
-                         ) -> DataFrame:
+def read_source_archives(spark: SparkSession, archives: DataFrame, path: str = "path",
+                         partitions: int | None = None) -> DataFrame:
     """(archive, path, content) of the `.py` members of zip files named in `archives`.
 
     Members are listed first (only the directory of a zip is read) and then spread over the
@@ -154,7 +174,7 @@ def read_source_archives(spark: SparkSession, archives: DataFrame, path: str = "
                              *read.columns], names=["archive", "path", "content"])
 
     listed = archives.select(path).mapInArrow(members, "archive string, path string")
-    spread = listed.repartition(F.col("archive"), F.col("path"))
+    spread = listed.repartition(partitions or _tasks(spark), "archive", "path")
     return spread.mapInArrow(contents, "archive string, path string, content binary")
 
 
