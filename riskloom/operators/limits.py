@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
-from .skew import micros, salted_join, slot_of, with_time_slots
+from ..session import scratch_path, settle
+from .skew import micros, salted_join, slot_of, whole_steps, with_time_slots
 
 
 def trailing_count(df: DataFrame, key: str, ts: str, seconds: int, out: str = "n_recent",
@@ -84,37 +85,65 @@ def _record(batches: Iterator[pa.RecordBatch], seconds: int, limit: int
         yield batch.take(pa.array(kept, pa.int64()))
 
 
+def _replay(feed: DataFrame, seconds: int, limit: int, chunk_windows: int) -> DataFrame:
+    """Recorded failures of all stretches: (key, time, id) rows of `feed`.
+
+    A long stretch is replayed chunk by chunk, `chunk_windows` windows at a time; chunk
+    number n of every stretch runs in round n. What one chunk hands to the next is its
+    recorded rows of the last window, at most `limit`: replayed in front of the next
+    chunk they rebuild its state. Most logs need one round.
+    """
+    spark, span = feed.sparkSession, seconds * 1_000_000
+    length = chunk_windows * span
+    fed = settle(feed.withColumn("_chunk", whole_steps(
+        F.greatest(F.col("_us") - F.col("_start"), F.lit(0)), length)), "limiter-feed")
+    rounds = fed.agg(F.max("_chunk")).first()[0]
+    path, carried = scratch_path(spark, "limiter"), None
+    for n in range((rounds or 0) + 1):
+        rows = fed.where(F.col("_chunk") == n)
+        if carried is not None:
+            rows = rows.unionByName(carried)
+        ordered = rows.repartition("_stretch").sortWithinPartitions("_stretch", "_us", "_id")
+        replayed = ordered.mapInArrow(lambda it: _record(it, seconds, limit), ordered.schema)
+        replayed.where(F.col("_chunk") == n).write.parquet(f"{path}/round={n}")
+        end = F.col("_start") + (n + 1) * length
+        carried = spark.read.schema(fed.schema).parquet(f"{path}/round={n}").where(
+            F.col("_us") > end - span)
+    return spark.read.schema(fed.schema).parquet(*[
+        f"{path}/round={n}" for n in range((rounds or 0) + 1)])
+
+
 def rate_limit(df: DataFrame, key: str, ts: str, failed: str, id: str,
                seconds: int = fixed.RATE_WINDOW_SECONDS,
-               limit: int = fixed.RATE_MAX_ATTEMPTS) -> DataFrame:
+               limit: int = fixed.RATE_MAX_ATTEMPTS, chunk_windows: int = 96) -> DataFrame:
     """Add `blocked`: `limit` *recorded* failures are younger than `seconds`.
 
     A blocked attempt is not recorded, so the decision is recursive. Only the stretches in
-    which blocking is possible are replayed, as a sorted stream with a state of `limit`
-    times; of failures at one instant only the first `limit` can matter. Attempts are then
-    compared with the recorded failures of their own and the previous time slot, at most
-    `2 * limit` of them.
+    which blocking is possible are replayed, sorted, with a state of `limit` times; of
+    failures at one instant only the first `limit` can matter. Attempts are then compared
+    with the recorded failures of their own and the previous time slot, at most
+    `2 * limit` of them. The replay runs when this is called; the rest is lazy.
     """
     span = seconds * 1_000_000
     slotted = (df.withColumn("_us", micros(ts))
                .withColumn("_slot", slot_of("_us", span)))
     stretches = _busy_stretches(df, key, ts, failed, seconds, limit)
 
-    hits = slotted.where(F.col(failed)).select(key, id, "_us", "_slot").join(
-        stretches, [key, "_slot"])
+    hits = slotted.where(F.col(failed)).select(
+        F.col(key).alias("_key"), F.col(id).alias("_id"), "_us", "_slot").join(
+        stretches.withColumnRenamed(key, "_key"), ["_key", "_slot"])
     inside = (F.col("_us") > F.col("_start") - span) & (F.col("_us") <= F.col("_end"))
-    tie = Window.partitionBy(key, "_us").orderBy(id)
-    feed = (hits.where(inside)
-            .select(F.concat_ws("@", F.col(key).cast("string"), F.col("_start"))
-                    .alias("_stretch"), key, "_us", id)
-            .withColumn("_tie", F.row_number().over(tie)).where(F.col("_tie") <= limit)
-            .drop("_tie")
-            .repartition("_stretch").sortWithinPartitions("_stretch", "_us", id))
-    recorded = feed.mapInArrow(lambda it: _record(it, seconds, limit), feed.schema)
+    tie = Window.partitionBy("_key", "_us").orderBy("_id")
+    feed = (hits.where(inside).withColumn("_tie", F.row_number().over(tie))
+            .where(F.col("_tie") <= limit)
+            .select(F.concat_ws("@", F.col("_key").cast("string"), F.col("_start"))
+                    .alias("_stretch"), "_key", "_us", "_id", "_start"))
+    recorded = _replay(feed, seconds, limit, chunk_windows)
 
     home = slot_of("_us", span)
-    near = (recorded.select(key, F.explode(F.array(home, home + 1)).alias("_slot"),
-                            F.struct("_us", F.col(id).alias("_id")).alias("_r"))
+    near = (recorded.select(F.col("_key").alias(key),
+                            F.explode(F.array(home, home + 1)).alias("_slot"),
+                            F.struct("_us", "_id").alias("_r"))
             .groupBy(key, "_slot").agg(F.collect_list("_r").alias("_near")))
     me = F.struct(F.col("_us"), F.col(id).alias("_id"))
     active = F.size(F.filter("_near", lambda r: (r < me) & (r["_us"] > F.col("_us") - span)))

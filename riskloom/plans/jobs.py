@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,18 +11,10 @@ from .. import fixed
 from ..fixed import Rule
 from ..functions import lexing, text
 from ..operators import curate, detect, extract, model, report
-from ..session import checkpoint_dir
+from ..session import settle
 from ..sources import corpus, sinks, tree
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write an intermediate table once to the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def preprocess_files(files: DataFrame, vocabulary: DataFrame | None = None,
                      exact: bool = False) -> DataFrame:
     """(path, content) to functions: filename, function_name, code, start_line, raw_tokens,

@@ -10,10 +10,9 @@ from ..operators import history, limits, maintain
 from . import tables as t
 from .registry import query
 
-# Limits scaled to the given events, which are days apart per user, not seconds.
-DAY = 86_400
-LIMIT_SECONDS = 5 * DAY
-EXPIRY_SECONDS = DAY // 2
+# Limits scaled to the given events, which are hours apart per user, not seconds.
+LIMIT_SECONDS = EXPIRY_SECONDS = 12 * 3600
+LIMIT_FAILURES = 2
 
 
 def _at(column, pattern=t.TIME):
@@ -213,14 +212,16 @@ def trailing_count(spark, base):
              "attempts",
     steps="SELECT user_id, 0::BIGINT AS rn, NULL::BIGINT AS event_id, false AS blocked, "
           "[]::BIGINT[] AS recent FROM (SELECT DISTINCT user_id FROM attempts) UNION ALL SELECT "
-          "user_id, rn, event_id, len(kept) >= 5, CASE WHEN failed AND len(kept) < 5 THEN "
+          "user_id, rn, event_id, len(kept) >= "
+          f"{LIMIT_FAILURES}, CASE WHEN failed AND len(kept) < {LIMIT_FAILURES} THEN "
           "list_append(kept, us) ELSE kept END FROM (SELECT n.user_id, n.rn, n.event_id, n.failed, "
           "n.us, list_filter(s.recent, lambda x: n.us - x < "
           f"{LIMIT_SECONDS * 1_000_000}) AS kept FROM steps s JOIN numbered n ON n.user_id = "
           "s.user_id AND n.rn = s.rn + 1)"))
 def rate_limit(spark, base):
     return limits.rate_limit(t.attempts(spark, base), "user_id", "ts", "failed", "event_id",
-                             LIMIT_SECONDS).select("event_id", "user_id", "blocked")
+                             LIMIT_SECONDS, LIMIT_FAILURES).select(
+        "event_id", "user_id", "blocked")
 
 
 @query("action_windows", t.with_ctes(("audit_log",), (

@@ -6,7 +6,7 @@ name and columns for the SQL that checks it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed
@@ -60,6 +60,10 @@ def rated_labelled(spark: SparkSession, base: str) -> DataFrame:
         .alias("safety"))
 
 
+def _after(day: str, seconds: Column) -> Column:
+    return F.lit(day).cast("timestamp") + F.make_dt_interval(secs=seconds)
+
+
 def users(spark: SparkSession, base: str) -> DataFrame:
     name = F.replace(F.lower("c_name"), F.lit("#"), F.lit("."))
     return load(spark, base, "customer").select(
@@ -67,9 +71,9 @@ def users(spark: SparkSession, base: str) -> DataFrame:
         F.when(F.col("c_nationkey") == 3, F.concat(name, F.lit(" at example"))).otherwise(
             F.concat(name, F.lit("@example.com"))).alias("email"),
         F.when(F.col("c_mktsegment") == "BUILDING", "admin").otherwise("user").alias("role"),
-        F.timestamp_seconds(F.lit(1577836800) + F.col("c_custkey") * 3600).alias("created_at"),
-        F.when(F.col("c_nationkey") != 0, F.timestamp_seconds(
-            F.lit(1704067200) + F.col("c_custkey") * 61)).alias("last_login"),
+        _after("2020-01-01", F.col("c_custkey") * 3600).alias("created_at"),
+        F.when(F.col("c_nationkey") != 0, _after("2024-01-01", F.col("c_custkey") * 61))
+        .alias("last_login"),
         (F.col("c_acctbal") >= 0).cast("int").alias("is_active"))
 
 

@@ -55,7 +55,12 @@ def test_limiter_matches_loop(spark, seed, gap, ties):
         rows.append((rng.choice("aaab"), at, rng.random() < 0.8))
     want = replay(rows)
     assert any(want.values()) or gap == 2000
-    assert limited(frame(spark, rows).repartition(5)) == want
+    df = frame(spark, rows).repartition(5)
+    assert limited(df) == want
+    # Long stretches in several rounds: chunks of one, two or five windows.
+    if gap < 100:
+        for chunk in (1, 2, 5):
+            assert limited(df, chunk_windows=chunk) == want
 
 
 def test_limiter_other_settings(spark):
