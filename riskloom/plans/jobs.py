@@ -12,7 +12,7 @@ from ..fixed import Rule
 from ..functions import lexing, text
 from ..operators import curate, detect, extract, model, report
 from ..session import settle
-from ..sources import corpus, sinks, tree
+from ..sources import corpus, history, sinks, tree
 
 
 def preprocess_files(files: DataFrame, vocabulary: DataFrame | None = None,
@@ -60,6 +60,35 @@ def scan_corpus(spark: SparkSession, root: str, output: str | None = None,
     return out
 
 
+# Positions inside a scan come in stretches of this length.
+POSITION_CHUNK = 2 ** 50
+
+
+def record_scan(findings: DataFrame, scan_id: int, user_id: int, target: str, base: str,
+                address: str | None = None) -> None:
+    """Store a finished scan anonymised, and log it.
+
+    Findings get a position from their file (hashed) and their place in it, so numbering
+    needs no global sort. The log names the target; the stored scan does not.
+    """
+    place = F.shiftleft(F.shiftrightunsigned(F.xxhash64("filename"), 20), 19)
+    placed = findings.withColumn("scan_id", F.lit(scan_id)).withColumn(
+        "ord", place + F.col("fn")).drop("fn")
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
+    scans = settle(detect.scan_counters(placed, ["scan_id"], "filename").select(
+        "scan_id", F.lit(user_id).alias("user_id"), now.alias("scan_time"),
+        F.col("total").alias("total_functions"), F.col("vulnerable").alias("vulnerable_count"),
+        F.col("safe").alias("safe_count"), F.col("high_risk").alias("high_risk_count"),
+        F.col("files").alias("files_scanned")), "scan")
+    history.append_scans(scans, placed, base, POSITION_CHUNK)
+    details = F.concat(F.lit(f"Target: {target} ("), F.col("files_scanned"),
+                       F.lit(" files), Vulnerable: "), F.col("vulnerable_count"))
+    history.append_audit(scans.select(
+        F.col("scan_id").alias("id"), "user_id", F.lit("SCAN_COMPLETED").alias("action"),
+        F.lit(address).cast("string").alias("ip_address"),
+        F.col("scan_time").cast("timestamp").alias("timestamp"), details.alias("details")), base)
+
+
 def load_labelled(spark: SparkSession, path: str) -> DataFrame:
     """A labelled CSV with its row numbers written down once, so that they never change."""
     return settle(corpus.read_labelled_corpus(spark, path), "labelled")

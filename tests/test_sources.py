@@ -154,10 +154,10 @@ def test_history_round_trip(spark, tmp_path):
         F.lit(1).alias("start_line"), "vulnerable_line_no", "vulnerable_line_text",
         "is_vulnerable", "confidence", "confidence_percent", "cwe_category",
         "suspicious_tokens", "risk_level", "remediation", F.col("code").alias("function_code"))
-    scans = spark.createDataFrame([(7, "secret", "2024-01-01 00:00:00", 2, 1, 1, 1, 1)],
-                                  "scan_id long, filename string, scan_time string, "
-                                  "total_functions int, vulnerable_count int, safe_count int, "
-                                  "high_risk_count int, files_scanned int")
+    scans = spark.createDataFrame([(7, 3, "secret", "2024-01-01 00:00:00", 2, 1, 1, 1, 1)],
+                                  "scan_id long, user_id long, filename string, "
+                                  "scan_time string, total_functions int, vulnerable_count int, "
+                                  "safe_count int, high_risk_count int, files_scanned int")
     history.append_scans(scans, findings, str(tmp_path), chunk=10)
     kept = spark.read.parquet(str(tmp_path / "scan_findings")).collect()
     assert {r["filename"] for r in kept} == {"File 1"}
@@ -176,6 +176,27 @@ def test_history_round_trip(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "audit_log")).count() == 1
 
 
+def test_record_scan(spark, tmp_path):
+    files = spark.createDataFrame(
+        [("app/utils.py", bytearray(CODE.encode())),
+         ("app/models.py", bytearray(b"def g():\n    return 1\ndef h(q):\n    eval(q)\n"))],
+        "path string, content binary")
+    spark.createDataFrame([], history.SCHEMAS["users"]).write.parquet(str(tmp_path / "users"))
+    jobs.record_scan(jobs.scan_files(files), 11, 3, "app", str(tmp_path), "1.2.3.4")
+    tables = history.read_history(spark, str(tmp_path))
+    scan = tables["scan_history"].first()
+    assert (scan["id"], scan["user_id"], scan["filename"], scan["is_deleted"]) == (
+        11, 3, "Anonymized Target (2 files)", 0)
+    assert (scan["total_functions"], scan["vulnerable_count"], scan["safe_count"]) == (3, 2, 1)
+    doc = json.loads(scan["scan_result_json"])
+    assert doc["cwe_summary"] == {"CWE-78: OS Command Injection": 2}
+    assert sorted({f["filename"] for f in doc["functions"]}) == ["File 1", "File 2"]
+    assert "utils.py" not in scan["scan_result_json"] and "def g" not in scan["scan_result_json"]
+    assert tables["audit_log"].first()["details"] == "Target: app (2 files), Vulnerable: 2"
+    back = corpus.parse_stored_scan(tables["scan_history"])
+    assert sorted(r["function_name"] for r in back.collect()) == ["f", "g", "h"]
+
+
 def test_line_and_csv_sinks(spark, tmp_path):
     lines = spark.createDataFrame([(2, "b"), (1, "a"), (3, "c")], "n int, line string")
     sinks.write_lines(lines, str(tmp_path / "l"), ["n"])
