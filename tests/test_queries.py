@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from riskloom.plans import registry
 from tools.check_oracle import rows_of
 
 BASE = "/root/testdata/sf0.001"
@@ -22,14 +23,15 @@ def con():
 
 def test_registry():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"lex_tokens", "train_and_evaluate"}
+    assert set(registry.QUERIES) <= set(entry.queries())
+    assert set(registry.QUERIES) - set(registry.ORACLES) == {"lex_tokens", "train_and_evaluate"}
 
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_equals_sql(spark, con, name):
     df = entry.queries()[name](spark, BASE)
     got = rows_of(df.columns, df.collect())
