@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import token_counts, token_files
+from riskloom.llm import packing, prefix_bpe, token_counts, token_files, warc
 from riskloom.plans.registry import Query
 from riskloom.session import scratch_path
 
@@ -23,6 +23,18 @@ def documents(spark: SparkSession, base: str) -> DataFrame:
     return spark.read.parquet(f"{base}/documents.parquet")
 
 
+ORACLES["op5_warc"] = """
+WITH p AS (SELECT page_id, url, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+                  sha256(coalesce(html, '')) AS payload_digest FROM pages),
+     f AS (SELECT payload_digest, min(page_id) AS smallest FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, url, payload_bytes, payload_digest,
+       CASE WHEN smallest IS NULL OR page_id IS NOT DISTINCT FROM smallest THEN 'response' ELSE 'revisit' END
+           AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM smallest THEN smallest END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)
+"""
+
+
 @query
 def op2_token_files(spark: SparkSession, base: str) -> DataFrame:
     folder = scratch_path(spark, "token-files")
@@ -30,6 +42,23 @@ def op2_token_files(spark: SparkSession, base: str) -> DataFrame:
     return token_files.read_corpus(spark, folder, "ids_crc32").withColumnRenamed("key", "doc_id")
 
 
+@query
+def op3_prefix_bpe(spark: SparkSession, base: str) -> DataFrame:
+    return prefix_bpe.digest_texts(documents(spark, base), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op5_warc(spark: SparkSession, base: str) -> DataFrame:
+    folder = scratch_path(spark, "warc")
+    index = warc.archive(spark.read.parquet(f"{base}/pages.parquet"), folder)
+    return warc.read_records(index, f"{folder}/warc")
+
+
+@query
+def op9_pattern_packing(spark: SparkSession, base: str) -> DataFrame:
+    return packing.pack(documents(spark, base), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
 @query
 def op10_token_counts(spark: SparkSession, base: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, base), public_tokenizers.path("byte_bpe_50k.json"))
