@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import packing, prefix_bpe, token_counts, token_files, warc
+from riskloom.llm import langid, packing, prefix_bpe, quality, token_counts, token_files, warc
 from riskloom.plans.registry import Query
 from riskloom.session import scratch_path
 
@@ -47,6 +47,12 @@ def op3_prefix_bpe(spark: SparkSession, base: str) -> DataFrame:
     return prefix_bpe.digest_texts(documents(spark, base), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op4_quality(spark: SparkSession, base: str) -> DataFrame:
+    docs = documents(spark, base)
+    return quality.score(docs, quality.fit(docs, spark.read.parquet(f"{base}/labels.parquet")))
+
+
 @query
 def op5_warc(spark: SparkSession, base: str) -> DataFrame:
     folder = scratch_path(spark, "warc")
@@ -54,6 +60,12 @@ def op5_warc(spark: SparkSession, base: str) -> DataFrame:
     return warc.read_records(index, f"{folder}/warc")
 
 
+@query
+def op7_langid(spark: SparkSession, base: str) -> DataFrame:
+    docs = documents(spark, base)
+    return langid.identify(docs, langid.fit(docs, public_tokenizers.path("piece_bpe_32k.model")))
+
+
 @query
 def op9_pattern_packing(spark: SparkSession, base: str) -> DataFrame:
     return packing.pack(documents(spark, base), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
