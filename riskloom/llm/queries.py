@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import langid, packing, prefix_bpe, quality, token_counts, token_files, warc
+from riskloom.llm import (ann, langid, near_vectors, packing, prefix_bpe, quality, token_counts,
+                          token_files, warc)
 from riskloom.plans.registry import Query
 from riskloom.session import scratch_path
 
@@ -34,6 +35,30 @@ SELECT page_id, url, payload_bytes, payload_digest,
 FROM p LEFT JOIN f USING (payload_digest)
 """
 
+ORACLES["op1_cross_polytope"] = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, x -> x <> 0)) > 0),
+  u AS (SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, x -> x * x))) AS norm FROM v),
+  links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b
+            ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
+  reach(vec_id, other) AS (SELECT vec_id, vec_id FROM embeddings
+            UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.other),
+  roots AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY 1),
+  degrees AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY 1)
+SELECT e.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, r.component_id,
+       coalesce(e.vec_id = r.component_id, false) AS kept
+FROM embeddings e LEFT JOIN roots r USING (vec_id) LEFT JOIN degrees d USING (vec_id)
+"""
+
+
+@query
+def op1_cross_polytope(spark: SparkSession, base: str) -> DataFrame:
+    return near_vectors.link_vectors(spark.read.parquet(f"{base}/embeddings.parquet"))
+
 
 @query
 def op2_token_files(spark: SparkSession, base: str) -> DataFrame:
@@ -60,6 +85,12 @@ def op5_warc(spark: SparkSession, base: str) -> DataFrame:
     return warc.read_records(index, f"{folder}/warc")
 
 
+@query
+def op6_posting_lists(spark: SparkSession, base: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{base}/embeddings.parquet")
+    return ann.search(vectors.where(F.col("vec_id") % 20 == 0), vectors)
+
+
 @query
 def op7_langid(spark: SparkSession, base: str) -> DataFrame:
     docs = documents(spark, base)
