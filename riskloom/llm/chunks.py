@@ -11,6 +11,7 @@ depends on the batch and on `keep`, not on the longest text.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 from array import array
@@ -128,7 +129,10 @@ def open_tokenizer(spec: str):
 # characters up to U+024F, whose classes no version of Unicode has changed.
 _L, _N = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
 _SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
-BYTE_WORDS = re.compile(rf"{_SHORT}| ?[{_L}]+| ?[{_N}]+| ?[^ \n{_L}{_N}]+|[ \n]+(?![^ \n])|[ \n]+")
+_BYTEWISE = rf"{_SHORT}| ?[{_L}]+| ?[{_N}]+| ?[^ \n{_L}{_N}]+|[ \n]+(?![^ \n])|[ \n]+"
+BYTE_WORDS = re.compile(_BYTEWISE)
+# The same for ASCII whose space and line feed already are byte letters.
+LETTER_WORDS = re.compile(rf"{_SHORT}|Ġ?[A-Za-z]+|Ġ?[0-9]+|Ġ?[^ĠĊA-Za-z0-9]+|[ĠĊ]+(?![^ĠĊ])|[ĠĊ]+")
 LOWER_WORDS = re.compile(rf"{_SHORT}|[{_L}]+|[{_N}]|[^ \n{_L}{_N}]+")
 _COMMON = re.compile("[ -~\n\u00a1-\u00ac\u00ae-\u012f\u0131-\u024f]*").fullmatch
 
@@ -170,35 +174,63 @@ class Words:
         """The words as byte letters, or None where the library itself must cut."""
         if self.find is None or not _COMMON(chunk) or self.special(chunk):
             return None
-        found = self.find(chunk.lower() if self.lower else chunk)
-        if self.lower and chunk.isascii():
-            return found  # ASCII letters and signs stand for themselves
-        return [as_letters(w) for w in found]
+        if chunk.isascii():  # ASCII letters and signs stand for themselves
+            if self.lower:
+                return self.find(chunk.lower())
+            return LETTER_WORDS.findall(chunk.replace(" ", "Ġ").replace("\n", "Ċ"))
+        return [as_letters(w) for w in self.find(chunk.lower() if self.lower else chunk)]
 
 
-class Encoder:
-    """Whole texts to ids with the tokenizers library."""
+class _Merged:
+    """What each chunk is worth, from what its words are worth; see `Encoder` and `Counter`."""
 
-    def __init__(self, spec: str, keep: int = 300_000):
+    def __init__(self, spec: str, keep: int):
         self.tokenizer = open_tokenizer(spec)
         self.model = self.tokenizer.model
+        self.words = Words(spec, self.tokenizer)
+        self.keep, self.parts = keep, {}
+        self.memory = Remembered(self._values, keep)
+
+    def _values(self, chunks: Sequence[str]) -> list:
+        parts, short, merged, add_up = self.parts, self.words.short, self._merged, self._add_up
+        if len(parts) > self.keep:
+            parts.clear()
+        out, whole = [], []
+        for chunk in chunks:
+            words = short(chunk)
+            if words is None:
+                whole.append(len(out))
+                out.append(chunk)
+                continue
+            row = []
+            for word in words:
+                value = parts.get(word)
+                if value is None:
+                    value = parts[word] = merged(word)
+                row.append(value)
+            out.append(row[0] if len(row) == 1 else add_up(row))
+        if whole:
+            rows = self.tokenizer.encode_batch_fast([out[i] for i in whole], add_special_tokens=False)
+            for i, row in zip(whole, rows, strict=True):
+                out[i] = self._read(row)
+        return out
+
+
+class Encoder(_Merged):
+    """Whole texts to ids with the tokenizers library."""
+
+    def __init__(self, spec: str, keep: int = 300_000):
+        super().__init__(spec, keep)
         wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
         self.kind = np.uint32 if wide else np.uint16
-        self.words = Words(spec, self.tokenizer)
-        self.parts = Remembered(self._merge, keep)
-        self.memory = Remembered(self._encode, keep)
+        self.code = self.kind(0).dtype.char
+        self._add_up = b"".join
 
-    def _merge(self, words: Sequence[str]) -> list[bytes]:
-        tokenize, code = self.model.tokenize, self.kind(0).dtype.char
-        return [array(code, [t.id for t in tokenize(w)]).tobytes() for w in words]
+    def _merged(self, word: str) -> bytes:
+        return array(self.code, [t.id for t in self.model.tokenize(word)]).tobytes()
 
-    def _encode(self, chunks: Sequence[str]) -> list[bytes]:
-        cuts = [self.words.short(c) for c in chunks]
-        part = self.parts.table([w for words in cuts if words for w in words])
-        whole = [c for c, words in zip(chunks, cuts, strict=True) if words is None]
-        rows = iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False) if whole else ())
-        return [np.array(next(rows).ids, self.kind).tobytes() if words is None
-                else b"".join([part[w] for w in words]) for words in cuts]
+    def _read(self, row) -> bytes:
+        return array(self.code, row.ids).tobytes()
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and per text where its ids start (one more entry at the end)."""
@@ -211,26 +243,15 @@ class Encoder:
         return ids, ends[starts]
 
 
-class Counter:
+class Counter(_Merged):
     """Whole texts to numbers of ids with the tokenizers library."""
 
     def __init__(self, spec: str, keep: int = 300_000):
-        self.tokenizer = open_tokenizer(spec)
-        self.model = self.tokenizer.model
-        self.words = Words(spec, self.tokenizer)
-        self.parts = Remembered(self._merge, keep)
-        self.memory = Remembered(self._count, keep)
-
-    def _merge(self, words: Sequence[str]) -> list[int]:
-        tokenize = self.model.tokenize
-        return [len(tokenize(w)) for w in words]
+        super().__init__(spec, keep)
+        self._add_up, self._read = sum, len
 
-    def _count(self, chunks: Sequence[str]) -> list[int]:
-        cuts = [self.words.short(c) for c in chunks]
-        part = self.parts.table([w for words in cuts if words for w in words])
-        whole = [c for c, words in zip(chunks, cuts, strict=True) if words is None]
-        rows = iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False) if whole else ())
-        return [len(next(rows)) if words is None else sum([part[w] for w in words]) for words in cuts]
+    def _merged(self, word: str) -> int:
+        return len(self.model.tokenize(word))
 
     def counts(self, texts: pa.Array) -> np.ndarray:
         flat, starts = cut(texts)
@@ -247,5 +268,6 @@ def opened(kind: Callable, spec: str):
     """One `kind(spec)` per Python worker: what it remembers serves all tasks of the worker."""
     key = (kind, hash(spec))
     if key not in _OPEN:
+        gc.set_threshold(200_000, 50, 100)  # the tables hold no cycles; walking them often is waste
         _OPEN[key] = kind(spec)
     return _OPEN[key]

@@ -58,7 +58,35 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
-def encode(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray, block: int) -> tuple[np.ndarray, bytes]:
+# Ids coded at once; each stretch begins on a whole byte.
+STRETCH = 1 << 20
+
+
+def encode(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray, block: int) -> tuple[np.ndarray, list[bytes]]:
+    """Bit offset of every block (and the end), and the bits, in memory bounded by STRETCH."""
+    step = max(1, STRETCH // block) * block
+    offsets, bits, done = [], [], 0
+    for at in range(0, len(ids), step):
+        own, part = _encode(ids[at:at + step], lengths, codes, block)
+        offsets.append(own[:-1] + np.uint64(8 * done))
+        bits.append(part)
+        done += len(part)
+    return np.concatenate([*offsets, np.array([8 * done], np.uint64)]), bits
+
+
+def decode(bits: bytes, offsets: np.ndarray, n_ids: int, block: int, table: np.ndarray, width: int) -> np.ndarray:
+    """All ids, stretch by stretch; blocks of a stretch advance together."""
+    blocks = max(1, STRETCH // block)
+    out = np.zeros(n_ids, np.uint32)
+    for at in range(0, len(offsets) - 1, blocks):
+        some = offsets[at:at + blocks + 1]
+        first, last = int(some[0]) >> 3, (int(some[-1]) + 7) >> 3
+        n = min(n_ids - at * block, blocks * block)
+        out[at * block:at * block + n] = _decode(bits[first:last], some - np.uint64(8 * first), n, block, table, width)
+    return out
+
+
+def _encode(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray, block: int) -> tuple[np.ndarray, bytes]:
     """Bit offset of every block (and the end), and the bits."""
     sizes = lengths[ids].astype(np.int64)
     ends = np.cumsum(sizes)
@@ -91,8 +119,8 @@ def decoding_table(lengths: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray,
     return table, width
 
 
-def decode(bits: bytes, offsets: np.ndarray, n_ids: int, block: int, table: np.ndarray, width: int) -> np.ndarray:
-    """All ids: every block starts at its own offset, and all blocks advance together."""
+def _decode(bits: bytes, offsets: np.ndarray, n_ids: int, block: int, table: np.ndarray, width: int) -> np.ndarray:
+    """Every block starts at its own offset, and all blocks advance together."""
     blocks = len(offsets) - 1
     out = np.zeros((block, blocks), np.uint32)
     if n_ids == 0:

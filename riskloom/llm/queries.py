@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import (ann, langid, near_vectors, packing, prefix_bpe, quality, token_counts,
-                          token_files, warc)
+from riskloom.llm import (ann, langid, near_texts, near_vectors, packing, prefix_bpe, quality,
+                          token_counts, token_files, warc)
 from riskloom.plans.registry import Query
 from riskloom.session import scratch_path
 
@@ -39,9 +40,9 @@ ORACLES["op1_cross_polytope"] = """
 WITH RECURSIVE v AS (
     SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
     WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
-      AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-      AND len(list_filter(embedding, x -> x <> 0)) > 0),
-  u AS (SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, x -> x * x))) AS norm FROM v),
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+  u AS (SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v),
   links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b
             ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
             AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
@@ -97,6 +98,11 @@ def op7_langid(spark: SparkSession, base: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs, public_tokenizers.path("piece_bpe_32k.model")))
 
 
+@query
+def op8_minhash(spark: SparkSession, base: str) -> DataFrame:
+    return near_texts.near_duplicates(documents(spark, base))
+
+
 @query
 def op9_pattern_packing(spark: SparkSession, base: str) -> DataFrame:
     return packing.pack(documents(spark, base), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
@@ -105,3 +111,8 @@ def op9_pattern_packing(spark: SparkSession, base: str) -> DataFrame:
 @query
 def op10_token_counts(spark: SparkSession, base: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, base), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def pipeline(spark: SparkSession, base: str) -> DataFrame:
+    return corpus_pipeline.run(spark, base)

@@ -125,7 +125,7 @@ def file_body(keys: list, pieces: list[np.ndarray], lengths: np.ndarray, codes:
             np.array([k or 0 for k in keys], "<i8").tobytes(),
             np.array([k is None for k in keys], "u1").tobytes(),
             np.array([len(p) for p in pieces], "<u8").tobytes(),
-            offsets.astype("<u8").tobytes(), bits]
+            offsets.astype("<u8").tobytes(), *bits]
 
 
 def read_body(body: bytes) -> tuple[list, np.ndarray, np.ndarray]:
