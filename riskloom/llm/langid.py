@@ -27,6 +27,8 @@ LONGEST_WORD = 32
 DOCS = 1_500
 WORDS = 30_000
 ROUNDS = 4
+# Shares of a language that are ranked on their own; each may give twice its part of the sample.
+SHARES = 50
 SMOOTH = 0.01
 UNKNOWN = 1e-8
 SURE = 0.5
@@ -225,7 +227,7 @@ def fit(docs: DataFrame, pieces_path: str, key: str = "doc_id", text: str = "tex
         docs_per_language: int = DOCS, words_per_language: int = WORDS) -> Model:
     """Learn from the rows with a language that are not held out.
 
-    Priors count all of them. Of each language the `docs_per_language` rows with the smallest hash are
+    Priors count all of them. Of each language at most `docs_per_language` rows, those with the smallest hashes, are
     read, and of their words the `words_per_language` commonest count; both bounds are parameters
     of the fit only. The driver sees these word counts. Rows without key or language teach nothing.
     """
@@ -233,9 +235,14 @@ def fit(docs: DataFrame, pieces_path: str, key: str = "doc_id", text: str = "tex
                        F.col(text).alias("text"))
     rows = rows.where(F.col("key").isNotNull() & F.col("lang").isNotNull() & ~held_out("key"))
     prior = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("key", F.lit(SEED)), "key")
-    chosen = (rows.select("key", "lang").withColumn("_rank", F.row_number().over(first))
-              .where(F.col("_rank") <= docs_per_language).select("key", "lang").distinct())
+    # Ranked within shares first, so that a common language isn't one task.
+    order = [F.xxhash64("key", F.lit(SEED)), "key"]
+    shared = Window.partitionBy("lang", "_share").orderBy(*order)
+    whole = Window.partitionBy("lang").orderBy(*order)
+    chosen = (rows.select("key", "lang", F.pmod(F.xxhash64("key"), F.lit(SHARES)).alias("_share")).distinct()
+              .withColumn("_rank", F.row_number().over(shared)).where(F.col("_rank") <= -(-2 * docs_per_language // SHARES))
+              .withColumn("_rank", F.row_number().over(whole)).where(F.col("_rank") <= docs_per_language)
+              .select("key", "lang"))
 
     def count(batches):
         for batch in batches:

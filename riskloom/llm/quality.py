@@ -182,6 +182,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
     bagged = rows.mapInArrow(features, "order bigint, key bigint, label int, features binary, shares binary")
     model = (bagged.repartition(1).sortWithinPartitions("order", "key", "label", "features")
              .mapInArrow(learn, "labels array<int>, scores binary, bias binary")).first()
+    if model is None:
+        return [0, 1], np.zeros((1 << BITS, 2), np.float32), np.zeros(2, np.float32)
     values = list(model["labels"])
     return (values, np.frombuffer(model["scores"], "<f4").reshape(-1, len(values)),
             np.frombuffer(model["bias"], "<f4"))
