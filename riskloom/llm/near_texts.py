@@ -38,6 +38,8 @@ POOL = 1 << 16
 # once in some five thousand pairs.
 LOOKS = 23
 CHUNK = 1_000
+# Bytes of text worked on at once: a word takes some two hundred bytes on the way.
+WORK_BYTES = 4 << 20
 SEED = 29
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3)
@@ -104,7 +106,7 @@ def idf_weights(rows: DataFrame) -> np.ndarray:
     def count(batches):
         total, texts = np.zeros(COUNTERS, np.int64), 0
         for batch in batches:
-            for _, part in chunks.slices(batch.column(0)):
+            for _, part in chunks.slices(batch.column(0), WORK_BYTES):
                 owner, found, _ = shingles(part)
                 total += np.bincount(_counter(found), minlength=COUNTERS)
                 texts += len(part)
@@ -188,7 +190,7 @@ def _signatures(rows: DataFrame, idf) -> DataFrame:
     def sign(batches):
         weights = idf.value
         for batch in batches:
-            for at, part in chunks.slices(batch.column(3)):
+            for at, part in chunks.slices(batch.column(3), WORK_BYTES):
                 owner, found, times = shingles(part)
                 drawn = samples(owner, found, weigh(found, times, weights), len(part))
                 some = drawn[:, 0] != 0
@@ -312,7 +314,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf, similar: float) -> DataFr
         weights = idf.value
         for batch in batches:
             a, b = batch.column(2), batch.column(3)
-            for at, part in chunks.slices(a, chunks.SLICE_BYTES // 2):
+            for at, part in chunks.slices(a, WORK_BYTES // 2):
                 value = similarity(part, b.slice(at, len(part)), weights)
                 good = pa.array(value >= similar)
                 yield pa.RecordBatch.from_arrays(
