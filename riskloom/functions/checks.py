@@ -16,9 +16,9 @@ def first_failure(value: Column, rules=fixed.PASSWORD_RULES) -> Column:
     return out
 
 
-def rules_met(value: Column, rules=fixed.PASSWORD_RULES) -> Column:
+def rules_met(value: Column, patterns=fixed.STRENGTH_PATTERNS) -> Column:
     score = F.lit(0)
-    for pattern, _ in rules:
+    for pattern in patterns:
         score = score + value.rlike(pattern).cast("int")
     return score
 

@@ -92,11 +92,12 @@ def union_corpora(parts: Sequence[DataFrame], ord: str = "ord",
                   drop_conflicts: bool = False) -> DataFrame:
     """Concatenate corpora (earlier ones win) and dedupe on (normalized_code, label).
 
-    `ord` becomes a text that sorts by part first, so it is unique over the union.
+    `ord` becomes a text that sorts by part first, so it is unique over the union: whole numbers are
+    written at full width above zero, texts of any length stay as they are.
     Labels may contradict each other again after the merge unless `drop_conflicts`.
     """
-    tagged = [p.withColumn(ord, F.concat(F.lit(f"{i:03d}:"), F.lpad(
-        F.col(ord).cast("string"), 63, "0"))) for i, p in enumerate(parts)]
+    tagged = [p.withColumn(ord, F.concat(F.lit(f"{i:06d}:"), _sortable(p, ord)))
+              for i, p in enumerate(parts)]
     both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
     both = compute_once(both, _h=F.sha2("normalized_code", 256))
     out = (resolve_copies(both, "_h", ord=ord) if drop_conflicts
@@ -104,6 +105,14 @@ def union_corpora(parts: Sequence[DataFrame], ord: str = "ord",
     return out.drop("_h")
 
 
+def _sortable(df: DataFrame, ord: str) -> Column:
+    """A text that sorts like `ord` and differs where `ord` does."""
+    if isinstance(df.schema[ord].dataType, T.IntegralType):
+        above = F.col(ord).cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)")
+        return F.lpad(above.cast("decimal(20,0)").cast("string"), 20, "0")
+    return F.col(ord).cast("string")
+
+
 def diff_sides(parts: DataFrame, min_length: int = 10) -> DataFrame:
     """Bad parts (label 1) and good parts (label 0) of `side, code` rows, one pass."""
     return (parts.where(F.col("side").isin("bad", "good"))
@@ -136,15 +145,16 @@ def build_vocabulary(df: DataFrame, tokens: str = "tokens", max_size: int = 10_0
     return head.unionByName(fresh)
 
 
-def encode_tokens(df: DataFrame, vocabulary: DataFrame, key: str, tokens: str = "tokens",
-                  length: int = fixed.SEQUENCE_LENGTH, max_broadcast: int = 100_000,
-                  vocabulary_size: int = 10_000) -> DataFrame:
+def encode_tokens(df: DataFrame, vocabulary: DataFrame, key: str | Sequence[str],
+                  tokens: str = "tokens", length: int = fixed.SEQUENCE_LENGTH,
+                  max_broadcast: int = 100_000) -> DataFrame:
     """Fixed-length id sequences: first `length` tokens, unknown = 1, zero-padded.
 
-    A vocabulary of proven size is sent to the tasks once and looked up there in Arrow
-    batches, so no row is shuffled. A larger one is joined, with hot tokens salted.
+    `key` names the columns that tell rows apart. A vocabulary counted to have at most
+    `max_broadcast` rows is sent to the tasks once and looked up there in Arrow batches, so no row is
+    shuffled. A larger one is joined, with hot tokens salted; the result is the same.
     """
-    if vocabulary_size <= max_broadcast:
+    if vocabulary.limit(max_broadcast + 1).count() <= max_broadcast:
         return df.withColumn("features", _lookup(vocabulary, length)(
             F.slice(tokens, 1, length)))
     return _encode_by_join(df, vocabulary, key, tokens, length)
@@ -169,17 +179,18 @@ def _lookup(vocabulary: DataFrame, length: int):
     return F.arrow_udf(encode, T.ArrayType(T.IntegerType()))
 
 
-def _encode_by_join(df: DataFrame, vocabulary: DataFrame, key: str, tokens: str, length: int
-                    ) -> DataFrame:
+def _encode_by_join(df: DataFrame, vocabulary: DataFrame, key: str | Sequence[str], tokens: str,
+                    length: int) -> DataFrame:
     """The join collects at most `length` pairs per row when it regroups."""
-    spots = df.select(key, F.posexplode(F.slice(tokens, 1, length)).alias("pos", "token"))
+    keys = [key] if isinstance(key, str) else list(key)
+    spots = df.select(*keys, F.posexplode(F.slice(tokens, 1, length)).alias("pos", "token"))
     vocab = vocabulary.select("token", F.col("id").alias("_id"))
-    looked = salted_join(spots, vocab, ["token"], "left", [key, "pos"])
+    looked = salted_join(spots, vocab, ["token"], "left", [*keys, "pos"])
     pair = F.struct("pos", F.coalesce("_id", F.lit(fixed.UNK_ID)).alias("id"))
-    ids = (looked.groupBy(key).agg(F.array_sort(F.collect_list(pair)).alias("_p"))
-           .select(key, F.transform("_p", lambda p: p["id"]).alias("_ids")))
+    ids = (looked.groupBy(*keys).agg(F.array_sort(F.collect_list(pair)).alias("_p"))
+           .select(*keys, F.transform("_p", lambda p: p["id"]).alias("_ids")))
     empty = F.array().cast("array<int>")
-    return (df.join(ids, key, "left")
+    return (df.join(ids, keys, "left")
             .withColumn("features", scoring.pad_right(F.coalesce("_ids", empty), length))
             .drop("_ids"))
 

@@ -94,13 +94,15 @@ def locate_line(df: DataFrame, code: str = "code", start_line: Column | None = N
                 ) -> DataFrame:
     """First line that holds a suspicious token; the first line when none does.
 
-    The earliest hit in the whole text lies on the first such line, because no token
-    contains a line break. So one search per token replaces a pass over all lines.
+    Lines are searched one by one, so a token with a line break hits none and is left out.
+    The earliest hit of the others in the whole text lies on the first such line: one search
+    per token replaces a pass over all lines.
     """
     start = F.lit(1) if start_line is None else start_line
     low = F.lower(F.col(code))
     usable = F.filter("suspicious_tokens",
-                      lambda t: (F.length(t) > 2) & ~t.isin(*fixed.PLACEHOLDER_NAMES))
+                      lambda t: (F.length(t) > 2) & ~t.isin(*fixed.PLACEHOLDER_NAMES)
+                      & ~t.rlike(text.LINE_BREAK))
     places = F.filter(F.transform(usable, lambda t: F.position(F.lower(t), F.col("_low"))),
                       lambda p: p > 0)
     before = F.substring(F.col("_low"), F.lit(1), F.col("_at") - 1)

@@ -85,8 +85,8 @@ def roc_auc(df: DataFrame, prob: str = "prob", label: str = "label", levels: int
     """
     base = 2 ** bits
     points = df.groupBy(F.col(prob).alias("p")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"),
-        F.count_if(F.col(label) != 1).alias("neg"))
+        F.count_if(F.col(label) == 1).cast("decimal(19,0)").alias("pos"),
+        F.count_if(F.col(label) != 1).cast("decimal(19,0)").alias("neg"))
     rest, digits = F.col("p"), []
     for i in range(levels):
         points = points.withColumn(f"d{i}", F.floor(rest * base))
@@ -96,20 +96,22 @@ def roc_auc(df: DataFrame, prob: str = "prob", label: str = "label", levels: int
     def below(parent: list[str], by: str) -> Column:
         window = (Window.partitionBy(*(parent or [F.lit(0)])).orderBy(by)
                   .rowsBetween(Window.unboundedPreceding, -1))
-        return F.coalesce(F.sum("neg").over(window), F.lit(0))
+        return F.coalesce(F.sum("neg").over(window), F.lit(0)).cast("decimal(19,0)")
 
     pieces, table = [], points
     steps = [(digits[:i], d) for i, d in enumerate(digits)] + [(digits, "p")]
     for parent, by in reversed(steps):
-        table = table.groupBy(*parent, by).agg(F.sum("pos").alias("pos"),
-                                               F.sum("neg").alias("neg"))
-        same = F.col("pos") * F.col("neg") if by == "p" else F.lit(0).cast("bigint")
-        pieces.append(table.withColumn("_twice", F.col("pos") * below(parent, by) * 2 + same)
-                      .select("_twice"))
-    totals = points.agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+        table = table.groupBy(*parent, by).agg(F.sum("pos").cast("decimal(19,0)").alias("pos"),
+                                               F.sum("neg").cast("decimal(19,0)").alias("neg"))
+        # Products of counts can pass 2^63, hence decimals.
+        lower = (F.col("pos") * below(parent, by)).cast("decimal(38,0)")
+        same = (F.col("pos") * F.col("neg")).cast("decimal(38,0)") if by == "p" else F.lit(0)
+        pieces.append(table.select((lower + lower + same).cast("decimal(38,0)").alias("_twice")))
+    totals = points.agg(F.sum("pos").cast("bigint").alias("n_pos"),
+                        F.sum("neg").cast("bigint").alias("n_neg"))
     both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [totals, *pieces])
     summed = both.agg(F.max("n_pos").alias("n_pos"), F.max("n_neg").alias("n_neg"),
-                      F.sum("_twice").alias("_u"))
+                      F.sum("_twice").cast("double").alias("_u"))
     pairs = F.col("n_pos").cast("double") * F.col("n_neg") * 2
     return summed.select("n_pos", "n_neg",
                          F.bround(F.try_divide(F.col("_u"), pairs), 6).alias("auc"))

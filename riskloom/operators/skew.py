@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settle
+
 SALTS = 16
 # A key with fewer rows than this is no burden for one task.
 HOT_ROWS = 4_000_000
@@ -90,6 +92,23 @@ def number_rows(df: DataFrame, group: Sequence[str], position: str, out: str,
             .drop("_chunk", "_offset", "_rn"))
 
 
+def number_all(df: DataFrame, by: Sequence[str], out: str, name: str) -> DataFrame:
+    """Exact 0-based number of every row in the order of `by` (unique), written to the shared folder.
+
+    Rows are dealt by range and sorted in their range; a range starts where the ones before end.
+    There is one offset per range.
+    """
+    sorted_ = (df.repartitionByRange(*by).sortWithinPartitions(*by)
+               .withColumn("_range", F.spark_partition_id())
+               .withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))))
+    rows = settle(sorted_, name)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (rows.groupBy("_range").agg(F.count("*").alias("_n"))
+               .select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
+    return (rows.join(F.broadcast(offsets), "_range")
+            .withColumn(out, F.col("_before") + F.col("_at")).drop("_range", "_at", "_before"))
+
+
 def micros(ts: Column | str) -> Column:
     ts = F.col(ts) if isinstance(ts, str) else ts
     return F.unix_micros(ts.cast("timestamp"))

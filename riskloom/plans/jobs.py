@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..fixed import Rule
 from ..functions import lexing, text
-from ..operators import curate, detect, extract, model, report
+from ..operators import curate, detect, extract, model, report, skew
 from ..session import settle
 from ..sources import corpus, history, sinks, tree
 
@@ -18,7 +18,7 @@ from ..sources import corpus, history, sinks, tree
 def preprocess_files(files: DataFrame, vocabulary: DataFrame | None = None,
                      exact: bool = False) -> DataFrame:
     """(path, content) to functions: filename, function_name, code, start_line, raw_tokens,
-    and with a `vocabulary` (of at most 100,000 tokens) the encoded `tokens`."""
+    and with a `vocabulary` the encoded `tokens`."""
     functions = extract.extract_functions(tree.with_code(files), "path", "code")
     named = functions.withColumnsRenamed({"file_id": "filename", "name": "function_name"})
     raw = lexing.lex_shown_tokens("code") if exact else text.display_tokens(F.col("code"))
@@ -26,7 +26,7 @@ def preprocess_files(files: DataFrame, vocabulary: DataFrame | None = None,
     if vocabulary is None:
         return out
     words = lexing.lex_scorer_tokens("code") if exact else text.scan_tokens(F.col("code"))
-    return curate.encode_tokens(out.withColumn("words", words), vocabulary, "fn", "words").drop(
+    return curate.encode_tokens(out.withColumn("words", words), vocabulary, ["filename", "fn"], "words").drop(
         "words").withColumnRenamed("features", "tokens")
 
 
@@ -42,7 +42,8 @@ def scan_files(files: DataFrame, rules: Sequence[Rule] = fixed.DEFAULT_RULES,
 def scan_summary(findings: DataFrame, target: str) -> DataFrame:
     """One row of totals and the grade."""
     counted = detect.with_grade(detect.scan_counters(findings, [], "filename"))
-    return counted.select(F.lit(target).alias("target"), F.col("grade").alias("security_grade"),
+    grade = F.when(F.col("total") > 0, F.col("grade"))
+    return counted.select(F.lit(target).alias("target"), grade.alias("security_grade"),
                           F.col("total").alias("total_functions"),
                           F.col("vulnerable").alias("vulnerable_functions"),
                           F.col("safe").alias("safe_functions"), "high_risk", "files", "rate")
@@ -50,7 +51,10 @@ def scan_summary(findings: DataFrame, target: str) -> DataFrame:
 
 def scan_corpus(spark: SparkSession, root: str, output: str | None = None,
                 rules: Sequence[Rule] = fixed.DEFAULT_RULES) -> dict[str, DataFrame]:
-    """Scan a source tree; with `output` write findings and summary as JSON rows."""
+    """Scan a source tree or one file; with `output` write findings and summary as JSON rows.
+
+    A missing path is an error. Where no function was found the summary has no grade.
+    """
     findings = settle(scan_files(tree.read_source_tree(spark, root), rules), "findings")
     out = {"findings": findings, "summary": scan_summary(findings, root),
            "distribution": detect.cwe_distribution(findings)}
@@ -60,27 +64,22 @@ def scan_corpus(spark: SparkSession, root: str, output: str | None = None,
     return out
 
 
-# Positions inside a scan come in stretches of this length.
-POSITION_CHUNK = 2 ** 50
-
-
 def record_scan(findings: DataFrame, scan_id: int, user_id: int, target: str, base: str,
                 address: str | None = None) -> None:
     """Store a finished scan anonymised, and log it.
 
-    Findings get a position from their file (hashed) and their place in it, so numbering
-    needs no global sort. The log names the target; the stored scan does not.
+    Findings are written down once, numbered by file name and place in the file, so that files
+    are read and parsed a single time. The log names the target; the stored scan does not.
     """
-    place = F.shiftleft(F.shiftrightunsigned(F.xxhash64("filename"), 20), 19)
-    placed = findings.withColumn("scan_id", F.lit(scan_id)).withColumn(
-        "ord", place + F.col("fn")).drop("fn")
+    placed = (skew.number_all(findings, ["filename", "fn"], "ord", "scan-findings")
+              .withColumn("scan_id", F.lit(scan_id)).drop("fn"))
     now = F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
     scans = settle(detect.scan_counters(placed, ["scan_id"], "filename").select(
         "scan_id", F.lit(user_id).alias("user_id"), now.alias("scan_time"),
         F.col("total").alias("total_functions"), F.col("vulnerable").alias("vulnerable_count"),
         F.col("safe").alias("safe_count"), F.col("high_risk").alias("high_risk_count"),
         F.col("files").alias("files_scanned")), "scan")
-    history.append_scans(scans, placed, base, POSITION_CHUNK)
+    history.append_scans(scans, placed, base)
     details = F.concat(F.lit(f"Target: {target} ("), F.col("files_scanned"),
                        F.lit(" files), Vulnerable: "), F.col("vulnerable_count"))
     history.append_audit(scans.select(
@@ -125,7 +124,7 @@ def _finish(table: DataFrame, output: str, max_vocabulary: int, fit_on: str,
     split = settle(curate.stratified_split(table, "ord"), "split")
     base = split.where("split = 'train'") if fit_on == "train" else split
     vocabulary = settle(curate.build_vocabulary(base, "tokens", max_vocabulary), "vocabulary")
-    encoded = curate.encode_tokens(split, vocabulary, "ord", vocabulary_size=max_vocabulary)
+    encoded = curate.encode_tokens(split, vocabulary, "ord")
     sinks.write_corpus_csv(split, f"{output}/normalised", columns)
     sinks.write_corpus_csv(split, f"{output}/splits", [*sinks.SPLIT_COLUMNS, "split"])
     sinks.write_splits(encoded, [f"{output}/encoded"])
@@ -143,7 +142,7 @@ def diff_snippets(docs: DataFrame) -> DataFrame:
     parts = detect.attach_category(curate.diff_sides(corpus.diff_parts(docs)))
     category = F.array_position(F.array(*[F.lit(c) for c in fixed.DIFF_CATEGORIES]),
                                 F.col("source_category"))
-    place = [F.lpad(p.cast("string"), 9, "0") for p in (category, *(
+    place = [F.lpad(p.cast("string"), 10, "0") for p in (category, *(
         F.col(f"{n}_pos") for n in ("repo", "commit", "file", "change", "side", "part")))]
     ordered = parts.withColumn("ord", F.concat(*place))
     clean = curate.clean_labelled(ordered.withColumn("language", F.lit("py")))

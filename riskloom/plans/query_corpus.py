@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..functions import lexing, text
+from ..functions import text
 from ..operators import curate, detect, model
 from . import jobs
 from . import tables as t
 from .registry import query
 
-VOCABULARY_SIZE = 400
+VOCABULARY_SIZE = 10_000
 
 
 def _cleaned(spark, base):
@@ -109,14 +109,6 @@ def raw_tokens(spark, base):
                     F.size("shown").alias("n_shown"), _first_five()))
 
 
-@query("lex_tokens")
-def lex_tokens(spark, base):
-    """Exact lexing has no SQL form; the tests compare it with the standard library."""
-    files = t.source_files(spark, base)
-    return files.withColumn("tokens", lexing.lex_model_tokens("code")).select(
-        "doc_id", F.size("tokens").alias("n_tokens"), _first_five())
-
-
 # Curation ----------------------------------------------------------------------------
 
 @query("corpus_clean", t.with_ctes(("rated_labelled",), (
@@ -272,7 +264,7 @@ def vocabulary(spark, base):
 def encode_pad(spark, base):
     tokens = _tokenised(spark, base).select("doc_id", "tokens")
     vocab = curate.build_vocabulary(tokens, max_size=VOCABULARY_SIZE)
-    return curate.encode_tokens(tokens, vocab, "doc_id", vocabulary_size=VOCABULARY_SIZE).select(
+    return curate.encode_tokens(tokens, vocab, "doc_id").select(
         "doc_id", F.array_join(F.transform("features", lambda i: i.cast("string")), " ")
         .alias("features"))
 

@@ -207,11 +207,12 @@ def cwe_dimension(spark, base):
     "CASE WHEN NOT flag THEN 'SAFE' WHEN prob >= 0.80 THEN 'HIGH' WHEN prob >= 0.60 THEN "
     "'MEDIUM' ELSE 'LOW' END AS risk_level FROM (SELECT *, CASE WHEN flag AND is_vulnerable "
     "THEN greatest(prob, 0.9139::DOUBLE) WHEN flag THEN prob ELSE 1::DOUBLE - prob END AS c "
-    "FROM (SELECT v.*, prob, (prob >= 0.65 OR is_vulnerable) AS flag FROM verdict v JOIN scores "
-    "s ON s.id = v.doc_id))"), **RULES))
+    "FROM (SELECT v.*, coalesce(s.prob, 0::DOUBLE) AS prob, (coalesce(s.prob, 0::DOUBLE) >= 0.65 OR "
+    "is_vulnerable) AS flag FROM verdict v LEFT JOIN scores s ON s.id = v.doc_id))"), **RULES))
 def hybrid_verdict(spark, base):
+    """All documents; one without a score is judged by the rules alone."""
     scored = detect.match_rules(t.source_files(spark, base)).join(
-        t.scores(spark, base).withColumnRenamed("id", "doc_id"), "doc_id")
+        t.scores(spark, base).withColumnRenamed("id", "doc_id"), "doc_id", "left").fillna(0.0, "prob")
     return detect.hybrid_verdict(scored).select(
         "doc_id", "is_vulnerable", "confidence", "confidence_percent", "cwe_category",
         "risk_level")
@@ -368,6 +369,6 @@ def json_roundtrip(spark, base):
              .withColumn("scan_time", F.date_format("scan_time", t.TIME)))
     stored = history.stored_scans(scans, found)
     back = parse_stored_scan(stored.select(F.col("scan_id").alias("id"), "scan_result_json"))
-    return back.select(F.col("scan_id"), "ord", "function_name", "start_line", "is_vulnerable",
+    return back.select(F.col("scan_id"), F.col("ord").cast("int").alias("ord"), "function_name", "start_line", "is_vulnerable",
                        "confidence", "cwe_category",
                        F.array_join("suspicious_tokens", ",").alias("suspicious_tokens"))

@@ -29,38 +29,43 @@ def keep_dir(name: str) -> bool:
     return name.lower() not in fixed.IGNORED_DIRS and not name.startswith(".")
 
 
-class Subtree(InputPartition):
-    """A folder to read: with everything below it, or only its own files."""
+class Subtrees(InputPartition):
+    """Folders to read: each with everything below it, or only its own files."""
 
-    def __init__(self, folder: str, deep: bool):
-        super().__init__(folder)
-        self.folder, self.deep = folder, deep
+    def __init__(self, folders: list[tuple[str, bool]]):
+        super().__init__(folders[0][0])
+        self.folders = folders
 
 
-def plan_subtrees(root: str, wanted: int) -> list[Subtree]:
-    """Open folders level by level until there are `wanted` of them.
+def plan_subtrees(root: str, wanted: int) -> list[Subtrees]:
+    """Open folders level by level until there are `wanted` of them; deal them to `wanted` tasks.
 
     The driver only handles folder names of the upper levels; files are listed by the tasks.
+    Links to folders are not followed, here as little as below.
     """
-    level, plan = [root], []
+    level: list[str] = [root]
+    plan: list[tuple[str, bool]] = []
     while level and len(level) < wanted:
         below: list[str] = []
         for folder in level:
-            plan.append(Subtree(folder, deep=False))
+            plan.append((folder, False))
             try:
                 with os.scandir(folder) as entries:
-                    below += sorted(e.path for e in entries if e.is_dir() and keep_dir(e.name))
+                    below += sorted(e.path for e in entries
+                                    if e.is_dir(follow_symlinks=False) and keep_dir(e.name))
             except OSError:
                 continue
         level = below
-    return plan + [Subtree(folder, deep=True) for folder in level]
+    plan += [(folder, True) for folder in level]
+    return [Subtrees(plan[i::wanted]) for i in range(min(wanted, len(plan)))]
 
 
-def _walk(part: Subtree, suffix: str) -> Iterator[str]:
-    for folder, dirs, names in os.walk(part.folder):
-        dirs[:] = sorted(d for d in dirs if keep_dir(d)) if part.deep else []
-        yield from (os.path.join(folder, n) for n in sorted(names)
-                    if n.lower().endswith(suffix))
+def _walk(part: Subtrees, suffix: str) -> Iterator[str]:
+    for top, deep in part.folders:
+        for folder, dirs, names in os.walk(top):
+            dirs[:] = sorted(d for d in dirs if keep_dir(d)) if deep else []
+            yield from (os.path.join(folder, n) for n in sorted(names)
+                        if n.lower().endswith(suffix))
 
 
 def _batches(files: Iterator[tuple[str, bytes]]) -> Iterator[pa.RecordBatch]:
@@ -113,11 +118,26 @@ def read_source_tree(spark: SparkSession, root: str, partitions: int | None = No
                      ) -> DataFrame:
     """(path, content) of every `.py` file below `root`, ignored folders left out.
 
+    A `root` that is a file is read itself, whatever its name; its path is its base name.
+    A missing `root` is an error.
+
     Paths are listed by the tasks and then spread evenly before any file is opened, so one
     huge folder is not one task's work. Files that cannot be read are skipped.
     """
     base = os.path.abspath(root)
+    if not os.path.exists(base):
+        raise FileNotFoundError(f"no such file or folder: {root}")
+    if os.path.isfile(base):
+        base, name = os.path.split(base)
+        paths = spark.createDataFrame([(name,)], "path string")
+        return paths.mapInArrow(_contents(base), FILE_SCHEMA)
+    spark.dataSource.register(SourceTree)
+    wanted = partitions or _tasks(spark)
+    paths = spark.read.format("source_tree").option("partitions", wanted).load(base)
+    return paths.repartition(wanted, "path").mapInArrow(_contents(base), FILE_SCHEMA)
 
+
+def _contents(base: str):
     def contents(batches):
         def files():
             for batch in batches:
@@ -129,10 +149,7 @@ def read_source_tree(spark: SparkSession, root: str, partitions: int | None = No
                         continue
         return _batches(files())
 
-    spark.dataSource.register(SourceTree)
-    wanted = partitions or _tasks(spark)
-    paths = spark.read.format("source_tree").option("partitions", wanted).load(base)
-    return paths.repartition(wanted, "path").mapInArrow(contents, FILE_SCHEMA)
+    return contents
 
 
 def _tasks(spark: SparkSession) -> int:

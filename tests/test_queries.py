@@ -24,7 +24,7 @@ def con():
 def test_registry():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(registry.QUERIES) <= set(entry.queries())
-    assert set(registry.QUERIES) - set(registry.ORACLES) == {"lex_tokens", "train_and_evaluate"}
+    assert set(registry.QUERIES) - set(registry.ORACLES) == {"train_and_evaluate"}
 
 
 def test_entry(spark):
@@ -39,10 +39,9 @@ def test_query_equals_sql(spark, con, name):
     assert got == rows_of([c[0] for c in con.description], con.fetchall())
 
 
-def test_exact_lexing_query(spark):
-    from riskloom.functions.lexing import model_tokens
-    got = {r["doc_id"]: (r["n_tokens"], r["first_five"])
-           for r in entry.queries()["lex_tokens"](spark, BASE).collect()}
-    docs = spark.read.parquet(f"{BASE}/documents.parquet").select("doc_id", "text").collect()
-    want = {d: model_tokens(t) for d, t in docs}
-    assert got == {d: (len(w), " ".join(w[:5])) for d, w in want.items()}
+def test_exact_lexing(spark):
+    from pyspark.sql import functions as F
+    from riskloom.functions.lexing import lex_model_tokens, model_tokens
+    docs = spark.read.parquet(f"{BASE}/documents.parquet").select("doc_id", "text")
+    got = docs.select("doc_id", lex_model_tokens(F.col("text")).alias("t")).collect()
+    assert dict(map(tuple, got)) == {d: model_tokens(t) for d, t in docs.collect()}
