@@ -256,12 +256,49 @@ def segment_blocks(spark, base):
     return extract.segment_blocks(files, "doc_id", "code", "^[AEIOU]").drop("block_code")
 
 
+# Code made of a text: five lines of code for each of its lines, by turns a function with an inner
+# one, an asynchronous function with an inner one, and statements around a one-line function.
+# {i} is the number of the line and {n} its length. Every seventh file doesn't parse.
+CODE = ("def f{i}(a):\n    b = {n}\n    def g{i}(c):\n        return {n}\n    return b",
+        "async def h{i}(a):\n    b = {n}\n    def k{i}(c):\n        return {n}\n    return b",
+        "x{i} = {n}\ndef m{i}(): return {n}\n\nx{i} += 1\nprint(x{i})")
+BROKEN = "\ndef ("
+
+
+def _filled_sql(code):
+    quoted = "'" + code.replace("\n", "' || chr(10) || '") + "'"
+    return quoted.replace("{i}", "' || i || '").replace("{n}", "' || n || '")
+
+
+def code_files(spark, base):
+    def filled(code, line, i):
+        size = F.length(line).cast("string")
+        return F.replace(F.replace(F.lit(code), F.lit("{i}"), i.cast("string")), F.lit("{n}"), size)
+
+    lines = F.transform(F.split("code", "\n"), lambda line, i: F.when(
+        i % 3 == 0, filled(CODE[0], line, i)).when(i % 3 == 1, filled(CODE[1], line, i)).otherwise(
+        filled(CODE[2], line, i)))
+    broken = F.when(F.col("doc_id") % 7 == 3, BROKEN).otherwise("")
+    return t.source_files(spark, base).withColumn("code", F.concat(F.array_join(lines, "\n"), broken))
+
+
 @query("extract_functions", t.with_ctes((), (
-    "SELECT doc_id::VARCHAR AS file_id, '<module_main>' AS name, 1 AS start_line "
-    "FROM documents")))
+    "SELECT doc_id::VARCHAR AS file_id, name, start_line::INT AS start_line, md5(code) AS md5 FROM ("
+    f"SELECT doc_id, 'f' || i AS name, 5 * i + 1 AS start_line, {_filled_sql(CODE[0])} AS code FROM fine "
+    "WHERE i % 3 = 0 UNION ALL SELECT doc_id, 'g' || i, 5 * i + 3, "
+    + _filled_sql("    def g{i}(c):\n        return {n}") + " FROM fine WHERE i % 3 = 0 UNION ALL "
+    "SELECT doc_id, 'k' || i, 5 * i + 3, " + _filled_sql("    def k{i}(c):\n        return {n}")
+    + " FROM fine WHERE i % 3 = 1 UNION ALL SELECT doc_id, 'm' || i, 5 * i + 2, "
+    + _filled_sql("def m{i}(): return {n}") + " FROM fine WHERE i % 3 = 2 UNION ALL "
+    "SELECT doc_id, '<module_main>', 1, string_agg(CASE i % 3 WHEN 0 THEN "
+    + _filled_sql(CODE[0]) + " WHEN 1 THEN " + _filled_sql(CODE[1]) + " ELSE " + _filled_sql(CODE[2])
+    + " END, chr(10) ORDER BY i) || chr(10) || 'def (' FROM rows_ WHERE doc_id % 7 = 3 GROUP BY 1)"),
+    pieces="SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents",
+    rows_="SELECT doc_id, length(unnest(ls)) AS n, generate_subscripts(ls, 1) - 1 AS i FROM pieces",
+    fine="SELECT * FROM rows_ WHERE doc_id % 7 <> 3"))
 def extract_functions(spark, base):
-    return extract.extract_functions(t.source_files(spark, base), "doc_id", "code").select(
-        "file_id", "name", "start_line")
+    return extract.extract_functions(code_files(spark, base), "doc_id", "code").select(
+        "file_id", "name", "start_line", F.md5("code").alias("md5"))
 
 
 # Findings and reports ----------------------------------------------------------------
