@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +40,25 @@ def scan_files(files: DataFrame, rules: Sequence[Rule] = fixed.DEFAULT_RULES,
         "matched_tokens", "rule_category")
 
 
+def scan_hybrid(files: DataFrame, scorer, threshold: float = fixed.DEFAULT_THRESHOLD,
+                rules: Sequence[Rule] = fixed.DEFAULT_RULES, exact_tokens: bool = False) -> DataFrame:
+    """(path, content) to findings of the combined detector, one row per function.
+
+    The functions are written down once; the scorer rates their tokens, its heaviest tokens
+    are shown, and the rules are matched on the same rows.
+    """
+    code = text.normalise_code(F.col("code"), F.lit("py"))
+    tokenise = lexing.lex_model_tokens if exact_tokens else text.corpus_tokens
+    tokens = skew.compute_once(preprocess_files(files, exact=exact_tokens), tokens=tokenise(code))
+    functions = skew.number_all(tokens, ["filename", "fn"], "ord", "functions")
+    weights = model.token_weights(functions, model.token_table(scorer, functions), "ord", count="n")
+    scored = model.score_batch(scorer, functions).join(weights, "ord", "left")
+    found = detect.score_hybrid(scored, weights="token_weights", threshold=threshold, rules=rules,
+                                start_line=F.col("start_line"))
+    return found.withColumnRenamed("code", "function_code").drop(
+        "matched_tokens", "rule_category", "tokens", "token_weights", "prob", "ord")
+
+
 def scan_summary(findings: DataFrame, target: str) -> DataFrame:
     """One row of totals and the grade."""
     counted = detect.with_grade(detect.scan_counters(findings, [], "filename"))
@@ -50,17 +70,25 @@ def scan_summary(findings: DataFrame, target: str) -> DataFrame:
 
 
 def scan_corpus(spark: SparkSession, root: str, output: str | None = None,
-                rules: Sequence[Rule] = fixed.DEFAULT_RULES) -> dict[str, DataFrame]:
-    """Scan a source tree or one file; with `output` write findings and summary as JSON rows.
+                rules: Sequence[Rule] = fixed.DEFAULT_RULES, scorer=None,
+                threshold: float = fixed.DEFAULT_THRESHOLD) -> dict[str, DataFrame]:
+    """Scan a source tree or one file, by rules alone or with a `scorer` as well.
 
-    A missing path is an error. Where no function was found the summary has no grade.
+    With `output` findings and summary are written as JSON rows, and one report document as
+    lines. A missing path is an error. Where no function was found the summary has no grade.
     """
-    findings = settle(scan_files(tree.read_source_tree(spark, root), rules), "findings")
+    began = time.monotonic()
+    files = tree.read_source_tree(spark, root)
+    found = scan_files(files, rules) if scorer is None else scan_hybrid(files, scorer, threshold, rules)
+    findings = skew.number_all(found, ["filename", "fn"], "ord", "findings")
+    seconds = F.lit(round(time.monotonic() - began, 2)).alias("execution_time_seconds")
     out = {"findings": findings, "summary": scan_summary(findings, root),
            "distribution": detect.cwe_distribution(findings)}
     if output:
         sinks.write_json(report.report_columns(findings), f"{output}/findings")
         sinks.write_json(out["summary"], f"{output}/summary")
+        sinks.write_lines(report.cli_report_lines(out["summary"].select("*", seconds), findings),
+                          f"{output}/report", ["section", "item"])
     return out
 
 

@@ -132,3 +132,22 @@ def test_diff_document_of_300_mb(spark, tmp_path):
         out.write("}}")
     docs = corpus.read_diff_corpus(spark, str(tmp_path), ["sql"])
     assert corpus.diff_parts(docs).count() == 3_000 * 500
+
+
+def test_combined_scan_and_report(spark, tmp_path):
+    from riskloom.operators import model
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "a.py").write_text("def f(q):\n    danger(q)\n    return boom\n\ndef g():\n    os.system(x)\n")
+    (tmp_path / "src" / "b.py").write_text("def h(a):\n    calm = a\n    return calm\n")
+    rows = [(["danger", "boom", "(", ")"], 1), (["calm", "return"], 0)] * 20
+    train = spark.createDataFrame(rows, "tokens array<string>, label int")
+    scorer = model.train_classifier(train, bits=8, iterations=5)
+    out = jobs.scan_corpus(spark, str(tmp_path / "src"), str(tmp_path / "out"), scorer=scorer, threshold=0.6)
+    found = {r["function_name"]: r for r in out["findings"].collect()}
+    assert set(found) == {"f", "g", "h"}
+    assert found["g"]["is_vulnerable"] and found["g"]["cwe_category"] == "CWE-78: OS Command Injection"
+    assert not found["h"]["is_vulnerable"]
+    report = "".join(p.read_text() for p in sorted((tmp_path / "out" / "report").glob("part-*")))
+    doc = json.loads(report)
+    assert (doc["total_functions"], len(doc["findings"])) == (3, 3) and doc["execution_time_seconds"] > 0
+    assert [f["function_name"] for f in doc["findings"]] == ["f", "g", "h"]
