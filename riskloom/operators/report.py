@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import scoring
-from .detect import attach_remediation
+from .detect import REMEDIATION_FIELDS, attach_remediation
 from .skew import number_rows, salted_join
 
 REPORT_TITLE = "Vulnerability Detection Report"
@@ -53,6 +53,23 @@ def anonymise_findings(findings: DataFrame, chunk: int = 1_000_000, scan: str =
     return out
 
 
+def with_stored_defaults(findings: DataFrame) -> DataFrame:
+    """Fill what a stored finding needs where it is absent or null."""
+    advice = F.struct(*[F.lit(v).alias(f) for f, v in
+                        zip(REMEDIATION_FIELDS, fixed.STORED_REMEDIATION, strict=True)])
+    defaults = {
+        "function_name": F.lit("unknown"), "start_line": F.lit(0),
+        "vulnerable_line_no": F.col("start_line"), "vulnerable_line_text": F.lit(""),
+        "is_vulnerable": F.lit(False), "confidence": F.lit(0.0), "confidence_percent": F.lit(0),
+        "cwe_category": F.lit(fixed.NO_CWE), "suspicious_tokens": F.array().cast("array<string>"),
+        "risk_level": F.lit("SAFE"), "remediation": advice, "filename": F.lit(""),
+    }
+    for name, value in defaults.items():
+        known = name in findings.columns
+        findings = findings.withColumn(name, F.coalesce(F.col(name), value) if known else value)
+    return findings
+
+
 def report_lines(scans: DataFrame, findings: DataFrame, chunk: int = 1_000_000,
                  title: str = REPORT_TITLE, footer: str = REPORT_FOOTER) -> DataFrame:
     """Text report as rows (scan_id, section, item, line_no, line) in that order.

@@ -151,3 +151,12 @@ def test_combined_scan_and_report(spark, tmp_path):
     doc = json.loads(report)
     assert (doc["total_functions"], len(doc["findings"])) == (3, 3) and doc["execution_time_seconds"] > 0
     assert [f["function_name"] for f in doc["findings"]] == ["f", "g", "h"]
+
+
+def test_stored_findings_have_all_keys(spark):
+    from riskloom.operators import report
+    df = spark.createDataFrame([(1, None, 4)], "ord long, function_name string, start_line int")
+    row = report.with_stored_defaults(df).first()
+    assert (row["function_name"], row["vulnerable_line_no"], row["risk_level"], row["cwe_category"]) == (
+        "unknown", 4, "SAFE", "N/A")
+    assert row["remediation"]["title"] == "Security Remediation" and row["suspicious_tokens"] == []
