@@ -9,9 +9,10 @@ is then common.
 Improved consistent weighted sampling draws from every text BANDS x ROWS shingles; two texts draw
 the same one with a probability of their weighted Jaccard similarity. Equal texts are one class
 first. Classes that share a band are compared by their samples in blocks; what looks similar is
-joined by a tree, its links are verified on the texts, and then every similar-looking pair that the verified links
-do not connect yet is verified as well. So a large group of copies costs a tree, not all
-its pairs, and no pair is given up.
+joined by a tree, and its links are verified on the texts. Then every similar-looking pair that
+the verified links do not connect yet is verified as well, in blocks that hold their texts and give
+only links between components. So a large group of copies costs a tree, no list of pairs of a
+group is ever made, and no pair is given up.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ POOL = 1 << 16
 # once in some five thousand pairs.
 LOOKS = 23
 CHUNK = 1_000
+# Texts of one bucket that are verified against as many others at once.
+TEXTS = 250
 # Bytes of text worked on at once: a word takes some two hundred bytes on the way.
 WORK_BYTES = 4 << 20
 SEED = 29
@@ -225,71 +228,101 @@ def _tree(alike: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _block_pairs(rows: dict[str, list], split: bool, tree: bool) -> list[tuple[int, int]]:
-    keys, drawn = np.array(rows["rep"], np.int64), np.array([np.frombuffer(s, np.uint16) for s in rows["samples"]])
-    part, component = np.array(rows["part"]), np.array(rows["component"], np.int64)
-    m = len(keys)
-    alike = np.zeros((m, m), np.int16)
+def _alike(rows: dict[str, list], split: bool) -> np.ndarray:
+    """Equal samples of each pair of a block, 0 where too few to look alike."""
+    drawn = np.array([np.frombuffer(s, np.uint16) for s in rows["samples"]])
+    keys, part = np.array(rows["rep"], np.int64), np.array(rows["part"])
+    alike = np.zeros((len(keys), len(keys)), np.int16)
     for k in range(drawn.shape[1]):
         alike += drawn[:, k][:, None] == drawn[:, k][None, :]
     alike[alike < LOOKS] = 0
     alike[keys[:, None] == keys[None, :]] = 0
     if split:
         alike[part[:, None] == part[None, :]] = 0
-    if tree:
-        pairs = _tree(alike)
-    else:
-        alike[component[:, None] == component[None, :]] = 0
-        pairs = list(zip(*np.nonzero(np.triu(alike)), strict=True))
-    return [(int(min(keys[a], keys[b])), int(max(keys[a], keys[b]))) for a, b in pairs]
+    return alike
+
+
+def _tree_pairs(rows: dict[str, list], split: bool) -> list[tuple[int, int]]:
+    keys = rows["rep"]
+    return [(min(keys[a], keys[b]), max(keys[a], keys[b])) for a, b in _tree(_alike(rows, split))]
+
+
+def _apart(rows: dict[str, list], split: bool) -> list[tuple[int]]:
+    """Members that look like one of another component."""
+    component = np.array(rows["component"], np.int64)
+    open_ = (_alike(rows, split) > 0) & (component[:, None] != component[None, :])
+    return [(rows["rep"][i],) for i in np.flatnonzero(open_.any(axis=1))]
+
+
+def _joining(rows: dict[str, list], split: bool, weights: np.ndarray, similar: float) -> list[tuple[int, int]]:
+    """Verified links between components of a block; pairs that are connected by then need none."""
+    alike, (_, label) = _alike(rows, split), np.unique(rows["component"], return_inverse=True)
+    owner, found, times = shingles(pa.array(rows["text"], pa.large_string()))
+    weight = weigh(found, times, weights).astype(np.float64)
+    edges = np.searchsorted(owner, np.arange(len(label) + 1))
+    total = np.bincount(owner, weight, len(label))
+    out = []
+    for a in range(len(label)):
+        others = np.flatnonzero((alike[a] > 0) & (label != label[a]))
+        own, own_weight = found[edges[a]:edges[a + 1]], weight[edges[a]:edges[a + 1]]
+        if not len(others) or not len(own):
+            continue
+        size = edges[others + 1] - edges[others]
+        at = np.repeat(edges[others] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        place = np.minimum(np.searchsorted(own, found[at]), len(own) - 1)
+        both = np.where(own[place] == found[at], np.minimum(own_weight[place], weight[at]), 0)
+        shared = np.bincount(np.repeat(np.arange(len(others)), size), both, len(others))
+        near = shared >= similar * (total[a] + total[others] - shared)
+        for b in others[near]:
+            if label[b] != label[a]:
+                out.append((rows["rep"][a], rows["rep"][b]))
+                label[label == label[b]] = label[a]
+    return out
+
 
+def _blocks(members: DataFrame, chunk: int, columns: tuple[str, ...], work, out: str) -> DataFrame:
+    """`work` on each bucket, or on each pair of its parts of about `chunk` rows.
 
-def _pairs(members: DataFrame, tree: bool) -> DataFrame:
-    """Pairs to verify from `members` (band, bucket, n, rep, samples, component), each once."""
-    parts = F.ceil(F.col("n") / CHUNK).cast("int")
+    `members` has band, bucket, n (rows of the bucket) and `columns`; `out` is the schema of what comes out.
+    """
+    parts = F.ceil(F.col("n") / chunk).cast("int")
     met = F.transform(F.sequence(F.lit(0), parts - 1), lambda q: F.struct(
         F.least(q, F.col("part")).alias("lo"), F.greatest(q, F.col("part")).alias("hi")))
     keys = ["band", "bucket", "lo", "hi"]
     dealt = (members.withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int"))
-             .select("band", "bucket", "rep", "samples", "component", "part", F.inline(met)))
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+             .select("band", "bucket", "part", *columns, F.inline(met)))
+    names = [x.split()[0] for x in out.split(", ")]
 
-    def batch_of(pairs):
-        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in range(2)],
-                                          schema=schema)
+    def batch_of(found):
+        return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(len(names))],
+                                          names=names)
 
     def blocks(batches):
         key, held = None, None
 
         def close():
-            if held is None or len(held["rep"]) < 2:
-                return []
-            return _block_pairs(held, key[2] != key[3], tree)
+            return [] if held is None or len(held["rep"]) < 2 else work(held, key[2] != key[3])
 
         for batch in batches:
-            columns = {name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)}
-            at = list(zip(*(columns[k] for k in keys), strict=True))
-            i, out = 0, []
+            given = {name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)}
+            at = list(zip(*(given[k] for k in keys), strict=True))
+            i, found = 0, []
             while i < len(at):
                 j = i + 1
                 while j < len(at) and at[j] == at[i]:
                     j += 1
-                rows = {k: columns[k][i:j] for k in ("rep", "samples", "component", "part")}
+                rows = {k: given[k][i:j] for k in (*columns, "part")}
                 if at[i] == key:
                     for k, v in rows.items():
                         held[k] += v
                 else:
-                    out += close()
+                    found += close()
                     key, held = at[i], rows
-                    if len(out) > 100_000:
-                        yield batch_of(out)
-                        out = []
                 i = j
-            yield batch_of(out)
+            yield batch_of(found)
         yield batch_of(close())
 
-    return (dealt.repartition(*keys).sortWithinPartitions(*keys, "rep")
-            .mapInArrow(blocks, "a bigint, b bigint").distinct())
+    return dealt.repartition(*keys).sortWithinPartitions(*keys, "rep").mapInArrow(blocks, out)
 
 
 def similarity(left: pa.Array, right: pa.Array, idf: np.ndarray) -> np.ndarray:
@@ -348,17 +381,28 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, key: str = "doc_i
     shared = settle(narrow.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1"), "shared-bands")
     met = narrow.join(shared, ["band", "bucket"])
     members = settle(met.join(classes.select("rep", "samples"), "rep"), "members")
-    tried = settle(_pairs(members.withColumn("component", F.col("rep")), True), "tree-pairs")
+    tried = settle(_blocks(members, CHUNK, ("rep", "samples"), _tree_pairs, "a bigint, b bigint").distinct(),
+                   "tree-pairs")
     wanted = members.select("rep").distinct()
     texts = settle(rows.where(may_hold(wanted, "rep", "key")).select("key", "text")
                    .join(wanted.withColumnRenamed("rep", "key"), "key", "left_semi")
                    .dropDuplicates(["key"]), "texts")
     links = settle(_verified(tried, texts, idf, similar), "tree-links")
     joined = components(links).withColumnRenamed("node", "rep")
-    known = members.join(joined, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    rest = _pairs(known, False).join(tried, ["a", "b"], "left_anti")
-    links = links.unionByName(settle(_verified(rest, texts, idf, similar), "links"))
-    final = components(links).withColumnRenamed("node", "rep")
+    known = settle(members.join(joined, "rep", "left").withColumn("component", F.coalesce("component", "rep")),
+                   "known")
+    # What still looks alike across components is verified where it meets, in small blocks of texts.
+    apart = (_blocks(known, CHUNK, ("rep", "samples", "component"), _apart, "rep bigint").distinct())
+    still = known.join(settle(apart, "apart"), "rep", "left_semi")
+    some = still.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1")
+    open_ = (still.drop("n").join(some, ["band", "bucket"])
+             .join(texts.select(F.col("key").alias("rep"), "text"), "rep"))
+    more = settle(_blocks(open_, TEXTS, ("rep", "samples", "component", "text"),
+                          lambda block, split: _joining(block, split, idf.value, similar), "a bigint, b bigint"),
+                  "links")
+    # The components found so far stand as stars, which take a single round.
+    stars = joined.select(F.col("rep").alias("a"), F.col("component").alias("b"))
+    final = components(stars.unionByName(more)).withColumnRenamed("node", "rep")
     info = settle(classes.select("h1", "h2", "rep", "copies").join(final, "rep", "left")
                   .where("copies > 1 or component is not null")
                   .select("h1", "h2", F.coalesce("component", "rep").alias("class_id")), "linked-texts")

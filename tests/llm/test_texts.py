@@ -75,6 +75,7 @@ def test_shingles():
 @pytest.mark.parametrize("chunk", [3, 1_000])
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, chunk):
     monkeypatch.setattr(near_texts, "CHUNK", chunk)
+    monkeypatch.setattr(near_texts, "TEXTS", chunk)
     random = np.random.default_rng(chunk)
     vocabulary = [f"w{i}" for i in range(500)]
     rows = []
