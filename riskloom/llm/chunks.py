@@ -264,6 +264,11 @@ class Counter(_Merged):
 _OPEN: dict = {}
 
 
+def forget() -> None:
+    """Release what this worker remembers, for an operator that needs the room itself."""
+    _OPEN.clear()
+
+
 def opened(kind: Callable, spec: str):
     """One `kind(spec)` per Python worker: what it remembers serves all tasks of the worker."""
     key = (kind, hash(spec))

@@ -107,6 +107,7 @@ def idf_weights(rows: DataFrame) -> np.ndarray:
     block = 4_096
 
     def count(batches):
+        chunks.forget()
         total, texts = np.zeros(COUNTERS, np.int64), 0
         for batch in batches:
             for _, part in chunks.slices(batch.column(0), WORK_BYTES):
@@ -191,6 +192,7 @@ def samples(owner: np.ndarray, found: np.ndarray, weight: np.ndarray, texts: int
 def _signatures(rows: DataFrame, idf) -> DataFrame:
     """(key, h1, h2, bands, samples): a key per band and 16 bits of each sample; none without words."""
     def sign(batches):
+        chunks.forget()
         weights = idf.value
         for batch in batches:
             for at, part in chunks.slices(batch.column(3), WORK_BYTES):
@@ -298,6 +300,7 @@ def _blocks(members: DataFrame, chunk: int, columns: tuple[str, ...], work, out:
                                           names=names)
 
     def blocks(batches):
+        chunks.forget()
         key, held = None, None
 
         def close():
@@ -344,6 +347,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf, similar: float) -> DataFr
     right = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
 
     def verify(batches):
+        chunks.forget()
         weights = idf.value
         for batch in batches:
             a, b = batch.column(2), batch.column(3)
