@@ -146,4 +146,4 @@ def train_and_evaluate(spark, base):
     rows = curate.normalise(curate.resolve_copies(_parity(spark, base)), language=F.lit("py"))
     split = jobs.settle(curate.stratified_split(rows.select("ord", "label", "tokens"), "ord"),
                         "training")
-    return jobs.train_and_evaluate(split, bits=14, iterations=10)[1]
+    return jobs.train_and_evaluate(split)[1]

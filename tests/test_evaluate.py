@@ -119,3 +119,20 @@ def test_token_weights(spark):
         long = got.select("id", F.explode("token_weights").alias("w")).select("id", "w.*")
         assert sorted((r["id"], r["token"], r["weight"]) for r in long.collect()) == [
             (1, "a", 1.0), (1, "b", 3.0), (2, "c", 0.0)]
+
+
+def test_training_query_uses_the_operators_defaults(spark, monkeypatch):
+    import __spark_entry__ as entry
+
+    class Built(Exception):
+        pass
+
+    def build(train, label="label", **options):
+        raise Built(model.build_scorer(label=label, **options))
+
+    monkeypatch.setattr(model, "train_classifier", build)
+    with pytest.raises(Built) as caught:
+        entry.queries()["train_and_evaluate"](spark, "/root/testdata/sf0.001")
+    stages = caught.value.args[0].getStages()
+    assert [s.getNumFeatures() for s in stages if hasattr(s, "getNumFeatures")] == [2 ** 18, 2 ** 18]
+    assert stages[-1].getMaxIter() == 50
