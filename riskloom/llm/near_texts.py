@@ -1,10 +1,12 @@
 """Near-duplicate texts: weighted samples of five-word shingles, banded, then verified.
 
-A shingle weighs how often its text has it times a smoothed inverse document frequency. Frequencies
-are counted over all documents in a fixed number of hashed counters, as hashing vectorisers do, so
-that they can be shared with every task at any size of corpus. IDF runs from 1 to 1 + IDF_SPAN only: a stronger one
-would make members of a very large group of copies look unlike each other, since what they share
-is then common.
+A shingle weighs how often its text has it times a smoothed inverse document frequency, which is
+counted over all documents for each shingle that more than one in RARE texts has; all others are rare
+and have the full weight, so that a weight depends on the share of texts and not on the size of
+the corpus. Hashed counters, which are never too low, say which shingles can be that frequent;
+only these are counted one by one, and at most RARE times the shingles of a text are shared with
+every task. IDF runs from 1 to 1 + IDF_SPAN only: a stronger one would make members of a very
+large group of copies look unlike each other, since what they share is then common.
 
 Improved consistent weighted sampling draws from every text BANDS x ROWS shingles; two texts draw
 the same one with a probability of their weighted Jaccard similarity. Equal texts are one class
@@ -17,6 +19,8 @@ group is ever made, and no pair is given up.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,7 +37,9 @@ SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 10, 4
 IDF_SPAN = 0.25
-COUNTERS = 1 << 18
+COUNTERS = 1 << 20
+# A shingle that at most one in so many texts has is rare.
+RARE = 512
 POOL = 1 << 16
 # Equal samples, of all, from which on a pair is verified: at a similarity of 0.8 a pair has fewer
 # once in some five thousand pairs.
@@ -102,8 +108,32 @@ def _counter(found: np.ndarray) -> np.ndarray:
     return (found >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
 
 
-def idf_weights(rows: DataFrame) -> np.ndarray:
-    """Weight of each counter, from all rows of (key, text)."""
+@dataclass
+class Idf:
+    """Weights of the frequent shingles, sorted by hash, and that of all others."""
+
+    found: np.ndarray
+    weight: np.ndarray
+    rare: float
+
+    def of(self, found: np.ndarray) -> np.ndarray:
+        if not len(self.found):
+            return np.full(len(found), self.rare, np.float32)
+        place = np.minimum(np.searchsorted(self.found, found), len(self.found) - 1)
+        return np.where(self.found[place] == found, self.weight[place], np.float32(self.rare))
+
+
+def idf_of(seen: np.ndarray, texts: int) -> np.ndarray:
+    """Weights from the numbers of texts that have a shingle: 1 if all have it, 1 + IDF_SPAN if one in RARE or fewer.
+
+    Up to RARE texts the scale is the corpus itself.
+    """
+    scale = np.log((texts + 1) / (np.minimum(seen, texts) + 1)) / np.log(min(texts, RARE) + 1)
+    return (1 + IDF_SPAN * np.minimum(scale, 1)).astype(np.float32)
+
+
+def _upper_counts(rows: DataFrame) -> tuple[int, np.ndarray]:
+    """Number of texts, and for each counter how often a text has one of its shingles: never below a shingle's own."""
     block = 4_096
 
     def count(batches):
@@ -111,7 +141,7 @@ def idf_weights(rows: DataFrame) -> np.ndarray:
         total, texts = np.zeros(COUNTERS, np.int64), 0
         for batch in batches:
             for _, part in chunks.slices(batch.column(0), WORK_BYTES):
-                owner, found, _ = shingles(part)
+                _, found, _ = shingles(part)
                 total += np.bincount(_counter(found), minlength=COUNTERS)
                 texts += len(part)
         pieces = [total[i:i + block].astype("<i8").tobytes() for i in range(0, COUNTERS, block)]
@@ -134,16 +164,38 @@ def idf_weights(rows: DataFrame) -> np.ndarray:
     parts: dict[int, np.ndarray] = {}
     for row in summed.collect():  # COUNTERS numbers
         parts[row["part"]] = np.frombuffer(row["counts"], "<i8")
-    if not parts:
-        return np.ones(COUNTERS, np.float32)
-    texts = float(parts.pop(-1)[0])
-    seen = np.concatenate([parts[i] for i in sorted(parts)])
-    scale = np.log((texts + 1) / (np.minimum(seen, texts) + 1)) / np.log(texts + 1) if texts else np.zeros(COUNTERS)
-    return (1 + IDF_SPAN * scale).astype(np.float32)
+    texts = int(parts.pop(-1)[0]) if parts else 0
+    return texts, np.concatenate([parts[i] for i in sorted(parts)] or [np.zeros(COUNTERS, np.int64)])
+
+
+def idf_weights(rows: DataFrame) -> Idf:
+    """Weights from the document frequencies in all rows of (key, text)."""
+    texts, upper = _upper_counts(rows)
+    if not texts:
+        return Idf(np.zeros(0, np.uint64), np.zeros(0, np.float32), 1.0)
+    least = max(1, texts // RARE)  # a shingle in one text only is as rare as can be
+    maybe = rows.sparkSession.sparkContext.broadcast(np.packbits(upper > least))
+
+    def count(batches):
+        chunks.forget()
+        wanted = np.unpackbits(maybe.value).view(bool)
+        for batch in batches:
+            for _, part in chunks.slices(batch.column(0), WORK_BYTES):
+                _, found, _ = shingles(part)
+                own, times = np.unique(found[wanted[_counter(found)]], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(times, pa.int64())],
+                                                 names=["shingle", "n"])
+
+    counted = (rows.select("text").mapInArrow(count, "shingle bigint, n bigint").groupBy("shingle")
+               .agg(F.sum("n").alias("n")).where(F.col("n") > least).toPandas())
+    found = counted["shingle"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(found)
+    rare = float(idf_of(np.array([least]), texts)[0]) if texts <= RARE else 1 + IDF_SPAN
+    return Idf(found[order], idf_of(counted["n"].to_numpy(np.int64)[order], texts), rare)
 
 
-def weigh(found: np.ndarray, times: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return times.astype(np.float32) * idf[_counter(found)]
+def weigh(found: np.ndarray, times: np.ndarray, idf: Idf) -> np.ndarray:
+    return times.astype(np.float32) * idf.of(found)
 
 
 def _draws() -> tuple[np.ndarray, ...]:
@@ -256,7 +308,7 @@ def _apart(rows: dict[str, list], split: bool) -> list[tuple[int]]:
     return [(rows["rep"][i],) for i in np.flatnonzero(open_.any(axis=1))]
 
 
-def _joining(rows: dict[str, list], split: bool, weights: np.ndarray, similar: float) -> list[tuple[int, int]]:
+def _joining(rows: dict[str, list], split: bool, weights: Idf, similar: float) -> list[tuple[int, int]]:
     """Verified links between components of a block; pairs that are connected by then need none."""
     alike, (_, label) = _alike(rows, split), np.unique(rows["component"], return_inverse=True)
     owner, found, times = shingles(pa.array(rows["text"], pa.large_string()))
@@ -328,7 +380,7 @@ def _blocks(members: DataFrame, chunk: int, columns: tuple[str, ...], work, out:
     return dealt.repartition(*keys).sortWithinPartitions(*keys, "rep").mapInArrow(blocks, out)
 
 
-def similarity(left: pa.Array, right: pa.Array, idf: np.ndarray) -> np.ndarray:
+def similarity(left: pa.Array, right: pa.Array, idf: Idf) -> np.ndarray:
     """Weighted Jaccard similarity of texts side by side; 0 where one has no words."""
     n = len(left)
     owner, found, times = shingles(pa.concat_arrays([left.cast(pa.large_string()), right.cast(pa.large_string())]))

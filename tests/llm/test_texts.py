@@ -123,6 +123,24 @@ def test_bloom_filter_never_misses(spark):
     assert sum(r["m"] for r in marked) < 2_100
 
 
+def test_weights_come_from_exact_frequencies(spark):
+    random = np.random.default_rng(7)
+    common = " ".join(f"c{i}" for i in range(30))
+    texts = [(common + " " if i % 3 == 0 else "") + " ".join(f"w{x}" for x in random.integers(0, 12, 40))
+             for i in range(1_500)]
+    texts += ["only this one says so", None, ""]
+    idf = near_texts.idf_weights(docs_of(spark, [(i, t, None) for i, t in enumerate(texts)]).select("text"))
+    _, found, _ = near_texts.shingles(pa.array(texts, pa.string()))
+    seen, counts = np.unique(found, return_counts=True)
+    frequent = counts > len(texts) // near_texts.RARE
+    assert frequent.any() and not frequent.all()
+    n = len(texts)
+    want = 1 + 0.25 * np.minimum(1, np.log((n + 1) / (counts + 1)) / np.log(near_texts.RARE + 1))
+    got = near_texts.weigh(seen, np.ones(len(seen), int), idf)
+    assert np.allclose(got[frequent], want[frequent], atol=1e-6)
+    assert np.allclose(got[~frequent], 1.25, atol=1e-6)
+
+
 def test_near_duplicate_query(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{BASE}/documents.parquet").collect()]
     idf = near_texts.idf_weights(spark.read.parquet(f"{BASE}/documents.parquet").select("text"))
