@@ -11,8 +11,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
 from array import array
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +23,16 @@ from pyspark.sql import functions as F
 from riskloom.llm import chunks
 from riskloom.session import settle
 
-SLICE = 1 << 20
+SLICE = 1 << 19
 # Pairs counted in a task before they are merged, links written out at once, pairs that are broadcast.
-MERGE_ROWS, LINKS_AT_ONCE, KNOWN = 1 << 20, 1 << 21, 1 << 20
+MERGE_ROWS, LINKS_AT_ONCE, KNOWN = 1 << 19, 1 << 20, 1 << 20
+KEPT = 200_000  # distinct chunks remembered
 MARK = "\u2581"  # fixed value: the piece vocabulary's space
 _BYTE = re.compile("<0x([0-9A-F]{2})>").fullmatch
-# A space between these may be cut by both: see `chunks`.
-_PART = re.compile(f"[{chunks._SAFE}] [{chunks._SAFE}]")
+# A space between two of these may be cut: see `chunks`, and `PieceSide.cuts`.
+_CUT = f"([{chunks._SAFE}]) ([{chunks._SAFE}])"
+_UNSAFE = f"[^{chunks._SAFE}] | [^{chunks._SAFE}]|^ | $"
+_PART = re.compile(_CUT)
 
 
 def _large(text: str) -> pa.Scalar:
@@ -43,8 +46,8 @@ def _spaced(texts: pa.Array) -> pa.Array:
 class ByteSide(chunks.Encoder):
     """Byte-level BPE of "space + text", special strings taken as plain text."""
 
-    def __init__(self, spec: str, keep: int = 200_000):
-        super().__init__(spec, keep)
+    def __init__(self, spec: str):
+        super().__init__(spec, KEPT)
         self.tokenizer.encode_special_tokens = True
         self.words.special = lambda chunk: None
         letters = {chr(letter): byte for byte, letter in chunks.byte_letters().items()}
@@ -54,53 +57,62 @@ class ByteSide(chunks.Encoder):
             table[at] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
         self.bytes = pa.array(table, pa.binary())
 
-    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        flat, starts = chunks.cut(texts)
-        first = np.zeros(len(flat), bool)
-        first[starts[:-1]] = True  # texts are not empty: each has a first chunk
-        flat = pc.if_else(pa.array(first), _spaced(flat), flat)
-        return _looked_up(self.memory, self.kind, flat, starts)
+    def rows(self, texts: Sequence[str]) -> list[memoryview]:
+        return [memoryview(row).cast(self.code) for row in self._values([f" {text}" for text in texts])]
 
 
 class PieceSide:
     """Pieces of a model that puts a space before the text and escapes spaces."""
 
-    kind = np.uint32
-
-    def __init__(self, model: bytes, keep: int = 200_000):
+    def __init__(self, model: bytes):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as proto
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
         plan = proto.ModelProto.FromString(model)
         normal = plan.normalizer_spec
-        table = [p.piece for p in plan.pieces]
-        # Where no piece has a space after another character, none reaches over the start of a run of spaces.
+        # Where no piece has a space after another character, none reaches over a space between two words.
         self.cuts = (normal.add_dummy_prefix and not normal.remove_extra_whitespaces
                      and normal.escape_whitespaces and not normal.precompiled_charsmap
                      and not any(re.search(f"[^{MARK}]{MARK}", p.piece) or p.type == p.USER_DEFINED
                                  for p in plan.pieces))
-        self.space = array("I", [self.pieces.piece_to_id(MARK)]).tobytes()
-        self.bytes = pa.array([self._bytes(p) for p in table], pa.binary())
-        self.memory = chunks.Remembered(self._values, keep)
+        self.bytes = pa.array([self._bytes(p.piece) for p in plan.pieces], pa.binary())
 
     @staticmethod
     def _bytes(piece: str) -> bytes:
         byte = _BYTE(piece)
         return bytes([int(byte[1], 16)]) if byte else piece.replace(MARK, " ").encode()
 
-    def _values(self, parts) -> list[bytes]:
-        # What follows a space that was cut away, so that the space the library adds stands for it.
-        rows = self.pieces.encode(list(parts), num_threads=1)
-        return [array("I", row).tobytes() if part else self.space for part, row in zip(parts, rows, strict=True)]
+    def rows(self, texts: Sequence[str]) -> list[list[int]]:
+        return self.pieces.encode(list(texts), num_threads=1)
+
+
+class Sides:
+    """Both libraries over texts that are not empty; chunks between two cuts are encoded once."""
+
+    def __init__(self, spec: str, model: bytes, keep: int = KEPT):
+        self.both = (ByteSide(spec), PieceSide(model))
+        self.memory = chunks.Remembered(self._values, keep)
+        # What follows a space that was cut away: the space that either side puts first stands for it.
+        self.cuts = self.both[1].cuts and self.both[0].words.find is not None
+
+    def _values(self, texts: Sequence[str]) -> list[bytes]:
+        """Per text: how many ids the first side has, those ids, and those of the second side."""
+        out = []
+        for a, b in zip(*(side.rows(texts) for side in self.both), strict=True):
+            value = array("I", (len(a),))
+            value.extend(a)
+            value.extend(b)
+            out.append(value.tobytes())
+        return out
 
     def cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-        """Texts cut at the first of each run of spaces that follows another character; that space is dropped."""
+        """Chunks of texts and where each text's begin: cut at single spaces that are safe for both."""
         if not self.cuts:
             return texts, np.arange(len(texts) + 1)
         plain = pc.replace_substring(texts, " ", "\0")
-        awkward = pc.match_substring_regex(texts, "^ |  ")
+        awkward = pc.match_substring_regex(texts, _UNSAFE)
         if pc.any(awkward).as_py():
-            some = pc.replace_substring_regex(texts.filter(awkward), "([^ ]) ", "\\1\0")
+            some = pc.replace_substring_regex(texts.filter(awkward), _CUT, "\\1\0\\2")
             plain = pc.replace_with_mask(plain, awkward, some)
         holed = pc.match_substring(texts, "\0")
         parts = pc.split_pattern(plain, "\0")
@@ -111,29 +123,33 @@ class PieceSide:
         return (pa.array([x for p in lists for x in p], pa.large_string()),
                 np.cumsum([0, *map(len, lists)]))
 
-    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        return _looked_up(self.memory, self.kind, *self.cut(texts))
-
-
-def _looked_up(memory: chunks.Remembered, kind: type, flat: pa.Array, starts: np.ndarray):
-    words, index = chunks.distinct(flat)
-    values = memory.of(words)
-    ids = np.frombuffer(b"".join(map(values.__getitem__, index.tolist())), kind)
-    sizes = np.fromiter(map(len, values), np.int64, len(values)) // kind().itemsize
-    return ids.astype(np.int64), np.concatenate([[0], np.cumsum(sizes[index])])[starts]
+    def tokens(self, texts: pa.Array) -> list[Tokens]:
+        flat, starts = self.cut(texts)
+        words, index = chunks.distinct(flat)
+        values = self.memory.of(words)
+        all_ids = np.frombuffer(b"".join(values), np.uint32)
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        at = np.cumsum(sizes) - sizes
+        first = all_ids[at].astype(np.int64) if len(at) else at
+        out = []
+        for side, begin, size in zip(self.both, (at + 1, at + 1 + first), (first, sizes - 1 - first), strict=True):
+            n = size[index]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            ids = all_ids[np.repeat(begin[index] - ends[:-1], n) + np.arange(ends[-1])]
+            out.append(Tokens(side.bytes, ids.astype(np.int32), ends[starts]))
+        return out
 
 
 class Tokens:
     """The tokens of some texts by one side, as a list column over Arrow tables."""
 
-    def __init__(self, side, texts: pa.Array):
-        ids, starts = side.ids(texts)
-        self.side, self.starts = side, starts
+    def __init__(self, table: pa.Array, ids: np.ndarray, starts: np.ndarray):
+        self.table, self.starts = table, starts
         self.lists = pa.LargeListArray.from_arrays(pa.array(starts), pa.array(ids))
 
     def spelled(self) -> pa.Array:
         """The joined bytes of each text's tokens."""
-        raw = self.side.bytes.cast(pa.large_binary()).take(pc.list_flatten(self.lists))
+        raw = self.table.cast(pa.large_binary()).take(pc.list_flatten(self.lists))
         return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(self.starts), raw), pa.scalar(b"", pa.large_binary()))
 
     def keep(self, rows: pa.Array) -> None:
@@ -145,26 +161,26 @@ class Tokens:
     def ends(self) -> pa.Table:
         """(doc, end, at): the byte offset in its text where each token ends, and the token's place."""
         doc, ids = pc.list_parent_indices(self.lists), pc.list_flatten(self.lists)
-        size = pc.binary_length(self.side.bytes).cast(pa.int64()).take(ids)
+        size = pc.binary_length(self.table).cast(pa.int64()).take(ids)
         running = pc.cumulative_sum(size)
         before = np.concatenate([[0], running.to_numpy()])[self.starts[:-1]]
         end = pc.subtract(running, pa.array(before).take(doc))
-        return pa.table({"doc": doc.cast(pa.int64()), "end": end, "at": pa.array(np.arange(len(ids)))})
+        return pa.table({"doc": doc, "end": end, "at": pa.array(np.arange(len(ids)))})
 
 
 class Aligner:
     """Groups and linked pairs of whole texts; a pair is first id x `width` + second id."""
 
-    def __init__(self, first, second, links: int = LINKS_AT_ONCE):
-        self.first, self.second, self.links = first, second, links
-        self.width = len(second.bytes)
-        self.names = [pa.array([str(i) for i in range(len(side.bytes))], pa.large_string())
-                      for side in (first, second)]
+    def __init__(self, spec: str, model: bytes, links: int = LINKS_AT_ONCE):
+        self.sides, self.links = Sides(spec, model), links
+        sizes = [len(side.bytes) for side in self.sides.both]
+        self.width = sizes[1]
+        self.names = [pa.array([str(i) for i in range(size)], pa.large_string()) for size in sizes]
 
     def align(self, texts: pa.Array) -> dict:
         """For texts that are not empty: arrays n_a, n_b, n_groups, n_links, groups, and a table (doc, pair, m)."""
         texts = texts.cast(pa.large_string())
-        sides = [Tokens(side, texts) for side in (self.first, self.second)]
+        sides = self.sides.tokens(texts)
         whole = _spaced(texts).cast(pa.large_binary())
         good = pc.and_(*[pc.equal(side.spelled(), whole) for side in sides])
         rows = np.flatnonzero(good.to_numpy(zero_copy_only=False))
@@ -236,11 +252,12 @@ def text_parts(text: str, limit: int = SLICE) -> Iterator[str]:
         found = _PART.search(text, at + limit)
         if found is None:
             break
-        yield text[at:found.start() + 1]
-        at = found.start() + 2
+        yield text[at:found.end(1)]
+        at = found.start(2)
     yield text[at:]
 
 
+# Rows of documents, and rows of counts: pairs that `m` documents of a task hold, without a digest.
 SCHEMA = pa.schema([("key", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()),
                     ("n_links", pa.int64()), ("groups_sha256", pa.string()),
                     ("pairs", pa.list_(pa.int64())), ("m", pa.list_(pa.int64()))])
@@ -250,6 +267,11 @@ _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 def aligned_batch(aligner: Aligner, keys: pa.Array, texts: pa.Array) -> pa.RecordBatch:
     """Rows of SCHEMA for some texts, null and empty ones among them."""
     some = np.flatnonzero(pc.fill_null(pc.greater(pc.binary_length(texts), 0), False).to_numpy(zero_copy_only=False))
+    if not len(some):
+        none = pa.array([0] * len(texts), pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [keys, none, none, none, none, pa.array([""] * len(texts)), *[pa.array([[]] * len(texts), pa.list_(pa.int64()))] * 2],
+            schema=SCHEMA)
     found = aligner.align(texts.take(pa.array(some)))
     rows = some[found["rows"]]
     columns = [np.zeros(len(texts), np.int64) for _ in _COUNTS]
@@ -272,7 +294,7 @@ def aligned_parts(aligner: Aligner, key: pa.Array, text: str, limit: int) -> pa.
     for i, part in enumerate(text_parts(text, limit)):
         found = aligner.align(pa.array([part]))
         if not len(found["rows"]):
-            return aligned_batch(aligner, key, pa.array([""]))
+            return aligned_batch(aligner, key, pa.array([None], pa.string()))
         for name in _COUNTS:
             total[name] += int(found[name][0])
         digest.update((b";" if i else b"") + found["groups"][0].as_py().encode())
@@ -290,51 +312,65 @@ def _summed(tables: list[pa.Table]) -> pa.Table:
             .rename_columns(["pair", "m"]))
 
 
+class PairCounts:
+    """How many documents hold each pair, merged in Arrow, handed on when there are `MERGE_ROWS` pairs."""
+
+    def __init__(self):
+        self.tables, self.size = [], 0
+
+    def add(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        pairs = pa.table({"pair": pc.list_flatten(batch.column("pairs"))})
+        if len(pairs):
+            self.tables.append(pairs.group_by("pair", use_threads=False).aggregate([([], "count_all")])
+                               .rename_columns(["pair", "m"]))
+            self.size += len(self.tables[-1])
+        if self.size > MERGE_ROWS:
+            self.tables = [_summed(self.tables)]
+            self.size = len(self.tables[0])
+            if self.size > MERGE_ROWS // 2:
+                yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.tables:
+            counted = _summed(self.tables)
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(counted)], pa.int32()),
+                                              counted.column(name).combine_chunks()) for name in ("pair", "m")]
+            none = [pa.nulls(1, field.type) for field in list(SCHEMA)[:6]]
+            yield pa.RecordBatch.from_arrays([*none, *lists], schema=SCHEMA)
+        self.tables, self.size = [], 0
+
+
 def align_documents(docs: DataFrame, spec: str, model: bytes, key: str, text: str, limit: int = SLICE) -> DataFrame:
-    """SCHEMA's columns for every row of `docs`: one pass over the texts, no shuffle."""
+    """SCHEMA's columns for every row of `docs` and for the pairs of each task: one pass, no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast((spec, model))
 
     def align(batches):
-        aligner = Aligner(chunks.opened(ByteSide, shared.value[0]), chunks.opened(PieceSide, shared.value[1]))
+        aligner, counts = chunks.opened(opened_aligner, shared.value), PairCounts()
         for batch in batches:
             keys, texts = batch.columns
             for at, part in chunks.slices(texts, limit):
                 own = keys.slice(at, len(part))
                 if len(part) == 1 and (pc.binary_length(part)[0].as_py() or 0) > limit:
-                    yield aligned_parts(aligner, own, part[0].as_py(), limit)
+                    rows = aligned_parts(aligner, own, part[0].as_py(), limit)
                 else:
-                    yield aligned_batch(aligner, own, part)
+                    rows = aligned_batch(aligner, own, part)
+                yield rows
+                yield from counts.add(rows)
+        yield from counts.rest()
 
     rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
     return rows.mapInArrow(align, "key bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, "
                                   "groups_sha256 string, pairs array<bigint>, m array<bigint>")
 
 
-def count_pairs(aligned: DataFrame, width: int) -> DataFrame:
-    """(pair, n, is_best): how many rows hold each pair, and whether none of its first id has more.
+def opened_aligner(shared: tuple[str, bytes]) -> Aligner:
+    return Aligner(*shared)
 
-    Tasks count in Arrow and hand over one row per distinct pair and `MERGE_ROWS`; Spark adds them up.
-    """
-    def count(batches):
-        parts, size = [], 0
-        for batch in batches:
-            pairs = pa.table({"pair": pc.list_flatten(batch.column(0))})
-            if not len(pairs):
-                continue
-            parts.append(pairs.group_by("pair", use_threads=False).aggregate([([], "count_all")])
-                         .rename_columns(["pair", "m"]))
-            size += len(parts[-1])
-            if size > MERGE_ROWS:
-                parts = [_summed(parts)]
-                size = len(parts[0])
-                if size > MERGE_ROWS // 2:
-                    yield from parts[0].to_batches()
-                    parts, size = [], 0
-        if parts:
-            yield from _summed(parts).to_batches()
-
-    counts = settle(aligned.select("pairs").mapInArrow(count, "pair bigint, m bigint")
-                    .groupBy("pair").agg(F.sum("m").alias("n")), "pair-counts")
+
+def count_pairs(aligned: DataFrame, width: int) -> DataFrame:
+    """(pair, n, is_best): how many rows hold each pair, and whether none of its first id has more."""
+    counted = aligned.where("groups_sha256 is null").select(F.inline(F.arrays_zip("pairs", "m")))
+    counts = settle(counted.groupBy(F.col("pairs").alias("pair")).agg(F.sum("m").alias("n")), "pair-counts")
     first = F.call_function("div", F.col("pair"), F.lit(width))
     # One row per id of the first vocabulary at most.
     best = counts.groupBy(first.alias("first")).agg(F.max("n").alias("best"))
@@ -375,7 +411,7 @@ def align_tokenizers(docs: DataFrame, byte_path: str, piece_path: str, key: str
         least -= 1
     common = F.length(F.bin("n")) > least
     stats = ["key", *_COUNTS, "groups_sha256"]
-    spread = aligned.select("row", *stats, F.explode_outer(F.arrays_zip("pairs", "m")).alias("link"))
+    spread = aligned.where("groups_sha256 is not null").select("row", *stats, F.explode_outer(F.arrays_zip("pairs", "m")).alias("link"))
     links = spread.select("row", *stats, F.col("link.pairs").alias("pair"), "link.m")
     met = links.join(F.broadcast(counts.where(common)), "pair", "left")
     if any(bits.get(b, 0) for b in range(least + 1)):

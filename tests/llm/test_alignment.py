@@ -171,11 +171,11 @@ def test_alignment_on_awkward_texts(spark):
 
 
 def test_links_in_blocks_and_groups_of_very_many_links():
-    sides = [alignment.ByteSide(open(BYTES, encoding="utf-8").read()), alignment.PieceSide(open(PIECES, "rb").read())]
+    files = open(BYTES, encoding="utf-8").read(), open(PIECES, "rb").read()
     texts = pa.array([t for t in AWKWARD if t] + ["𝔘" * 50 + "😀" * 9])
-    want = alignment.Aligner(*sides).align(texts)["pairs"].to_pylist()
+    want = alignment.Aligner(*files).align(texts)["pairs"].to_pylist()
     for links in (1, 3, 50):
-        got = alignment.Aligner(*sides, links=links).align(texts)["pairs"].to_pylist()
+        got = alignment.Aligner(*files, links=links).align(texts)["pairs"].to_pylist()
         assert sorted(map(str, got)) == sorted(map(str, want))
         assert [r["doc"] for r in got] == sorted(r["doc"] for r in got)
 
