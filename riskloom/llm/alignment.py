@@ -26,7 +26,7 @@ from riskloom.session import settle
 SLICE = 1 << 19
 # Pairs counted in a task before they are merged, links written out at once, pairs that are broadcast.
 MERGE_ROWS, LINKS_AT_ONCE, KNOWN = 1 << 19, 1 << 20, 1 << 20
-KEPT = 200_000  # distinct chunks remembered
+KEPT = 100_000  # distinct chunks remembered
 MARK = "\u2581"  # fixed value: the piece vocabulary's space
 _BYTE = re.compile("<0x([0-9A-F]{2})>").fullmatch
 # A space between two of these may be cut: see `chunks`, and `PieceSide.cuts`.
@@ -410,16 +410,15 @@ def align_tokenizers(docs: DataFrame, byte_path: str, piece_path: str, key: str
         room -= bits.get(least, 0)
         least -= 1
     common = F.length(F.bin("n")) > least
-    stats = ["key", *_COUNTS, "groups_sha256"]
-    spread = aligned.where("groups_sha256 is not null").select("row", *stats, F.explode_outer(F.arrays_zip("pairs", "m")).alias("link"))
-    links = spread.select("row", *stats, F.col("link.pairs").alias("pair"), "link.m")
-    met = links.join(F.broadcast(counts.where(common)), "pair", "left")
+    rows = aligned.where("groups_sha256 is not null")
+    links = rows.select("row", F.inline(F.arrays_zip("pairs", "m"))).withColumnRenamed("pairs", "pair")
+    met = links.join(F.broadcast(counts.where(common)), "pair")
     if any(bits.get(b, 0) for b in range(least + 1)):
-        rare = links.join(F.broadcast(counts.where(common).select("pair")), "pair", "left_anti").join(
-            counts.where(~common), "pair")
-        met = met.unionByName(rare)
-    return met.groupBy("row").agg(
-        *[F.first(name).alias(name) for name in stats],
-        F.coalesce(F.sum(F.when(F.col("is_best"), F.col("m"))), F.lit(0)).alias("n_best"),
-        F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0)).alias("count_sum"),
-    ).select(F.col("key").alias(key), *_COUNTS, "n_best", "count_sum", "groups_sha256")
+        rest = links.join(F.broadcast(counts.where(common).select("pair")), "pair", "left_anti")
+        met = met.unionByName(rest.join(counts.where(~common), "pair"))
+    sums = met.groupBy("row").agg(
+        F.sum(F.when(F.col("is_best"), F.col("m")).otherwise(0)).alias("n_best"),
+        F.sum(F.col("n") * F.col("m")).alias("count_sum"))
+    zero = [F.coalesce(name, F.lit(0)).alias(name) for name in ("n_best", "count_sum")]
+    return rows.drop("pairs", "m").join(sums, "row", "left").select(
+        F.col("key").alias(key), *_COUNTS, *zero, "groups_sha256")
