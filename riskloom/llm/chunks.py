@@ -11,6 +11,7 @@ depends on the batch and on `keep`, not on the longest text.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import json
 import re
@@ -26,9 +27,13 @@ _SAFE = "!-~\u00a1-\u167f\u3001-\ud7ff"
 _UNSAFE = f"[^{_SAFE}][ \\n]|[ \\n][^{_SAFE}]|^[ \\n]|[ \\n]$|\\x00"
 _CUT = f"([{_SAFE}])([ \\n])([{_SAFE}])"
 # Bytes of text handled at once, and bytes given to the tokenizer at once.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
+# Chunks whose ids are gathered at once.
+GATHERED = 1 << 17
+# The same where several numbers of eight bytes are kept for every letter.
+WORK_BYTES = 4 << 20
 BATCH_BYTES = 1 << 18
-LONGEST_KEPT = 64
+LONGEST_KEPT, KEPT = 64, 300_000
 
 
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
@@ -134,6 +139,11 @@ BYTE_WORDS = re.compile(_BYTEWISE)
 # The same for ASCII whose space and line feed already are byte letters.
 LETTER_WORDS = re.compile(rf"{_SHORT}|Ġ?[A-Za-z]+|Ġ?[0-9]+|Ġ?[^ĠĊA-Za-z0-9]+|[ĠĊ]+(?![^ĠĊ])|[ĠĊ]+")
 LOWER_WORDS = re.compile(rf"{_SHORT}|[{_L}]+|[{_N}]|[^ \n{_L}{_N}]+")
+# Both for many ASCII chunks at once, a zero byte between two of them being a word of its own.
+MANY_LETTER_WORDS = re.compile(
+    rf"\0|{_SHORT}|Ġ?[A-Za-z]+|Ġ?[0-9]+|Ġ?[^ĠĊA-Za-z0-9\0]+|[ĠĊ]+(?![^ĠĊ\0])|[ĠĊ]+")
+MANY_LOWER_WORDS = re.compile(rf"\0|{_SHORT}|[a-z]+|[0-9]|[^ \na-z0-9\0]+")
+_MANY_COMMON = re.compile("[ -~\n\0]*").fullmatch
 _COMMON = re.compile("[ -~\n\u00a1-\u00ac\u00ae-\u012f\u0131-\u024f]*").fullmatch
 
 
@@ -180,6 +190,16 @@ class Words:
             return LETTER_WORDS.findall(chunk.replace(" ", "Ġ").replace("\n", "Ċ"))
         return [as_letters(w) for w in self.find(chunk.lower() if self.lower else chunk)]
 
+    def many(self, chunks: Sequence[str]) -> list[str] | None:
+        """The words of all chunks with "\\0" between two chunks, or None where `short` must look at each."""
+        joined = "\0".join(chunks)
+        if (self.find is None or joined.count("\0") >= len(chunks) or not _MANY_COMMON(joined)
+                or self.special(joined)):
+            return None
+        if self.lower:
+            return MANY_LOWER_WORDS.findall(joined.lower())
+        return MANY_LETTER_WORDS.findall(joined.replace(" ", "Ġ").replace("\n", "Ċ"))
+
 
 class _Merged:
     """What each chunk is worth, from what its words are worth; see `Encoder` and `Counter`."""
@@ -188,13 +208,44 @@ class _Merged:
         self.tokenizer = open_tokenizer(spec)
         self.model = self.tokenizer.model
         self.words = Words(spec, self.tokenizer)
-        self.keep, self.parts = keep, {}
+        self.most_parts, self.parts = keep // 4, {}
         self.memory = Remembered(self._values, keep)
 
     def _values(self, chunks: Sequence[str]) -> list:
+        if len(self.parts) > self.most_parts:
+            self.parts.clear()
+        # One chunk with, say, a tab would send all others the long way.
+        easy = [i for i, chunk in enumerate(chunks)
+                if chunk.isascii() and (chunk.isprintable() or chunk[1:].isprintable() and chunk[0] == "\n")]
+        words = self.words.many([chunks[i] for i in easy]) if easy else None
+        if words is None:
+            return self._one_by_one(chunks)
+        out: list = [None] * len(chunks)
+        for i, value in zip(easy, self._many(words), strict=True):
+            out[i] = value
+        if len(easy) < len(chunks):
+            rest = [i for i, value in enumerate(out) if value is None]
+            for i, value in zip(rest, self._one_by_one([chunks[i] for i in rest]), strict=True):
+                out[i] = value
+        return out
+
+    def _many(self, words: list[str]) -> list:
+        parts, merged, add_up = self.parts, self._merged, self._add_up
+        out, row = [], []
+        for word in words:
+            if word == "\0":
+                out.append(row[0] if len(row) == 1 else add_up(row))
+                row = []
+                continue
+            value = parts.get(word)
+            if value is None:
+                value = parts[word] = merged(word)
+            row.append(value)
+        out.append(row[0] if len(row) == 1 else add_up(row))
+        return out
+
+    def _one_by_one(self, chunks: Sequence[str]) -> list:
         parts, short, merged, add_up = self.parts, self.words.short, self._merged, self._add_up
-        if len(parts) > self.keep:
-            parts.clear()
         out, whole = [], []
         for chunk in chunks:
             words = short(chunk)
@@ -219,7 +270,7 @@ class _Merged:
 class Encoder(_Merged):
     """Whole texts to ids with the tokenizers library."""
 
-    def __init__(self, spec: str, keep: int = 300_000):
+    def __init__(self, spec: str, keep: int = KEPT):
         super().__init__(spec, keep)
         wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
         self.kind = np.uint32 if wide else np.uint16
@@ -237,16 +288,27 @@ class Encoder(_Merged):
         flat, starts = cut(texts)
         words, index = distinct(flat)
         values = self.memory.of(words)
-        ids = np.frombuffer(b"".join(map(values.__getitem__, index.tolist())), self.kind)
+        known = np.frombuffer(b"".join(values), self.kind)
         sizes = np.fromiter(map(len, values), np.int64, len(values)) // self.kind().itemsize
-        ends = np.concatenate([[0], np.cumsum(sizes[index])])
+        begins, ends = np.cumsum(sizes) - sizes, np.concatenate([[0], np.cumsum(sizes[index])])
+        ids = np.empty(ends[-1], self.kind)
+        for at in range(0, len(index), GATHERED):
+            some, edges = index[at:at + GATHERED], ends[at:at + GATHERED + 1]
+            places = np.repeat(begins[some] - edges[:-1], np.diff(edges))
+            places += np.arange(edges[0], edges[-1])
+            ids[edges[0]:edges[-1]] = known[places]
         return ids, ends[starts]
 
 
+def encoder(spec: tuple[str, int]) -> Encoder:
+    """The encoder of a JSON document that remembers at most twice so many chunks."""
+    return Encoder(*spec)
+
+
 class Counter(_Merged):
     """Whole texts to numbers of ids with the tokenizers library."""
 
-    def __init__(self, spec: str, keep: int = 300_000):
+    def __init__(self, spec: str, keep: int = KEPT):
         super().__init__(spec, keep)
         self._add_up, self._read = sum, len
 
@@ -265,14 +327,30 @@ _OPEN: dict = {}
 
 
 def forget() -> None:
-    """Release what this worker remembers, for an operator that needs the room itself."""
+    """Give back what this worker remembers and no longer uses, for work that needs the room itself."""
     _OPEN.clear()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):  # numbers freed between smaller ones still in use
+        libc.malloc_trim(0)
+
+
+def tidied(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`work` over batches with the worker's memory given back before and after: workers outlive their tasks."""
+    def run(batches):
+        forget()
+        try:
+            yield from work(batches)
+        finally:
+            forget()
+    return run
 
 
-def opened(kind: Callable, spec: str):
-    """One `kind(spec)` per Python worker: what it remembers serves all tasks of the worker."""
+def opened(kind: Callable, spec):
+    """The `kind(spec)` of this Python worker: what it remembers serves all tasks until another is opened."""
     key = (kind, hash(spec))
     if key not in _OPEN:
+        forget()
         gc.set_threshold(200_000, 50, 100)  # the tables hold no cycles; walking them often is waste
         _OPEN[key] = kind(spec)
     return _OPEN[key]

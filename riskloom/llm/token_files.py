@@ -26,52 +26,52 @@ BLOCK = 512
 FILE_IDS = 1 << 22
 
 
-def encode_documents(docs: DataFrame, spec: str, end_id: int | None,
+def encode_documents(docs: DataFrame, spec: str, end_id: int | None, symbols: int,
                      key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n, ids): little-endian ids of each whole text, deflated by zstd, `end_id` appended."""
+    """(key, n, ids, used, times): little-endian ids of each whole text, deflated by zstd, `end_id` appended.
+
+    Each task adds one row without `n` that holds the ids it used and how often.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(spec)
+    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()),
+                        ("used", pa.list_(pa.int32())), ("times", pa.list_(pa.int64()))])
 
     def encode(batches):
         encoder = chunks.opened(chunks.Encoder, shared.value)
         codec, kind = pa.Codec("zstd", 1), encoder.kind
-        tail = np.array([] if end_id is None else [end_id], kind).tobytes()
+        end = np.array([] if end_id is None else [end_id], kind)
+        tail, total = end.tobytes(), np.zeros(symbols, np.int64)
         for batch in batches:
             for at, part in chunks.slices(batch.column(1)):
                 ids, starts = encoder.ids(part)
+                total += np.bincount(ids, minlength=symbols)
+                total[end] += len(part)
                 raw, edges = ids.tobytes(), (starts * ids.itemsize).tolist()
                 packed = [codec.compress(raw[a:b] + tail, asbytes=True)
                           for a, b in zip(edges, edges[1:], strict=False)]
-                counts = np.diff(starts) + len(tail) // ids.itemsize
+                counts = np.diff(starts) + len(end)
+                none = [pa.nulls(len(part), field.type) for field in list(schema)[3:]]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, len(part)), pa.array(counts, pa.int64()),
-                     pa.array(packed, pa.binary())], names=["key", "n", "ids"])
+                     pa.array(packed, pa.binary()), *none], schema=schema)
+        used = np.flatnonzero(total)
+        none = [pa.nulls(1, field.type) for field in list(schema)[:3]]
+        yield pa.RecordBatch.from_arrays([*none, pa.array([used], pa.list_(pa.int32())),
+                                          pa.array([total[used]], pa.list_(pa.int64()))], schema=schema)
 
     rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(encode, "key bigint, n bigint, ids binary")
+    return rows.mapInArrow(encode, "key bigint, n bigint, ids binary, used array<int>, times array<bigint>")
 
 
-def unpack(n: int, packed: bytes, kind: type) -> np.ndarray:
-    size = n * kind().itemsize
-    return np.frombuffer(pa.Codec("zstd").decompress(packed, size), kind)
+def unpack(n: int, packed: bytes, kind: type, codec: pa.Codec) -> np.ndarray:
+    return np.frombuffer(codec.decompress(packed, n * kind().itemsize), kind)
 
 
 def count_ids(encoded: DataFrame, symbols: int) -> np.ndarray:
     """How often each id occurs in all documents; the result has one row per symbol at most."""
-    kind = id_type(symbols)
-
-    def count(batches):
-        total = np.zeros(symbols, np.int64)
-        for batch in batches:
-            ids = [unpack(n, packed, kind) for n, packed in
-                   zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            total += np.bincount(np.concatenate([np.zeros(0, kind), *ids]), minlength=symbols)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])],
-                                         names=["id", "n"])
-
-    rows = encoded.select("n", "ids").mapInArrow(count, "id bigint, n bigint")
+    rows = encoded.where("n is null").select(F.inline(F.arrays_zip("used", "times")))
     counts = np.zeros(symbols, np.int64)
-    for id_, n in rows.groupBy("id").agg(F.sum("n")).collect():
+    for id_, n in rows.groupBy("used").agg(F.sum("times")).collect():
         counts[id_] = n
     return counts
 
@@ -82,13 +82,13 @@ def id_type(symbols: int) -> type:
 
 def write_files(encoded: DataFrame, folder: str, lengths: np.ndarray, partitions: int,
                 file_ids: int = FILE_IDS) -> DataFrame:
-    """Write `encoded` in ascending key order (null keys first, ties by content); one row per file."""
+    """Write `encoded` (key, n, ids) in ascending key order (null keys first, ties by content); one row per file."""
     shared = encoded.sparkSession.sparkContext.broadcast(lengths)
 
     def write(batches):
         lengths = shared.value
         codes, kind = huffman.canonical(lengths), id_type(len(lengths))
-        part, rows = TaskContext.get().partitionId(), []
+        part, rows, codec = TaskContext.get().partitionId(), [], pa.Codec("zstd")
         keys, pieces, size = [], [], 0
 
         def flush():
@@ -101,7 +101,7 @@ def write_files(encoded: DataFrame, folder: str, lengths: np.ndarray, partitions
         for batch in batches:
             for key, n, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 keys.append(key)
-                pieces.append(unpack(n, packed, kind))
+                pieces.append(unpack(n, packed, kind, codec))
                 size += n
                 if size >= file_ids:
                     flush()
@@ -208,11 +208,12 @@ def write_corpus(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
     symbols = max(chunks.open_tokenizer(spec).get_vocab_size(with_added_tokens=True),
                   0 if end_id is None else end_id + 1)
     # Already deflated, so Parquet need not try again.
-    encode_documents(docs, spec, end_id, key, text).write.option("compression", "none").parquet(f"{folder}/encoded")
+    encode_documents(docs, spec, end_id, symbols, key, text).write.option("compression", "none").parquet(f"{folder}/encoded")
     encoded = spark.read.parquet(f"{folder}/encoded")
     lengths = huffman.code_lengths(count_ids(encoded, symbols))
     total = encoded.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    number_files(write_files(encoded, f"{folder}/ids", lengths, max(1, -(-total // file_ids)), file_ids)
+    texts = encoded.where("n is not null").select("key", "n", "ids")
+    number_files(write_files(texts, f"{folder}/ids", lengths, max(1, -(-total // file_ids)), file_ids)
                  ).write.parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
 

@@ -49,6 +49,21 @@ def test_chunked_encoding_equals_the_library(path):
         assert coded[i][2].decode() == library.decode(want, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_many_ascii_chunks_at_once_equal_the_library(path):
+    library, encoder = chunks.open_tokenizer(spec_of(path)), chunks.Encoder(spec_of(path))
+    random.seed(6)
+    texts = ["".join(random.choice("aAbBcde'stTHe  \n\n.,!?01<|_") for _ in range(random.randint(0, 40)))
+             for _ in range(3_000)]
+    words = encoder.words.many(texts)
+    assert words is not None and words.count("\0") == len(texts) - 1
+    values = encoder._many(words)
+    assert [np.frombuffer(v, encoder.kind).tolist() for v in values] == [
+        library.encode(t, add_special_tokens=False).ids for t in texts]
+    for odd in ("a\tb", "\0", "<|endoftext|>", "é"):
+        assert encoder.words.many(["a", odd]) is None
+
+
 @pytest.mark.parametrize("path", [BYTES, WORDS])
 def test_prefix_coder_encodes_every_token_to_itself_or_as_the_library(path):
     library, coder = chunks.open_tokenizer(spec_of(path)), prefix_bpe.TextCoder(spec_of(path))
