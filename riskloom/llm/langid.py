@@ -246,7 +246,7 @@ def fit(docs: DataFrame, pieces_path: str, key: str = "doc_id", text: str = "tex
 
     def count(batches):
         for batch in batches:
-            for at, part in chunks.slices(batch.column(1)):
+            for at, part in chunks.slices(batch.column(1), chunks.WORK_BYTES):
                 flat, starts = words_of(part)
                 if not len(flat):
                     continue
@@ -261,7 +261,7 @@ def fit(docs: DataFrame, pieces_path: str, key: str = "doc_id", text: str = "tex
 
     sample = rows.join(F.broadcast(chosen), ["key", "lang"]).select("lang", "text")
     common = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    counted = (sample.mapInArrow(count, "lang string, word string, n bigint").where("word != ''")
+    counted = (sample.mapInArrow(chunks.tidied(count), "lang string, word string, n bigint").where("word != ''")
                .groupBy("lang", "word").agg(F.sum("n").alias("n"))
                .withColumn("_rank", F.row_number().over(common))
                .where(F.col("_rank") <= words_per_language).select("lang", "word", "n"))
@@ -304,7 +304,7 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
         model = shared.value
         names = [*model.languages, "und"]
         for batch in batches:
-            for at, part in chunks.slices(batch.column(batch.num_columns - 1)):
+            for at, part in chunks.slices(batch.column(batch.num_columns - 1), chunks.WORK_BYTES):
                 if model.languages:
                     best, sure, lettered = judge(model, part)
                 else:
@@ -318,7 +318,7 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
     passed = [F.col(c) for c in columns]
     rows = docs.select(*passed, F.col(key).cast("bigint").alias("_key"), F.col(text).alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    found = rows.mapInArrow(predict, f"{kinds}, _lang string, _score double")
+    found = rows.mapInArrow(chunks.tidied(predict), f"{kinds}, _lang string, _score double")
     return found.select(*passed, F.col("_key").alias(key) if key not in columns else F.col("_key"),
                         held_out("_key").alias("held_out"), F.col("_lang").alias("lang_pred"),
                         F.col("_score").alias("score"))

@@ -139,7 +139,6 @@ def _upper_counts(rows: DataFrame) -> tuple[int, np.ndarray]:
     block = 4_096
 
     def count(batches):
-        chunks.forget()
         total, texts = np.zeros(COUNTERS, np.int64), 0
         for batch in batches:
             for _, part in chunks.slices(batch.column(0), WORK_BYTES):
@@ -162,7 +161,7 @@ def _upper_counts(rows: DataFrame) -> tuple[int, np.ndarray]:
                                          names=["part", "counts"])
 
     schema = "part int, counts binary"
-    summed = rows.select("text").mapInArrow(count, schema).repartition("part").mapInArrow(add, schema)
+    summed = rows.select("text").mapInArrow(chunks.tidied(count), schema).repartition("part").mapInArrow(chunks.tidied(add), schema)
     parts: dict[int, np.ndarray] = {}
     for row in summed.collect():  # COUNTERS numbers
         parts[row["part"]] = np.frombuffer(row["counts"], "<i8")
@@ -179,7 +178,6 @@ def idf_weights(rows: DataFrame) -> Idf:
     maybe = rows.sparkSession.sparkContext.broadcast(np.packbits(upper > least))
 
     def count(batches):
-        chunks.forget()
         wanted = np.unpackbits(maybe.value).view(bool)
         for batch in batches:
             for _, part in chunks.slices(batch.column(0), WORK_BYTES):
@@ -188,7 +186,7 @@ def idf_weights(rows: DataFrame) -> Idf:
                 yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(times, pa.int64())],
                                                  names=["shingle", "n"])
 
-    counted = (rows.select("text").mapInArrow(count, "shingle bigint, n bigint").groupBy("shingle")
+    counted = (rows.select("text").mapInArrow(chunks.tidied(count), "shingle bigint, n bigint").groupBy("shingle")
                .agg(F.sum("n").alias("n")).where(F.col("n") > least).toPandas())
     found = counted["shingle"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(found)
@@ -246,7 +244,6 @@ def samples(owner: np.ndarray, found: np.ndarray, weight: np.ndarray, texts: int
 def _signatures(rows: DataFrame, idf) -> DataFrame:
     """(key, h1, h2, bands, samples): a key per band and 16 bits of each sample; none without words."""
     def sign(batches):
-        chunks.forget()
         weights = idf.value
         for batch in batches:
             for at, part in chunks.slices(batch.column(3), WORK_BYTES):
@@ -266,7 +263,7 @@ def _signatures(rows: DataFrame, idf) -> DataFrame:
                     names=["key", "h1", "h2", "bands", "samples"])
 
     return rows.select("key", "h1", "h2", "text").mapInArrow(
-        sign, "key bigint, h1 bigint, h2 bigint, bands array<bigint>, samples binary")
+        chunks.tidied(sign), "key bigint, h1 bigint, h2 bigint, bands array<bigint>, samples binary")
 
 
 def _tree(alike: np.ndarray) -> list[tuple[int, int]]:
@@ -354,7 +351,6 @@ def _blocks(members: DataFrame, chunk: int, columns: tuple[str, ...], work, out:
                                           names=names)
 
     def blocks(batches):
-        chunks.forget()
         key, held = None, None
 
         def close():
@@ -379,7 +375,7 @@ def _blocks(members: DataFrame, chunk: int, columns: tuple[str, ...], work, out:
             yield batch_of(found)
         yield batch_of(close())
 
-    return dealt.repartition(*keys).sortWithinPartitions(*keys, "rep").mapInArrow(blocks, out)
+    return dealt.repartition(*keys).sortWithinPartitions(*keys, "rep").mapInArrow(chunks.tidied(blocks), out)
 
 
 def similarity(left: pa.Array, right: pa.Array, idf: Idf) -> np.ndarray:
@@ -401,7 +397,6 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf, similar: float) -> DataFr
     right = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
 
     def verify(batches):
-        chunks.forget()
         weights = idf.value
         for batch in batches:
             a, b = batch.column(2), batch.column(3)
@@ -412,7 +407,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf, similar: float) -> DataFr
                     [batch.column(i).slice(at, len(part)).filter(good) for i in range(2)], names=["a", "b"])
 
     return (pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-            .mapInArrow(verify, "a bigint, b bigint"))
+            .mapInArrow(chunks.tidied(verify), "a bigint, b bigint"))
 
 
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR, key: str = "doc_id",

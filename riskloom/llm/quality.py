@@ -157,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
 
     def features(batches):
         for batch in batches:
-            for at, part in chunks.slices(batch.column(3)):
+            for at, part in chunks.slices(batch.column(3), chunks.WORK_BYTES):
                 found = list(bags(part))
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(i).slice(at, len(part)) for i in range(3)),
@@ -179,9 +179,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
             [pa.array([values], pa.list_(pa.int32())), pa.array([table.astype("<f4").tobytes()], pa.binary()),
              pa.array([bias.astype("<f4").tobytes()], pa.binary())], names=["labels", "scores", "bias"])
 
-    bagged = rows.mapInArrow(features, "order bigint, key bigint, label int, features binary, shares binary")
+    bagged = rows.mapInArrow(chunks.tidied(features), "order bigint, key bigint, label int, features binary, shares binary")
     model = (bagged.repartition(1).sortWithinPartitions("order", "key", "label", "features")
-             .mapInArrow(learn, "labels array<int>, scores binary, bias binary")).first()
+             .mapInArrow(chunks.tidied(learn), "labels array<int>, scores binary, bias binary")).first()
     if model is None:
         return [0, 1], np.zeros((1 << BITS, 2), np.float32), np.zeros(2, np.float32)
     values = list(model["labels"])
@@ -223,7 +223,7 @@ def score(docs: DataFrame, model: tuple[list[int], np.ndarray, np.ndarray], key:
         column = values.index(good)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
-            for at, part in chunks.slices(texts):
+            for at, part in chunks.slices(texts, chunks.WORK_BYTES):
                 odds = probabilities(part, table, bias)[:, column]
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(i).slice(at, len(part)) for i in range(batch.num_columns - 1)),
@@ -233,7 +233,7 @@ def score(docs: DataFrame, model: tuple[list[int], np.ndarray, np.ndarray], key:
     passed = [F.col(c) for c in columns]
     rows = docs.select(*passed, F.col(key).cast("bigint").alias("_key"), F.col(text).alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    judged = rows.mapInArrow(judge, f"{kinds}, _score double")
+    judged = rows.mapInArrow(chunks.tidied(judge), f"{kinds}, _score double")
     return judged.select(*passed, F.col("_key").alias(key) if key not in columns else F.col("_key"),
                          held_out("_key").alias("held_out"), F.col("_score").alias("score"),
                          (F.col("_score") >= keep).cast("int").alias("predicted"))
