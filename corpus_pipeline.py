@@ -30,8 +30,8 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of the remaining documents goes."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    """Where each piece of the remaining documents goes; workers share their machines with full heaps by now."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, remembered=150_000)
 
 
 STAGES = [("quality", good_quality), ("language", known_language),
