@@ -1,45 +1,19 @@
-"""Scorers on `pyspark.ml`: train, score in batches, calibrate, evaluate, explain."""
+"""Scorers: train, score in batches, calibrate, evaluate, explain."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, NGram, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import evaluate
+from ..functions import scoring
+from . import evaluate, trainer
 from .curate import token_frequency
 from .detect import ranked_tokens
 from .skew import salted_join
 
-FEATURE_BITS = 18
-
-
-def build_scorer(tokens: str = "tokens", label: str = "label", weight: str = "weight",
-                 bits: int = FEATURE_BITS, reg: float = 1e-4, iterations: int = 50
-                 ) -> Pipeline:
-    """Token and bigram weights with a weighted logistic loss.
-
-    Features are hashed, so no vocabulary passes through the driver and the model has a
-    fixed size.
-    """
-    return Pipeline(stages=[
-        NGram(n=2, inputCol=tokens, outputCol="bigrams"),
-        HashingTF(numFeatures=2 ** bits, inputCol=tokens, outputCol="tf_one"),
-        HashingTF(numFeatures=2 ** bits, inputCol="bigrams", outputCol="tf_two"),
-        IDF(inputCol="tf_one", outputCol="idf_one", minDocFreq=2),
-        IDF(inputCol="tf_two", outputCol="idf_two", minDocFreq=2),
-        VectorAssembler(inputCols=["idf_one", "idf_two"], outputCol="vector"),
-        LogisticRegression(featuresCol="vector", labelCol=label, weightCol=weight,
-                           regParam=reg, maxIter=iterations, probabilityCol="probability"),
-    ])
-
-
 def with_class_weight(df: DataFrame, label: str = "label", factor: float = 1.2) -> DataFrame:
     """Weight positives by safe/vulnerable times `factor`, negatives by 1."""
     counts = df.agg(F.count_if(F.col(label) == 1).alias("p"),
@@ -52,15 +26,14 @@ def with_class_weight(df: DataFrame, label: str = "label", factor: float = 1.2)
     return df.join(F.broadcast(weights), label)
 
 
-def train_classifier(train: DataFrame, label: str = "label", **options) -> PipelineModel:
-    return build_scorer(label=label, **options).fit(with_class_weight(train, label))
+def train_classifier(train: DataFrame, val: DataFrame | None = None, label: str = "label", **options
+                     ) -> trainer.LinearScorer:
+    """Hashed token and bigram weights with a weighted logistic loss; `val` chooses the round that stays."""
+    return trainer.fit(train, val, label=label, **options)
 
 
-def score_batch(model: PipelineModel, df: DataFrame, out: str = "prob") -> DataFrame:
-    scored = model.transform(df)
-    return scored.withColumn(out, vector_to_array("probability")[1]).drop(
-        "bigrams", "tf_one", "tf_two", "idf_one", "idf_two", "vector", "rawPrediction",
-        "probability", "prediction")
+def score_batch(scorer: trainer.LinearScorer, df: DataFrame, out: str = "prob", tokens: str = "tokens") -> DataFrame:
+    return df.withColumn(out, scoring.sigmoid(trainer.margins(scorer, trainer.hashed_features(tokens, scorer.bits))))
 
 
 def score_with(function: Callable[[pd.Series], pd.Series], df: DataFrame, column: str,
@@ -82,21 +55,20 @@ def evaluate_scores(scored: DataFrame, threshold: Column | float) -> DataFrame:
     return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
-def token_table(model: PipelineModel, df: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """(token, n, weight): what each token of a corpus adds to the model's log-odds.
+def token_table(scorer: trainer.LinearScorer, df: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """(token, n, weight): what each token of a corpus adds to the scorer's log-odds, before rows are scaled.
 
-    Every distinct token is scored as a text of its own; its log-odds without the
-    intercept is its weight.
+    Every distinct token is scored as a text of its own.
     """
-    each = token_frequency(df, tokens).withColumn("tokens", F.array("token"))
-    margin = vector_to_array("rawPrediction")[1] - F.lit(float(model.stages[-1].intercept))
-    return model.transform(each).select("token", "n", margin.alias("weight"))
+    each = token_frequency(df, tokens).withColumn("_alone", F.array("token"))
+    weight = trainer.margins(scorer, trainer.hashed_features("_alone", scorer.bits), alone=True)
+    return each.select("token", "n", weight.alias("weight"))
 
 
-def explain_topk(model: PipelineModel, df: DataFrame, key: str, tokens: str = "tokens",
+def explain_topk(scorer: trainer.LinearScorer, df: DataFrame, key: str, tokens: str = "tokens",
                  limit: int = 5) -> DataFrame:
     """The tokens of each row that speak most for `vulnerable`."""
-    weighted = token_weights(df, token_table(model, df, tokens), key, tokens, "n")
+    weighted = token_weights(df, token_table(scorer, df, tokens), key, tokens, "n")
     return weighted.select(key, ranked_tokens(F.col("token_weights"), limit).alias("tokens"))
 
 

@@ -191,13 +191,26 @@ def curate_diff_corpus(docs: DataFrame, labelled: DataFrame, output: str,
                    snippets=snippets, combined_samples=merged)
 
 
-def train_and_evaluate(split: DataFrame, **options) -> tuple[object, DataFrame]:
-    """Train on `train`, pick the threshold on `val`, measure on `test`."""
-    scorer = model.train_classifier(split.where("split = 'train'"), **options)
-    val = model.score_batch(scorer, split.where("split = 'val'"))
-    threshold = model.calibrate(val)
-    cut = threshold.first()["threshold"]
-    test = settle(model.score_batch(scorer, split.where("split = 'test'"))
-                  .select("prob", "label"), "scores")
+def train_and_evaluate(split: DataFrame, output: str | None = None, corpus_name: str = "corpus",
+                       model_name: str = "linear", **options) -> tuple[object, DataFrame]:
+    """Train on `train`, keep the best round and pick the threshold on `val`, measure on `test`.
+
+    With `output`: `epochs` (a row per round), `training_report` (threshold, test ratios, seconds of training) and
+    `metrics` (corpus, model, counts and ratios, for `read_metrics`) are written below it.
+    """
+    parts = {name: split.where(F.col("split") == name) for name in ("train", "val", "test")}
+    started = time.monotonic()
+    scorer = model.train_classifier(parts["train"], parts["val"], **options)
+    seconds = time.monotonic() - started
+    val = settle(model.score_batch(scorer, parts["val"]).select("prob", "label"), "scores")
+    cut = model.calibrate(val).first()["threshold"]
+    test = settle(model.score_batch(scorer, parts["test"]).select("prob", "label"), "scores")
     metrics = model.evaluate_scores(test, cut).withColumn("calibrated_threshold", F.lit(cut))
+    if output is not None:
+        scorer.epoch_table(split.sparkSession).write.mode("overwrite").parquet(f"{output}/epochs")
+        measured = settle(metrics, "metrics")
+        sinks.write_json(measured.select(
+            "calibrated_threshold", *[F.col(c).alias(f"test_{c}") for c in ("accuracy", "precision", "recall", "f1", "auc")],
+            F.lit(seconds).alias("training_time_seconds")), f"{output}/training_report")
+        sinks.write_metrics(measured, f"{output}/metrics", corpus_name, model_name)
     return scorer, metrics

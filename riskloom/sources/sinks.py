@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .corpus import METRIC_FIELDS
+
 CLEAN_COLUMNS = ("code_clean", "language", "safety", "label")
 NORMALISED_COLUMNS = ("code_clean", "normalized_code", "language", "safety", "label",
                       "token_length")
@@ -45,6 +47,13 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_metrics(metrics: DataFrame, path: str, corpus: str, model: str) -> None:
+    """One row of counts and ratios as the nested corpus -> model -> metrics document."""
+    fields = [F.col(f.lower()).alias(f) for f in METRIC_FIELDS]
+    nested = F.create_map(F.lit(corpus), F.create_map(F.lit(model), F.struct(*fields)))
+    metrics.select(F.to_json(nested).alias("value")).write.mode("overwrite").text(path)
+
+
 def write_lines(lines: DataFrame, path: str, order: Sequence[str]) -> None:
     """Write ordered line rows; the part files in name order are the document."""
     lines.orderBy(*order).select("line").write.mode("overwrite").text(path)

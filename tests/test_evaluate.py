@@ -2,11 +2,15 @@
 
 import math
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.operators import evaluate, model
+from riskloom.operators import evaluate, model, trainer
+from riskloom.plans import jobs
+from riskloom.sources import corpus
 
 GOLDEN = {  # tp, tn, fp, fn -> accuracy, precision, recall, f1, fpr
     (77, 94, 6, 13): (0.9, 0.927711, 0.855556, 0.890173, 0.06),
@@ -121,18 +125,90 @@ def test_token_weights(spark):
             (1, "a", 1.0), (1, "b", 3.0), (2, "c", 0.0)]
 
 
-def test_training_query_uses_the_operators_defaults(spark, monkeypatch):
+def test_training_query_trains_with_the_operators_defaults(spark, monkeypatch):
     import __spark_entry__ as entry
+    trained = []
+    fit = trainer.fit
+    monkeypatch.setattr(trainer, "fit", lambda *a, **k: trained.append(fit(*a, **k)) or trained[-1])
+    row = entry.queries()["train_and_evaluate"](spark, "/root/testdata/sf0.001").first()
+    scorer = trained[0]
+    assert scorer.bits == 18 and len(scorer.weights) == 2 ** 19 and len(scorer.epochs) == trainer.ITERATIONS == 50
+    assert row["tp"] + row["tn"] + row["fp"] + row["fn"] > 0 and 0.3 <= row["calibrated_threshold"] <= 0.68
 
-    class Built(Exception):
-        pass
 
-    def build(train, label="label", **options):
-        raise Built(model.build_scorer(label=label, **options))
-
-    monkeypatch.setattr(model, "train_classifier", build)
-    with pytest.raises(Built) as caught:
-        entry.queries()["train_and_evaluate"](spark, "/root/testdata/sf0.001")
-    stages = caught.value.args[0].getStages()
-    assert [s.getNumFeatures() for s in stages if hasattr(s, "getNumFeatures")] == [2 ** 18, 2 ** 18]
-    assert stages[-1].getMaxIter() == 50
+def labelled_tokens(spark, n=160):
+    rng = random.Random(8)
+    rows = []
+    for i in range(n):
+        label = int(rng.random() < 0.4)
+        tokens = [rng.choice("abcdefgh") for _ in range(rng.randint(0, 12))] + ["bad"] * (label and rng.random() < 0.8)
+        rows.append((i, label if i % 50 else None, tokens if i % 31 else None,
+                     ("train", "train", "val", "test")[i % 4]))
+    return spark.createDataFrame(rows, "id int, label int, tokens array<string>, split string")
+
+
+def test_rounds_equal_a_plain_trainer_and_the_best_one_stays(spark):
+    df = labelled_tokens(spark)
+    train, val = (df.where(F.col("split") == s) for s in ("train", "val"))
+    scorer = trainer.fit(train, val, bits=6, iterations=12, rate=0.3)
+    hashed = [part.where("label is not null").select("label", trainer.hashed_features("tokens", 6).alias("f")).collect()
+              for part in (train, val)]
+    held = Counter(i for r in hashed[0] for i in set(r["f"]))
+    n = len(hashed[0])
+    inverse = np.array([math.log((n + 1) / (held[i] + 1)) if held[i] >= 2 else 0 for i in range(128)])
+    np.testing.assert_allclose(scorer.inverse, inverse)
+
+    def dense(rows):
+        x = np.zeros((len(rows), 128))
+        for line, r in zip(x, rows):
+            np.add.at(line, r["f"], 1)
+        x *= inverse
+        norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+        return np.divide(x, norm, out=x, where=norm > 0), np.array([r["label"] for r in rows])
+    (x, y), (vx, vy) = dense(hashed[0]), dense(hashed[1])
+    up = (n - y.sum()) / y.sum() * 1.2
+    w, first, second, plain = np.zeros(129), np.zeros(129), np.zeros(129), []
+    for step in range(1, 13):
+        p = 1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))
+        e = np.where(y == 1, up, 1) * (p - y) / n
+        slope = np.append(x.T @ e, e.sum())
+        first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope ** 2
+        w = w - 0.3 * (first / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.999 ** step)) + 1e-8)
+        w[:-1] *= 1 - 0.3 * 1e-4
+        q = 1 / (1 + np.exp(-(vx @ w[:-1] + w[-1])))
+        said = q >= 0.5
+        f1 = 2 * (said & (vy == 1)).sum() / max(1, said.sum() + vy.sum())
+        loss = np.mean(-np.where(vy == 1, up, 1) * np.log(np.clip(np.where(vy == 1, q, 1 - q), 1e-7, 1)))
+        plain.append((step, f1, loss, w.copy()))
+    for epoch, (step, f1, loss, _) in zip(scorer.epochs, plain, strict=True):
+        assert epoch["epoch"] == step and abs(epoch["f1"] - f1) < 1e-12 and abs(epoch["val_loss"] - loss) < 1e-7
+    best = max(plain, key=lambda e: (e[1], -e[2], -e[0]))
+    np.testing.assert_allclose(scorer.weights, best[3][:-1], atol=1e-6)
+    assert abs(scorer.bias - best[3][-1]) < 1e-6
+    table = scorer.epoch_table(spark)
+    assert [r["epoch"] for r in table.where("is_best").collect()] == [best[0]]
+    assert evaluate.best_checkpoint(table).first()["epoch"] == best[0]
+    got = {r["id"]: r["prob"] for r in model.score_batch(scorer, val.where("label is not null")).collect()}
+    want = 1 / (1 + np.exp(-(vx @ scorer.weights + scorer.bias)))
+    np.testing.assert_allclose([got[k] for k in sorted(got)], want, atol=1e-12)
+
+
+def test_training_on_little_or_nothing(spark):
+    df = labelled_tokens(spark, 40)
+    for rows in (df.limit(0), df.where("label = 1"), df.where("label is null")):
+        scorer = trainer.fit(rows, rows, bits=4, iterations=2)
+        assert len(scorer.epochs) == 2 and np.isfinite(scorer.weights).all()
+        assert all(0 <= r["prob"] <= 1 for r in model.score_batch(scorer, df).collect())
+
+
+def test_metrics_files_of_a_training(spark, tmp_path):
+    split = labelled_tokens(spark).where("label is not null")
+    _, metrics = jobs.train_and_evaluate(split, str(tmp_path), "texts", "first", bits=8, iterations=4)
+    row = metrics.first()
+    back = corpus.read_metrics(spark, f"{tmp_path}/metrics").collect()
+    assert len(back) == 1 and (back[0]["corpus"], back[0]["model"]) == ("texts", "first")
+    assert all(back[0][c] == row[c] for c in ("tp", "tn", "fp", "fn", "accuracy", "f1", "auc", "mcc", "kappa", "fpr"))
+    assert corpus.read_threshold(spark, f"{tmp_path}/training_report").first()[0] == row["calibrated_threshold"]
+    report = spark.read.json(f"{tmp_path}/training_report").first()
+    assert report["test_f1"] == row["f1"] and report["training_time_seconds"] > 0
+    assert spark.read.parquet(f"{tmp_path}/epochs").count() == 4
