@@ -1,6 +1,5 @@
 """No size, order or number of tasks changes a result."""
 
-import io
 import json
 import os
 
@@ -111,16 +110,6 @@ def test_threshold_without_a_report(spark, tmp_path):
     assert corpus.read_threshold(spark, str(tmp_path / "none.json")).first()[0] == fixed.DEFAULT_THRESHOLD
 
 
-@pytest.mark.parametrize("step", [1, 7, 1 << 20])
-def test_commits_are_cut_out_of_any_document(step):
-    doc = {"r/1": {"c1": {"files": {"a\"}{": {"changes": [{"badparts": ["x\\", "}]"], "goodparts": []}]}}}, "c2": {}},
-           "é\u2028": {"c\n3": {"files": {}, "n": [1, [2]]}}, "none": {}}
-    text = json.dumps(doc, ensure_ascii=False)
-    got = list(corpus.commit_texts(io.BytesIO(text.encode()), step))
-    want = [(i, r, j, c, v) for i, (r, cs) in enumerate(doc.items()) for j, (c, v) in enumerate(cs.items())]
-    assert [(*row[:4], json.loads(row[4])) for row in got] == want
-
-
 @pytest.mark.skipif(not os.environ.get("LARGE_TESTS"), reason="reads 300 MB; set LARGE_TESTS")
 def test_diff_document_of_300_mb(spark, tmp_path):
     lines = ["x = 1  # " + "y" * 190] * 500
