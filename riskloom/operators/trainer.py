@@ -76,41 +76,43 @@ def _runs(lists: pa.Array) -> Iterator[tuple[int, pa.Array]]:
         at = stop
 
 
-def _weigh(lists: pa.Array, inverse: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, feature and value of every distinct feature: count x inverse frequency, rows of length one."""
+def _counted(lists: pa.Array, inverse: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, feature and count of every distinct feature that counts, and the length of each row's values.
+
+    A value is count x inverse frequency; divided by the length, all rows are equally long.
+    """
     ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
     both, n = np.unique(np.repeat(np.arange(len(lists)), sizes) * len(inverse) + ids, return_counts=True)
     row, feature = both // len(inverse), both % len(inverse)
-    value = n * inverse[feature]
-    used = value > 0
-    row, feature, value = row[used], feature[used], value[used]
-    norm = np.sqrt(np.bincount(row, value * value, len(lists)))
-    return row, feature, value / norm[row]
+    used = inverse[feature] > 0
+    row, feature, n = row[used], feature[used], n[used]
+    return row, feature, n, np.sqrt(np.bincount(row, (n * inverse[feature]) ** 2, len(lists)))
 
 
 def sparse_rows(rows: DataFrame, inverse: np.ndarray, features: str) -> DataFrame:
-    """`rows` with arrays `ids` and `values` in place of the feature numbers."""
+    """`rows` with arrays `ids` and `counts` and the length `norm` in place of the feature numbers."""
     shared = rows.sparkSession.sparkContext.broadcast(inverse)
     kept = [c for c in rows.columns if c != features]
 
     def weigh(batches):
         for batch in batches:
             for at, lists in _runs(batch.column(len(kept))):
-                row, feature, value = _weigh(lists, shared.value)
+                row, feature, n, norm = _counted(lists, shared.value)
                 ends = pa.array(np.searchsorted(row, np.arange(len(lists) + 1)), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(i).slice(at, len(lists)) for i in range(len(kept))),
-                     pa.ListArray.from_arrays(ends, pa.array(feature, pa.int32())),
-                     pa.ListArray.from_arrays(ends, pa.array(value))], names=[*kept, "ids", "values"])
+                     *(pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (feature, n)), pa.array(norm)],
+                    names=[*kept, "ids", "counts", "norm"])
 
     types = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
-    return rows.select(*kept, features).mapInArrow(weigh, f"{types}, ids array<int>, values array<double>")
+    return rows.select(*kept, features).mapInArrow(
+        weigh, f"{types}, ids array<int>, counts array<int>, norm double")
 
 
-def _pass(batches: Iterator[pa.RecordBatch], weights: np.ndarray, bias: float, positive: float,
-          sizes: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """One task's part of a round over (is_train, label, ids, values)."""
+def _pass(batches: Iterator[pa.RecordBatch], weights: np.ndarray, bias: float, inverse: np.ndarray,
+          positive: float, sizes: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """One task's part of a round over (is_train, label, ids, counts, norm)."""
     gradient, sums = np.zeros(len(weights)), dict.fromkeys((BIAS, *LOSSES), 0.0)
     counts = dict.fromkeys((*COUNTS["train"], *COUNTS["val"]), 0)
     for batch in batches:
@@ -118,8 +120,9 @@ def _pass(batches: Iterator[pa.RecordBatch], weights: np.ndarray, bias: float, p
             n = len(lists)
             train = batch.column(0).slice(at, n).to_numpy(zero_copy_only=False)
             label = batch.column(1).slice(at, n).to_numpy(zero_copy_only=False) == 1
-            ids, value = lists.flatten().to_numpy(), batch.column(3).slice(at, n).flatten().to_numpy()
+            ids, times = lists.flatten().to_numpy(), batch.column(3).slice(at, n).flatten().to_numpy()
             row = np.repeat(np.arange(n), pc.list_value_length(lists).to_numpy())
+            value = times * inverse[ids] / batch.column(4).slice(at, n).to_numpy()[row]
             p = 1 / (1 + np.exp(-(np.bincount(row, value * weights[ids], n) + bias)))
             share = np.where(label, positive, 1.0)
             error = np.where(train, share * (p - label), 0.0)
@@ -144,7 +147,7 @@ def _pass(batches: Iterator[pa.RecordBatch], weights: np.ndarray, bias: float, p
 def _round(rows: DataFrame, scorer: LinearScorer, positive: float, sizes: tuple[int, int]
            ) -> tuple[np.ndarray, dict[int, int]]:
     """Gradient at the scorer's weights, and what else the tasks report."""
-    shared = rows.sparkSession.sparkContext.broadcast((scorer.weights, scorer.bias))
+    shared = rows.sparkSession.sparkContext.broadcast((scorer.weights, scorer.bias, scorer.inverse))
     parts = rows.mapInArrow(lambda batches: _pass(batches, *shared.value, positive, sizes), "id int, value bigint")
     summed = parts.groupBy("id").agg(F.sum("value").alias("value")).toArrow()
     shared.destroy()
@@ -187,14 +190,15 @@ def fit(train: DataFrame, val: DataFrame | None = None, tokens: str = "tokens",
     """Train for `iterations` rounds; of all rounds that with the best F1 on `val`, then the lowest loss, stays.
 
     Positives weigh (negatives / positives) x `factor`. Rows without a label are left out; null tokens are none.
-    Without `val` the last round stays; without rows, or with one class only, training still ends. The
-    sparse table is written once; every round reads it, in at most four tasks per core.
+    Without `val` the last round stays; without rows, or with one class only, training still ends. Tokens are
+    hashed twice, for frequencies and for the sparse table, which is written once; every round reads it, in one
+    task per core. `train` and `val` should be written tables themselves.
     """
     columns = [F.col(label).cast("int").alias("label"), hashed_features(tokens, bits).alias("features")]
     sides = [train.select(F.lit(True).alias("is_train"), *columns)]
     if val is not None:
         sides.append(val.select(F.lit(False).alias("is_train"), *columns))
-    hashed = settle(sides[0] if val is None else sides[0].unionByName(sides[1]), "hashed").where("label is not null")
+    hashed = (sides[0] if val is None else sides[0].unionByName(sides[1])).where("label is not null")
     inverse = inverse_frequencies(hashed.where("is_train"), "features", bits)
     table = settle(sparse_rows(hashed, inverse, "features"), "features")
     told = {(r["is_train"], r["label"] == 1): r["n"] for r in table.groupBy(
@@ -202,7 +206,8 @@ def fit(train: DataFrame, val: DataFrame | None = None, tokens: str = "tokens",
     sizes = tuple(sum(n for (side, _), n in told.items() if side == which) for which in (True, False))
     positives = told.get((True, True), 0)
     positive = (sizes[0] - positives) / positives * factor if positives else 1.0
-    rows = table.coalesce(4 * table.sparkSession.sparkContext.defaultParallelism)
+    # Each task hands over a gradient: as few tasks as keep all cores busy.
+    rows = table.coalesce(table.sparkSession.sparkContext.defaultParallelism)
 
     scorer = LinearScorer(bits, inverse, np.zeros(2 << bits), 0.0)
     latest: list = [None]
@@ -237,7 +242,8 @@ def margins(scorer: LinearScorer, features: Column, alone: bool = False) -> Colu
                 row = np.repeat(np.arange(len(some)), pc.list_value_length(some).to_numpy(zero_copy_only=False))
                 value = inverse[ids]
             else:
-                row, ids, value = _weigh(some, inverse)
+                row, ids, n, norm = _counted(some, inverse)
+                value = n * inverse[ids] / norm[row]
             out[at:at + len(some)] = np.bincount(row, value * weights[ids], len(some)) + (0 if alone else bias)
         return pa.array(out)
 
