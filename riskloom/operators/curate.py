@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from .. import fixed
 from ..functions import scoring, text
+from ..session import settle
 from .skew import compute_once, salted_join
 
 
@@ -152,8 +153,10 @@ def encode_tokens(df: DataFrame, vocabulary: DataFrame, key: str | Sequence[str]
 
     `key` names the columns that tell rows apart. A vocabulary counted to have at most
     `max_broadcast` rows is sent to the tasks once and looked up there in Arrow batches, so no row is
-    shuffled. A larger one is joined, with hot tokens salted; the result is the same.
+    shuffled. A larger one is joined, with hot tokens salted; the result is the same. The vocabulary is
+    written down first: it is counted and then read, and may be the count of a whole corpus.
     """
+    vocabulary = settle(vocabulary.select("token", "id"), "vocabulary")
     if vocabulary.limit(max_broadcast + 1).count() <= max_broadcast:
         return df.withColumn("features", _lookup(vocabulary, length)(
             F.slice(tokens, 1, length)))

@@ -88,12 +88,15 @@ def rows_by_key(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
 
 
 def action_counts(audit: DataFrame) -> DataFrame:
-    """Events per day and action, with day totals and a grand total."""
+    """Events per day and action, with day totals and a grand total, marked `all`.
+
+    An event without a time or an action stays a row of its own with a null there.
+    """
     day = F.date_format("timestamp", "yyyy-MM-dd")
-    return (audit.withColumn("day", day).rollup("day", "action")
-            .agg(F.count("*").alias("n"))
-            .withColumn("day", F.coalesce("day", F.lit("all")))
-            .withColumn("action", F.coalesce("action", F.lit("all"))))
+    summed = audit.withColumn("day", day).rollup("day", "action").agg(
+        F.count("*").alias("n"), *[F.grouping(c).alias(f"_all_{c}") for c in ("day", "action")])
+    return summed.select(*[F.when(F.col(f"_all_{c}") == 1, "all").otherwise(F.col(c)).alias(c)
+                           for c in ("day", "action")], "n")
 
 
 def unique_violations(batch: DataFrame, existing: DataFrame, column: str) -> DataFrame:

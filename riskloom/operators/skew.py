@@ -70,25 +70,27 @@ def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str =
 
 
 def number_rows(df: DataFrame, group: Sequence[str], position: str, out: str,
-                chunk: int) -> DataFrame:
-    """Exact 1-based row number by `position` inside `group`, without one task per group.
+                chunk: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Exact 1-based row number by `position` inside `group`, without one task per large group.
 
-    `position` is a whole number, unique in its group. The group is cut into stretches of
-    `chunk` positions: stretches are counted (a map-side combined aggregate, one small row
-    per stretch), a running sum over those counts gives each stretch its offset, and the
-    rows are numbered inside their stretch.
+    `position` is a whole number, unique in its group. Groups are counted first. One of fewer than `hot_rows` rows
+    is numbered as it is. A larger one (there are at most rows / `hot_rows` of them, so their keys are
+    broadcast) is cut into stretches of `chunk` positions: a running sum over the stretches' counts, one small
+    row each, tells where the numbers of a stretch start.
     """
     keys = list(group)
-    cut = df.withColumn("_chunk", whole_steps(F.col(position), chunk))
+    hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= hot_rows).select(
+        *keys, F.lit(True).alias("_hot"))
+    cut = df.join(F.broadcast(hot), keys, "left").withColumn("_chunk", F.when(
+        F.col("_hot"), whole_steps(F.col(position), chunk)).otherwise(0).cast("bigint")).drop("_hot")
     running = (Window.partitionBy(*keys).orderBy("_chunk")
                .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = (cut.groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"))
-               .withColumn("_offset", F.coalesce(F.sum("_n").over(running), F.lit(0)))
-               .drop("_n"))
+    offsets = (df.join(F.broadcast(hot), keys).groupBy(*keys, whole_steps(F.col(position), chunk).alias("_chunk"))
+               .agg(F.count("*").alias("_n")).withColumn("_offset", F.sum("_n").over(running)).drop("_n"))
     inside = Window.partitionBy(*keys, "_chunk").orderBy(position)
     numbered = cut.withColumn("_rn", F.row_number().over(inside))
-    return (numbered.join(offsets, [*keys, "_chunk"])
-            .withColumn(out, (F.col("_offset") + F.col("_rn")).cast("bigint"))
+    return (numbered.join(offsets, [*keys, "_chunk"], "left")
+            .withColumn(out, (F.coalesce("_offset", F.lit(0)) + F.col("_rn")).cast("bigint"))
             .drop("_chunk", "_offset", "_rn"))
 
 

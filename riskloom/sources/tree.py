@@ -10,6 +10,7 @@ from __future__ import annotations
 import itertools
 import os
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -73,7 +74,7 @@ def _batches(files: Iterator[tuple[str, bytes]]) -> Iterator[pa.RecordBatch]:
     for name, blob in files:
         names.append(name)
         blobs.append(blob)
-        size += len(blob)
+        size += len(blob or b"")
         if size >= BATCH_BYTES:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(names, pa.string()), pa.array(blobs, pa.binary())],
@@ -157,12 +158,20 @@ def _tasks(spark: SparkSession) -> int:
     return max(64, 4 * spark.sparkContext.defaultParallelism)
 
 
+def _member(archive: zipfile.ZipFile, name: str) -> bytes | None:
+    try:
+        return archive.read(name)
+    except (OSError, RuntimeError, NotImplementedError, EOFError, zipfile.BadZipFile, zlib.error):
+        return None
+
+
 def read_source_archives(spark: SparkSession, archives: DataFrame, path: str = "path",
                          partitions: int | None = None) -> DataFrame:
     """(archive, path, content) of the `.py` members of zip files named in `archives`.
 
     Members are listed first (only the directory of a zip is read) and then spread over the
-    tasks by name, so one huge archive is not one task's work.
+    tasks by name, so one huge archive is not one task's work. Archives that cannot be opened are left out;
+    a member that is encrypted, damaged or packed in an unknown way has null content.
     """
     def members(batches):
         for batch in batches:
@@ -185,7 +194,7 @@ def read_source_archives(spark: SparkSession, archives: DataFrame, path: str = "
                 by_archive.setdefault(archive, []).append(name)
             for archive, names in by_archive.items():
                 with zipfile.ZipFile(archive) as z:
-                    for read in _batches((n, z.read(n)) for n in names):
+                    for read in _batches((n, _member(z, n)) for n in names):
                         yield pa.RecordBatch.from_arrays(
                             [pa.array([archive] * read.num_rows, pa.string()),
                              *read.columns], names=["archive", "path", "content"])

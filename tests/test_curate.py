@@ -129,11 +129,12 @@ def test_salted_join_equals_plain_join(spark, how, hot):
         map(tuple, want.collect()), key=str)
 
 
-def test_number_rows_equals_window(spark):
+@pytest.mark.parametrize("hot_rows", [1, 150, 10 ** 6])
+def test_number_rows_equals_window(spark, hot_rows):
     rng = random.Random(4)
-    rows = [(g, p) for g in "abc" for p in rng.sample(range(-500, 500), 200)]
+    rows = [(g, p) for g, n in (("a", 200), ("b", 149), (None, 30)) for p in rng.sample(range(-500, 500), n)]
     df = spark.createDataFrame(rows, "g string, p long")
-    got = skew.number_rows(df, ["g"], "p", "n", chunk=37)
+    got = skew.number_rows(df, ["g"], "p", "n", chunk=37, hot_rows=hot_rows)
     want = df.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("p")))
-    assert sorted(map(tuple, got.select("g", "p", "n").collect())) == sorted(
-        map(tuple, want.collect()))
+    assert sorted(map(tuple, got.select("g", "p", "n").collect()), key=repr) == sorted(
+        map(tuple, want.collect()), key=repr)

@@ -59,6 +59,11 @@ def test_audit_display(spark):
         (1, "2024-01-01 10:00", "Anonymous", "LOGIN_FAILURE", "login-failure", "N/A", "--")]
     totals = {(r["day"], r["action"]): r["n"] for r in history.action_counts(log).collect()}
     assert totals[("all", "all")] == 2 and totals[("2024-01-01", "SCAN")] == 1
+    unknown = log.withColumns({"action": F.lit(None).cast("string"), "timestamp": F.lit(None).cast("timestamp")})
+    rows = [tuple(r) for r in history.action_counts(log.unionByName(unknown)).collect()]
+    assert sorted(rows, key=repr) == sorted([
+        ("all", "all", 4), ("2024-01-01", "all", 2), (None, "all", 2), ("2024-01-01", "SCAN", 1),
+        ("2024-01-01", "LOGIN_FAILURE", 1), (None, None, 2)], key=repr)
 
 
 def test_new_users_and_violations(spark):

@@ -42,10 +42,16 @@ def test_archives(spark, tmp_path):
         z.writestr("a/x.py", CODE)
         z.writestr("venv/y.py", CODE)
         z.writestr("n.txt", "no")
+        z.writestr("a/z.py", CODE * 50)
+    raw = bytearray(path.read_bytes())
+    raw[raw.rindex(CODE.encode()) + 5] ^= 1  # the last member no longer fits its checksum
+    path.write_bytes(raw)
     (tmp_path / "bad.zip").write_bytes(b"not a zip")
     names = spark.createDataFrame([(str(path),), (str(tmp_path / "bad.zip"),)], "path string")
     rows = tree.read_source_archives(spark, names).collect()
-    assert [(r["path"], bytes(r["content"]).decode()) for r in rows] == [("a/x.py", CODE)]
+    assert {r["path"]: r["content"] and bytes(r["content"]).decode() for r in rows} == {"a/x.py": CODE, "a/z.py": None}
+    assert [r["path"] for r in tree.with_code(tree.read_source_archives(spark, names)).where("code <> ''").collect()] == [
+        "a/x.py"]
 
 
 def test_scan_corpus(spark, tmp_path):
