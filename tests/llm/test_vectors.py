@@ -137,22 +137,26 @@ def test_graph_search_finds_the_nearest_centroids():
     assert np.mean(order[:, 0] == exact.argmin(1)) >= 0.95
 
 
-def test_search_with_many_lists(spark, monkeypatch):
+@pytest.mark.parametrize("clusters", [0, 150])
+def test_search_with_many_lists(spark, monkeypatch, clusters):
     monkeypatch.setattr(ann, "LIST", 8)
     random = np.random.default_rng(11)
-    x = random.normal(size=(6_000, 24)).astype(np.float32)
+    x = random.normal(size=(6_000, 24))
+    if clusters:
+        x = 0.4 * x + random.normal(size=(clusters, 24))[random.integers(clusters, size=6_000)]
+    x = x.astype(np.float32)
     df = table(spark, [[i, v.tolist(), 0] for i, v in enumerate(x)]).repartition(4)
     plain = df.select(F.col("vec_id").cast("long").alias("key"), F.col("embedding").cast("array<double>").alias("vector"))
     index, asked = ann.fit(plain), np.arange(0, 6_000, 60)
-    assert len(index.centroids) >= 700
+    assert len(index.centroids) >= 700 and index.ratio >= ann.WIDE
+    # The graph finds nearly all lists within the ratio.
     q = index.asked(x[asked].astype(np.float64))
-    near = ((q[:, None] - index.centroids[None]) ** 2).sum(2)
-    near.sort(axis=1)
-    want = {k: int(n) for k, n in zip(asked.tolist(), (np.sqrt(near) <= ann.WIDE * np.sqrt(near[:, :1])).sum(1))}
-    assert max(want.values()) > 300
+    near = np.sqrt(((q[:, None] - index.centroids[None]) ** 2).sum(2))
+    want = near <= index.ratio * near.min(axis=1, keepdims=True)
+    row, _, found = index.within(q)
+    assert want[row, found].sum() >= 0.99 * want.sum()
     read = ann._assign(plain.where("key % 60 = 0"), spark.sparkContext.broadcast(index), True)
-    got = {r["key"]: r["n"] for r in read.groupBy("key").agg(F.countDistinct("list").alias("n")).collect()}
-    assert all(got[k] >= min(n, len(index.centroids)) for k, n in want.items())
+    assert read.count() == len(row)
     found = {}
     for r in ann.search(df.where("vec_id % 60 = 0"), df).collect():
         found.setdefault(r["query_id"], set()).add(r["vec_id"])
@@ -161,7 +165,7 @@ def test_search_with_many_lists(spark, monkeypatch):
         scores = x.astype(np.float64) @ x[i]
         scores[i] = -np.inf
         hits += len(found[i] & set(np.argsort(-scores)[:20].tolist()))
-    assert hits >= 0.84 * 20 * len(asked)
+    assert hits >= 0.9 * 20 * len(asked), hits / 20 / len(asked)
 
 
 def test_search_query_recall(spark):
