@@ -73,8 +73,10 @@ def normalise_indent(spark, base):
     return _digest(files.withColumn("x", text.normalise_indent(F.col("code"))))
 
 
-def _first_five(column="tokens"):
-    return F.array_join(F.slice(column, 1, 5), " ").alias("first_five")
+def _all_tokens(column="tokens"):
+    """A digest of the whole list, and its beginning to be looked at."""
+    return (F.array_join(F.slice(column, 1, 5), " ").alias("first_five"),
+            F.md5(F.array_join(column, "\n")).alias(f"{column}_md5"))
 
 
 NORMAL = {"normal": f"SELECT doc_id, lang, source, {t.normal_sql('text')} AS x FROM documents",
@@ -87,11 +89,11 @@ def _tokenised(spark, base):
 
 
 @query("normalise_tokens", t.with_ctes((), (
-    "SELECT doc_id, len(toks)::INT AS n_tokens, array_to_string(toks[1:5], ' ') AS first_five "
-    "FROM tokenised WHERE len(toks) > 0"), **NORMAL))
+    "SELECT doc_id, len(toks)::INT AS n_tokens, array_to_string(toks[1:5], ' ') AS first_five, "
+    "md5(array_to_string(toks, chr(10))) AS tokens_md5 FROM tokenised WHERE len(toks) > 0"), **NORMAL))
 def normalise_tokens(spark, base):
     return _tokenised(spark, base).select(
-        "doc_id", F.col("token_length").alias("n_tokens"), _first_five())
+        "doc_id", F.col("token_length").alias("n_tokens"), *_all_tokens())
 
 
 SCAN_SQL = r"[A-Za-z_][A-Za-z0-9_]*|\p{Nd}+|[^\s\p{Z}\p{L}\p{N}_]"
@@ -99,14 +101,15 @@ SCAN_SQL = r"[A-Za-z_][A-Za-z0-9_]*|\p{Nd}+|[^\s\p{Z}\p{L}\p{N}_]"
 
 @query("raw_tokens", (
     "SELECT doc_id, len(a)::INT AS n_tokens, len(b)::INT AS n_shown, array_to_string(a[1:5], ' ')"
-    f" AS first_five FROM (SELECT doc_id, regexp_extract_all(text, '{SCAN_SQL}') AS a, "
+    " AS first_five, md5(array_to_string(a, chr(10))) AS tokens_md5, md5(array_to_string(b, chr(10))) AS "
+    f"shown_md5 FROM (SELECT doc_id, regexp_extract_all(text, '{SCAN_SQL}') AS a, "
     "regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*') AS b FROM documents)"))
 def raw_tokens(spark, base):
     files = t.source_files(spark, base)
     return (files.withColumn("tokens", text.scan_tokens(F.col("code")))
             .withColumn("shown", text.display_tokens(F.col("code")))
             .select("doc_id", F.size("tokens").alias("n_tokens"),
-                    F.size("shown").alias("n_shown"), _first_five()))
+                    F.size("shown").alias("n_shown"), *_all_tokens(), _all_tokens("shown")[1]))
 
 
 # Curation ----------------------------------------------------------------------------

@@ -242,18 +242,20 @@ INDENTED = "regexp_replace(text, '\\n([^AEIOU])', chr(10) || '    \\1', 'g')"
 
 @query("segment_blocks", t.with_ctes((), (
     "SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1)::INT AS block, "
-    "pos::INT AS start_line, (coalesce(nxt, n + 1) - pos)::INT AS n_lines, line AS first FROM ("
+    "pos::INT AS start_line, (coalesce(nxt, n + 1) - pos)::INT AS n_lines, line AS first, "
+    "md5(array_to_string(ls[pos:coalesce(nxt, n + 1) - 1], chr(10))) AS block_md5 FROM ("
     "SELECT *, min(CASE WHEN regexp_matches(line, '^[^\\s]') THEN pos END) OVER (PARTITION BY "
     "doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt, max(pos) "
     "OVER (PARTITION BY doc_id) AS n FROM lines) WHERE regexp_matches(line, '^[AEIOU]')"),
     texts=f"SELECT doc_id, {INDENTED} AS tx FROM documents",
     split="SELECT doc_id, string_split(CASE WHEN suffix(tx, chr(10)) THEN tx[:-2] ELSE tx END, "
           "chr(10)) AS ls FROM texts",
-    lines="SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM split"))
+    lines="SELECT doc_id, ls, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM split"))
 def segment_blocks(spark, base):
     files = t.source_files(spark, base).withColumn(
         "code", F.regexp_replace("code", r"\n([^AEIOU])", "\n    $1"))
-    return extract.segment_blocks(files, "doc_id", "code", "^[AEIOU]").drop("block_code")
+    return extract.segment_blocks(files, "doc_id", "code", "^[AEIOU]").withColumn(
+        "block_md5", F.md5("block_code")).drop("block_code")
 
 
 # Code made of a text: five lines of code for each of its lines, by turns a function with an inner

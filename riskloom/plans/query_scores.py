@@ -11,8 +11,6 @@ from . import tables as t
 from .query_corpus import _parity
 from .registry import query
 
-EPOCHS = 10
-
 
 def _ratio(a: str, b: str) -> str:
     return f"CASE WHEN {b} = 0 THEN 0 ELSE round_even(({a}) / ({b}), 6) END"
@@ -95,8 +93,8 @@ def weighted_log_loss(spark, base):
 
 
 def _epochs(spark, base):
-    """Each leading vector component is taken as one epoch's logit."""
-    logits = F.posexplode(F.slice("embedding", 1, EPOCHS)).alias("epoch", "logit")
+    """Each vector component is taken as one epoch's logit."""
+    logits = F.posexplode("embedding").alias("epoch", "logit")
     rows = t.load(spark, base, "embeddings").select(
         (F.col("label") >= 5).cast("int").alias("label"), logits)
     return rows.select("epoch", "label", F.bround(scoring.sigmoid(
@@ -104,8 +102,8 @@ def _epochs(spark, base):
 
 
 EPOCH_SQL = {
-    "rows_": f"SELECT generate_subscripts(embedding[1:{EPOCHS}], 1) - 1 AS epoch, round_even("
-             f"1::DOUBLE / (1::DOUBLE + exp(-(unnest(embedding[1:{EPOCHS}])::DOUBLE * 8))), 6) AS "
+    "rows_": "SELECT generate_subscripts(embedding, 1) - 1 AS epoch, round_even("
+             "1::DOUBLE / (1::DOUBLE + exp(-(unnest(embedding)::DOUBLE * 8))), 6) AS "
              "prob, CAST(label >= 5 AS INT) AS label FROM embeddings",
     "c": counts_sql("0.5", "rows_", "epoch, ", " GROUP BY epoch"),
     "losses": f"SELECT epoch, round_even(avg({LOSS}), 6) AS loss FROM rows_ GROUP BY 1"}
@@ -133,7 +131,7 @@ def best_checkpoint(spark, base):
     long="SELECT model, metric, value FROM m UNPIVOT (value FOR metric IN (accuracy, precision, "
          "recall, f1, fpr))"))
 def model_delta(spark, base):
-    """Two detectors: the first and the second vector component."""
+    """Two detectors: two weightings of the vector."""
     both = t.scores(spark, base, 1).withColumn("model", F.lit("first")).unionByName(
         t.scores(spark, base, 2).withColumn("model", F.lit("second")))
     metrics = evaluate.with_metrics(evaluate.confusion(both, 0.5, ["model"]))

@@ -142,7 +142,10 @@ def attempts(spark: SparkSession, base: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, base: str, dim: int = 1) -> DataFrame:
-    logit = F.element_at("embedding", dim).cast("double") * 8
+    """A logit of all components, as whole millionths with small whole weights, so that sums are exact."""
+    parts = F.transform("embedding", lambda x, i: F.floor(x.cast("double") * 1_000_000 + 0.5)
+                        * (F.pmod((i + 1) * (2 * dim + 1), F.lit(7)) - 3))
+    logit = F.aggregate(parts, F.lit(0).cast("bigint"), lambda a, x: a + x) / 1_000_000
     return load(spark, base, "embeddings").select(
         F.col("vec_id").alias("id"), F.bround(scoring.sigmoid(logit), 6).alias("prob"),
         (F.col("label") >= 5).cast("int").alias("label"))
@@ -253,8 +256,10 @@ CTE = {
 
 
 def scores_cte(dim: int = 1) -> str:
-    return (f"SELECT vec_id AS id, round_even(1::DOUBLE / (1::DOUBLE + exp(-(embedding[{dim}]"
-            "::DOUBLE * 8))), 6) AS prob, CAST(label >= 5 AS INT) AS label FROM embeddings")
+    parts = ("list_transform(embedding, lambda x, i: floor(x::DOUBLE * 1000000 + 0.5)::BIGINT * "
+             f"((i * {2 * dim + 1}) % 7 - 3))")
+    return (f"SELECT vec_id AS id, round_even(1::DOUBLE / (1::DOUBLE + exp(-(list_sum({parts})::BIGINT::DOUBLE "
+            "/ 1000000::DOUBLE))), 6) AS prob, CAST(label >= 5 AS INT) AS label FROM embeddings")
 
 
 CTE["scores"] = scores_cte()
