@@ -92,7 +92,7 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         rolled = codes.copy()
         for i in range(1, SHINGLE):
             more = np.zeros(n, np.uint64)
-            more[:n - i] = codes[i:]
+            more[:max(0, n - i)] = codes[i:]
             rolled = np.where(left > i, rolled * _B + more, rolled)
         first = np.zeros(n, bool)
         first[(np.cumsum(counts) - counts)[counts > 0]] = True
@@ -471,8 +471,11 @@ def keep_first(docs: DataFrame, similar: float = SIMILAR, key: str = "doc_id", t
     A filter of bounded size lets rows pass that surely stay; only the others are joined with the
     list of documents to drop.
     """
-    drop = settle(near_duplicates(docs, similar, key, text).where("not kept").select(F.col(key).alias("_drop")),
-                  "dropped").distinct()
-    marked = docs.withColumn("_maybe", may_hold(drop, "_drop", key))
-    joined = marked.where("_maybe").join(drop, F.col(key) == F.col("_drop"), "left_anti")
-    return marked.where("not _maybe").unionByName(joined).select(*docs.columns)
+    # Own names for the caller's columns: none of them can clash with those added here.
+    marked = docs.withColumnsRenamed({c: f"in_{i}" for i, c in enumerate(docs.columns)})
+    name = dict(zip(docs.columns, marked.columns, strict=True))
+    drop = settle(near_duplicates(docs.select(key, text), similar, key, text).where("not kept")
+                  .select(F.col(key).alias("_drop")), "dropped").distinct()
+    marked = marked.withColumn("_maybe", may_hold(drop, "_drop", name[key]))
+    joined = marked.where("_maybe").join(drop, F.col(name[key]) == F.col("_drop"), "left_anti")
+    return marked.where("not _maybe").unionByName(joined).select(*(F.col(n).alias(c) for c, n in name.items()))
