@@ -204,11 +204,11 @@ class Words:
 class _Merged:
     """What each chunk is worth, from what its words are worth; see `Encoder` and `Counter`."""
 
-    def __init__(self, spec: str, keep: int):
+    def __init__(self, spec: str, keep: int, parts: int | None = None):
         self.tokenizer = open_tokenizer(spec)
         self.model = self.tokenizer.model
         self.words = Words(spec, self.tokenizer)
-        self.most_parts, self.parts = keep // 4, {}
+        self.most_parts, self.parts = keep // 4 if parts is None else parts, {}
         self.memory = Remembered(self._values, keep)
 
     def _values(self, chunks: Sequence[str]) -> list:
@@ -270,8 +270,8 @@ class _Merged:
 class Encoder(_Merged):
     """Whole texts to ids with the tokenizers library."""
 
-    def __init__(self, spec: str, keep: int = KEPT):
-        super().__init__(spec, keep)
+    def __init__(self, spec: str, keep: int = KEPT, parts: int | None = None):
+        super().__init__(spec, keep, parts)
         wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
         self.kind = np.uint32 if wide else np.uint16
         self.code = self.kind(0).dtype.char
@@ -300,8 +300,8 @@ class Encoder(_Merged):
         return ids, ends[starts]
 
 
-def encoder(spec: tuple[str, int]) -> Encoder:
-    """The encoder of a JSON document that remembers at most twice so many chunks."""
+def encoder(spec: tuple) -> Encoder:
+    """The encoder of (JSON document, chunks remembered in each of two generations, words of chunks)."""
     return Encoder(*spec)
 
 

@@ -24,6 +24,8 @@ MAGIC = b"RLIDS01\n"
 HEAD = struct.Struct("<6Q")
 BLOCK = 512
 FILE_IDS = 1 << 22
+# Bytes encoded at once, and chunks and words remembered: nothing else is held beside the encoder here.
+ENCODED_BYTES, REMEMBERED = 16 << 20, (450_000, 300_000)
 
 
 def encode_documents(docs: DataFrame, spec: str, end_id: int | None, symbols: int,
@@ -32,17 +34,17 @@ def encode_documents(docs: DataFrame, spec: str, end_id: int | None, symbols: in
 
     Each task adds one row without `n` that holds the ids it used and how often.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(spec)
+    shared = docs.sparkSession.sparkContext.broadcast((spec, *REMEMBERED))
     schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()),
                         ("used", pa.list_(pa.int32())), ("times", pa.list_(pa.int64()))])
 
     def encode(batches):
-        encoder = chunks.opened(chunks.Encoder, shared.value)
+        encoder = chunks.opened(chunks.encoder, shared.value)
         codec, kind = pa.Codec("zstd", 1), encoder.kind
         end = np.array([] if end_id is None else [end_id], kind)
         tail, total = end.tobytes(), np.zeros(symbols, np.int64)
         for batch in batches:
-            for at, part in chunks.slices(batch.column(1)):
+            for at, part in chunks.slices(batch.column(1), ENCODED_BYTES):
                 ids, starts = encoder.ids(part)
                 total += np.bincount(ids, minlength=symbols)
                 total[end] += len(part)
