@@ -116,7 +116,8 @@ def _replay(feed: DataFrame, seconds: int, limit: int, chunk_windows: int) -> Da
 def rate_limit(df: DataFrame, key: str, ts: str, failed: str, id: str,
                seconds: int = fixed.RATE_WINDOW_SECONDS,
                limit: int = fixed.RATE_MAX_ATTEMPTS, chunk_windows: int = 96) -> DataFrame:
-    """Add `blocked`: `limit` *recorded* failures are younger than `seconds`.
+    """Add `blocked`: `limit` *recorded* failures are younger than `seconds`; and `remaining`,
+    the failures still free before the attempt.
 
     A blocked attempt is not recorded, so the decision is recursive. Only the stretches in
     which blocking is possible are replayed, sorted, with a state of `limit` times; of
@@ -127,18 +128,23 @@ def rate_limit(df: DataFrame, key: str, ts: str, failed: str, id: str,
     span = seconds * 1_000_000
     slotted = (df.withColumn("_us", micros(ts))
                .withColumn("_slot", slot_of("_us", span)))
-    stretches = _busy_stretches(df, key, ts, failed, seconds, limit)
+    stretches = settle(_busy_stretches(df, key, ts, failed, seconds, limit)
+                       .withColumnRenamed(key, "_key"), "limiter-stretches")
 
-    hits = slotted.where(F.col(failed)).select(
-        F.col(key).alias("_key"), F.col(id).alias("_id"), "_us", "_slot").join(
-        stretches.withColumnRenamed(key, "_key"), ["_key", "_slot"])
+    fails = slotted.where(F.col(failed)).select(
+        F.col(key).alias("_key"), F.col(id).alias("_id"), "_us", "_slot")
     inside = (F.col("_us") > F.col("_start") - span) & (F.col("_us") <= F.col("_end"))
+    hits = fails.join(stretches, ["_key", "_slot"]).where(inside)
+    free = fails.join(stretches, (fails["_key"] == stretches["_key"])
+                      & (fails["_slot"] == stretches["_slot"]) & inside, "left_anti")
     tie = Window.partitionBy("_key", "_us").orderBy("_id")
-    feed = (hits.where(inside).withColumn("_tie", F.row_number().over(tie))
+    feed = (hits.withColumn("_tie", F.row_number().over(tie))
             .where(F.col("_tie") <= limit)
             .select(F.concat_ws("@", F.col("_key").cast("string"), F.col("_start"))
                     .alias("_stretch"), "_key", "_us", "_id", "_start"))
-    recorded = _replay(feed, seconds, limit, chunk_windows)
+    # A failure outside all stretches is recorded; a window holds at most `limit` of them.
+    recorded = _replay(feed, seconds, limit, chunk_windows).select("_key", "_us", "_id").unionByName(
+        free.select("_key", "_us", "_id"))
 
     home = slot_of("_us", span)
     near = (recorded.select(F.col("_key").alias(key),
@@ -148,9 +154,10 @@ def rate_limit(df: DataFrame, key: str, ts: str, failed: str, id: str,
     me = F.struct(F.col("_us"), F.col(id).alias("_id"))
     active = F.size(F.filter("_near", lambda r: (r < me) & (r["_us"] > F.col("_us") - span)))
     return (salted_join(slotted, near, [key, "_slot"], "left", [id])
-            .withColumn("blocked", F.coalesce(active >= limit, F.lit(False))
-                        & F.col("_near").isNotNull())
-            .drop("_us", "_slot", "_near"))
+            .withColumn("_active", F.when(F.col("_near").isNull(), 0).otherwise(active))
+            .withColumn("blocked", F.col("_active") >= limit)
+            .withColumn("remaining", F.greatest(limit - F.col("_active"), F.lit(0)))
+            .drop("_us", "_slot", "_near", "_active"))
 
 
 def idle_sessions(df: DataFrame, key: str, ts: str, gap_seconds: int = fixed.SESSION_SECONDS,

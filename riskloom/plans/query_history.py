@@ -207,13 +207,13 @@ def trailing_count(spark, base):
 
 
 @query("rate_limit", t.with_ctes(("attempts",), (
-    "SELECT event_id, user_id, blocked FROM steps WHERE rn > 0"),
+    "SELECT event_id, user_id, blocked, remaining FROM steps WHERE rn > 0"),
     numbered="SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS rn FROM "
              "attempts",
     steps="SELECT user_id, 0::BIGINT AS rn, NULL::BIGINT AS event_id, false AS blocked, "
-          "[]::BIGINT[] AS recent FROM (SELECT DISTINCT user_id FROM attempts) UNION ALL SELECT "
+          "0 AS remaining, []::BIGINT[] AS recent FROM (SELECT DISTINCT user_id FROM attempts) UNION ALL SELECT "
           "user_id, rn, event_id, len(kept) >= "
-          f"{LIMIT_FAILURES}, CASE WHEN failed AND len(kept) < {LIMIT_FAILURES} THEN "
+          f"{LIMIT_FAILURES}, ({LIMIT_FAILURES} - len(kept))::INT, CASE WHEN failed AND len(kept) < {LIMIT_FAILURES} THEN "
           "list_append(kept, us) ELSE kept END FROM (SELECT n.user_id, n.rn, n.event_id, n.failed, "
           "n.us, list_filter(s.recent, lambda x: n.us - x < "
           f"{LIMIT_SECONDS * 1_000_000}) AS kept FROM steps s JOIN numbered n ON n.user_id = "
@@ -221,7 +221,7 @@ def trailing_count(spark, base):
 def rate_limit(spark, base):
     return limits.rate_limit(t.attempts(spark, base), "user_id", "ts", "failed", "event_id",
                              LIMIT_SECONDS, LIMIT_FAILURES).select(
-        "event_id", "user_id", "blocked")
+        "event_id", "user_id", "blocked", "remaining")
 
 
 @query("action_windows", t.with_ctes(("audit_log",), (

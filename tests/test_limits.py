@@ -4,6 +4,7 @@ import datetime
 import random
 import uuid
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,23 +119,52 @@ def read_stream(spark, schema, folder):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
 
 
-def test_stream_limiter_equals_batch(spark, tmp_path):
+@pytest.mark.parametrize("late,slot", [(0, 60), (700, 60), (700, 5000)])
+def test_stream_limiter_equals_batch(spark, tmp_path, late, slot):
     jobs.use_rocksdb(spark)
-    rng = random.Random(11)
+    rng = random.Random(11 + late)
     rows, now = [], 0
     for _ in range(200):
-        now += rng.choice([20, 40, 60, 300, 1000])
+        now += rng.choice([0, 20, 40, 60, 300, 1000] if late else [20, 40, 60, 300, 1000])
         rows.append((rng.choice("ab"), now, rng.random() < 0.9))
-    df = frame(spark, rows)
-    write_batches(spark, df, tmp_path, 3)
+    want = limited(frame(spark, rows))
+    assert want == replay(rows) and any(want.values())
+    # Later rows move the watermark past all slots, so that every attempt is answered.
+    df = frame(spark, [*rows, ("end", now + 9_000, False), ("end", now + 19_000, False)])
+    made = [tuple(r) for r in df.orderBy("id").collect()]
+    order = sorted(range(len(rows)), key=lambda i: rows[i][1] + rng.random() * late)
+    for part in (order[:70], order[70:140], order[140:], [len(rows)], [len(rows) + 1]):
+        spark.createDataFrame([made[i] for i in part], df.schema).coalesce(1).write.mode(
+            "append").parquet(f"{tmp_path}/in")
     stream = limiter.rate_limit_stream(read_stream(spark, df.schema, tmp_path), "ip", "ts",
-                                       "failed", "id")
-    query = (stream.writeStream.format("memory").queryName("limited").outputMode("append")
+                                       "failed", "id", delay=f"{late} seconds", slot_seconds=slot)
+    name = f"limited_{late}_{slot}"
+    query = (stream.writeStream.format("memory").queryName(name).outputMode("append")
              .option("checkpointLocation", str(tmp_path / "cp")).start())
     query.processAllAvailable()
     query.stop()
-    got = {r["id"]: r["blocked"] for r in spark.table("limited").collect()}
-    assert got == replay(rows) == limited(df)
+    got = spark.table(name).where("ip <> 'end'").collect()
+    assert len(got) == len(rows) and {r["id"]: r["blocked"] for r in got} == want
+    left = limits.rate_limit(frame(spark, rows), "ip", "ts", "failed", "id").collect()
+    assert {r["id"]: r["remaining"] for r in got} == {r["id"]: r["remaining"] for r in left}
+    assert all(r["blocked"] == (r["remaining"] == 0) for r in got)
+
+
+def test_decide_equals_loop_whatever_the_cut():
+    rng = random.Random(5)
+    for trial in range(60):
+        n, cut = 80, rng.randrange(80)
+        times = sorted(rng.randrange(0, 400) for _ in range(n))
+        failed = [rng.random() < 0.8 for _ in range(n)]
+        want, live = [], []
+        for now, bad in zip(times, failed):
+            live = [t for t in live if now - t < 90]
+            want.append(len(live))
+            live += [now] if bad and len(live) < 3 else []
+        times, failed = np.array(times), np.array(failed)
+        first, kept = limiter.decide(times[:cut], failed[:cut], [], 90, 3)
+        second, kept = limiter.decide(times[cut:], failed[cut:], kept, 90, 3)
+        assert [*first, *second] == want and len(kept) <= 3
 
 
 def test_stream_audit_windows(spark, tmp_path):
