@@ -1,6 +1,7 @@
-"""Command line: scan a source tree, or curate a labelled corpus.
+"""Command line: scan a source tree, scan what changed in it, or curate a labelled corpus.
 
     python -m riskloom scan PATH [--output DIR]
+    python -m riskloom changes PATH --state DIR --output DIR
     python -m riskloom curate CSV --output DIR [--language py]
 
 With `spark-submit` the session of the cluster is used.
@@ -21,6 +22,10 @@ def main() -> None:
     scan = commands.add_parser("scan", help="scan a folder of Python files")
     scan.add_argument("path")
     scan.add_argument("--output", "-o")
+    changes = commands.add_parser("changes", help="scan the files changed since the last call")
+    changes.add_argument("path")
+    changes.add_argument("--state", "-s", required=True)
+    changes.add_argument("--output", "-o", required=True)
     curate = commands.add_parser("curate", help="curate a labelled CSV corpus")
     curate.add_argument("path")
     curate.add_argument("--output", "-o", required=True)
@@ -31,6 +36,8 @@ def main() -> None:
         out = jobs.scan_corpus(spark, args.path, args.output)
         out["summary"].show(truncate=False)
         out["distribution"].show(truncate=False)
+    elif args.command == "changes":
+        print(jobs.scan_changes(spark, args.path, args.state, args.output))
     else:
         jobs.curate_corpus(jobs.load_labelled(spark, args.path), args.output,
                            args.language).show()

@@ -13,7 +13,7 @@ from ..fixed import Rule
 from ..functions import lexing, text
 from ..operators import curate, detect, extract, model, report, skew
 from ..session import settle
-from ..sources import corpus, history, sinks, tree
+from ..sources import changes, corpus, history, sinks, tree
 
 
 def preprocess_files(files: DataFrame, vocabulary: DataFrame | None = None,
@@ -92,6 +92,38 @@ def scan_corpus(spark: SparkSession, root: str, output: str | None = None,
     return out
 
 
+def scan_changes(spark: SparkSession, root: str, state: str, output: str,
+                 rules: Sequence[Rule] = fixed.DEFAULT_RULES, buckets: int = 64) -> dict[str, int]:
+    """Scan the files of a tree that are new or changed since the last call; counts of what was done.
+
+    `state` is a versioned table of path, stamp, digest and the version that scanned the file; its
+    next version is put in place after the findings were written to `output/scan=<version>`. A run
+    that fails before is repeated in full and writes to the same place; afterwards nothing is
+    scanned twice. A renamed file is new under its name, and one written with the same bytes is
+    not scanned again. `current_findings` gives the whole tree. One caller at a time.
+    """
+    seen = changes.open_seen(spark, state, buckets)
+    changed, touched, gone = changes.find_changes(spark, root, seen)
+    version = seen.version + 1
+    counts = {"changed": changed.count(), "touched": touched.count(), "gone": gone.count()}
+    if not any(counts.values()):
+        return counts
+    if counts["changed"]:
+        scan_files(changed.select("path", "content"), rules).write.mode("overwrite").parquet(
+            f"{output}/scan={version}")
+    rows = changed.select("path", "stamp", "digest", F.lit(version).alias("scanned")).unionByName(touched)
+    seen.upsert(rows.withColumn("_deleted", F.lit(False)).unionByName(
+        gone.withColumn("_deleted", F.lit(True)), allowMissingColumns=True))
+    return counts
+
+
+def current_findings(spark: SparkSession, state: str, output: str) -> DataFrame:
+    """Findings of the tree as last scanned: of each file those of its latest scan, `scan` naming it."""
+    seen = changes.VersionedTable.open(spark, state).read()
+    return spark.read.option("basePath", output).parquet(f"{output}/scan=*").join(
+        seen.select(F.col("path").alias("filename"), F.col("scanned").alias("scan")), ["filename", "scan"], "left_semi")
+
+
 def record_scan(findings: DataFrame, scan_id: int, user_id: int, target: str, base: str,
                 address: str | None = None) -> None:
     """Store a finished scan anonymised, and log it.

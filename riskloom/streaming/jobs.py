@@ -42,6 +42,21 @@ def scan_stream(code_rows: DataFrame, code: str = "code",
     return detect.detect(code_rows, code, rules)
 
 
+def watch_tree(spark: SparkSession, root: str, state: str, output: str,
+               rules: Sequence[Rule] = fixed.DEFAULT_RULES, every: str = "1 minute") -> DataStreamWriter:
+    """Scan a tree again and again, each time only what changed (`plans.jobs.scan_changes`).
+
+    A clock starts the micro-batches; what has been scanned is in the table `state`, not in the
+    stream's own state, so a batch that is repeated after a restart finds nothing to do.
+    """
+    from ..plans.jobs import scan_changes
+
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return (clock.writeStream.trigger(processingTime=every)
+            .option("checkpointLocation", f"{state}/clock")
+            .foreachBatch(lambda batch, n: scan_changes(spark, root, state, output, rules)))
+
+
 def append_batches(stream: DataFrame, path: str, name: str) -> DataStreamWriter:
     """Write each micro-batch to its own folder, so a repeated batch replaces itself."""
     def write(batch: DataFrame, batch_id: int) -> None:
