@@ -220,23 +220,37 @@ def _allocate(classes: DataFrame, total: str, weight: str, out: str) -> DataFram
         .drop("_exact", "_base", "_left"))
 
 
+def _at_cuts(counts: DataFrame, goals: DataFrame) -> DataFrame:
+    """Of each (label, _parent) the prefix that holds a cut, and the place of the cut in it."""
+    upto = (Window.partitionBy("label", "_parent").orderBy("_p")
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    reach = counts.withColumn("_upto", F.sum("_n").over(upto))
+    return (reach.join(F.broadcast(goals), ["label", "_parent"])
+            .where((F.col("goal") > F.col("_upto") - F.col("_n"))
+                   & (F.col("goal") <= F.col("_upto")))
+            .select("label", "_p", "cut", "_n",
+                    (F.col("goal") - F.col("_upto") + F.col("_n")).alias("_want")))
+
+
 def stratified_split(df: DataFrame, key: str, label: str = "label", seed: int = 42,
                      ratios: tuple[float, float, float] = (0.70, 0.15, 0.15),
-                     digits: int = 3) -> DataFrame:
+                     digits: int = 3, most: int = 100_000) -> DataFrame:
     """Add `split` (train, val, test) with exact sizes per class, the same on every run.
 
     Rows are ordered by a hash of (seed, key). The rank is never computed for all rows:
-    counts per hash prefix (a small table) show which prefix holds each cut, only the rows
-    of those prefixes are ranked, and the hash found at the cut decides every other row by
-    comparison. No class is gathered in one task.
+    counts per hash prefix (a small table) show which prefix holds each cut. While such a
+    prefix has more than `most` rows only its rows are counted again, by `digits` more digits;
+    then they are ranked, and the hash found at the cut decides every other row by comparison.
+    No class is gathered in one task, and no task ranks more than `most` rows of different
+    keys. The counts run when this is called, the rest is lazy.
     """
     if abs(sum(ratios) - 1.0) >= 1e-5:
         raise ValueError("split ratios must sum to 1")
     holdout = ratios[1] + ratios[2]
     hashed = df.withColumn("_h", F.sha2(F.concat_ws(":", F.lit(seed), F.col(key)), 256))
-    slim = hashed.select(F.col(label).alias("label"), F.col(key).alias("_key"), "_h",
-                         F.substring("_h", 1, digits).alias("_p"))
-    counts = slim.groupBy("label", "_p").agg(F.count("*").alias("_n"))
+    slim = hashed.select(F.col(label).alias("label"), F.col(key).alias("_key"), "_h")
+    counts = slim.groupBy("label", F.lit("").alias("_parent"), F.substring("_h", 1, digits).alias("_p")
+                          ).agg(F.count("*").alias("_n"))
 
     everyone = Window.partitionBy(F.lit(1))
     classes = (counts.groupBy("label").agg(F.sum("_n").alias("_class"))
@@ -246,21 +260,27 @@ def stratified_split(df: DataFrame, key: str, label: str = "label", seed: int =
     classes = _allocate(classes, "_train_all", "_class", "_train")
     classes = classes.withColumn("_rest", F.col("_class") - F.col("_train"))
     classes = _allocate(classes, "_val_all", "_rest", "_val")
-    goals = classes.select("label", F.explode(F.array(
+    goals = classes.select("label", F.lit("").alias("_parent"), F.explode(F.array(
         F.struct(F.lit("train").alias("cut"), F.col("_train").alias("goal")),
         F.struct(F.lit("val").alias("cut"), (F.col("_train") + F.col("_val")).alias("goal")),
-    )).alias("_g")).select("label", "_g.*")
-
-    upto = (Window.partitionBy("label").orderBy("_p")
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    reach = counts.withColumn("_upto", F.sum("_n").over(upto))
-    edges = (reach.join(F.broadcast(goals), "label")
-             .where((F.col("goal") > F.col("_upto") - F.col("_n"))
-                    & (F.col("goal") <= F.col("_upto")))
-             .select("label", "_p", "cut",
-                     (F.col("goal") - F.col("_upto") + F.col("_n")).alias("_want")))
+    )).alias("_g")).select("label", "_parent", "_g.*")
+
+    # Two rows per class label: they may pass through the driver.
+    depth = digits
+    while True:
+        at_cuts = _at_cuts(counts, goals)
+        found = at_cuts.collect()
+        edges = df.sparkSession.createDataFrame(found, at_cuts.schema)
+        if depth >= 64 or all(row["_n"] <= most for row in found):
+            break
+        goals = edges.select("label", F.col("_p").alias("_parent"), "cut", F.col("_want").alias("goal"))
+        parent = slim.withColumn("_parent", F.substring("_h", 1, depth))
+        depth += digits
+        counts = (parent.join(F.broadcast(goals.select("label", "_parent").distinct()), ["label", "_parent"])
+                  .groupBy("label", "_parent", F.substring("_h", 1, depth).alias("_p"))
+                  .agg(F.count("*").alias("_n")))
     inside = Window.partitionBy("label", "_p", "cut").orderBy("_h", "_key")
-    found = (slim.join(F.broadcast(edges), ["label", "_p"])
+    found = (slim.withColumn("_p", F.substring("_h", 1, depth)).join(F.broadcast(edges), ["label", "_p"])
              .withColumn("_rn", F.row_number().over(inside))
              .where("_rn = _want")
              .select("label", "cut", F.struct("_h", "_key").alias("_at")))
@@ -322,6 +342,68 @@ def copy_audit(df: DataFrame, keys: Sequence[str], code: str = "code") -> DataFr
         (F.sum("_n") - F.count("*")).alias("duplicates"))
 
 
+def raw_audit(df: DataFrame, keys: Sequence[str] = (), languages: Sequence[str] = ("py", "python"),
+              code: str = "code", language: str = "language", safety: str = "safety") -> DataFrame:
+    """Counts of an unprocessed corpus, one row per `keys` (one in all without).
+
+    `records` are all rows, `slice_rows` those in one of `languages` (any case), `safe` and
+    `vulnerable` the slice by its label as it stands; `unique_hashes` the distinct stripped texts
+    of slice rows with code and label, `duplicates` the others of these. A null language is in no
+    slice. Rows that are not compared are one row per task in the shuffle.
+    """
+    inside = F.coalesce(F.lower(language).isin([name.lower() for name in languages]), F.lit(False))
+    whole = inside & F.col(code).isNotNull() & F.col(safety).isNotNull()
+    per_hash = df.groupBy(*keys, F.when(whole, text.sha256_stripped(F.col(code))).alias("_h")).agg(
+        F.count("*").alias("_records"), F.count_if(inside).alias("_slice"),
+        F.count_if(inside & (F.col(safety) == "safe")).alias("_safe"),
+        F.count_if(inside & (F.col(safety) == "vulnerable")).alias("_vulnerable"),
+        F.count_if(whole).alias("_whole"))
+    total = {"records": "_records", "slice_rows": "_slice", "safe": "_safe", "vulnerable": "_vulnerable"}
+    return per_hash.groupBy(*keys).agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(name) for name, c in total.items()],
+        F.count("_h").alias("unique_hashes"),
+        (F.coalesce(F.sum("_whole"), F.lit(0)) - F.count("_h")).alias("duplicates"))
+
+
+def audit_sketches(df: DataFrame, keys: Sequence[str], languages: Sequence[str] = ("py", "python"),
+                   code: str = "code", language: str = "language", safety: str = "safety",
+                   log_size: int = 14) -> DataFrame:
+    """Exact counts and a theta sketch of the distinct texts per `keys` (a day, a source), to be stored.
+
+    Up to 2^log_size distinct texts a sketch is exact; beyond that its standard error is
+    1 / sqrt(2^log_size), 0.8% as given, and it takes at most 8 * 2^log_size bytes. Nothing but
+    the partial sketches is shuffled. See `merge_audits` and `audit_overlap`.
+    """
+    inside = F.coalesce(F.lower(language).isin([name.lower() for name in languages]), F.lit(False))
+    whole = inside & F.col(code).isNotNull() & F.col(safety).isNotNull()
+    return df.groupBy(*keys).agg(
+        F.count("*").alias("records"), F.count_if(inside).alias("slice_rows"),
+        F.count_if(inside & (F.col(safety) == "safe")).alias("safe"),
+        F.count_if(inside & (F.col(safety) == "vulnerable")).alias("vulnerable"),
+        F.count_if(whole).alias("complete"),
+        F.theta_sketch_agg(F.when(whole, text.sha256_stripped(F.col(code))), log_size).alias("texts"))
+
+
+def merge_audits(stored: DataFrame, keys: Sequence[str] = (), log_size: int = 14) -> DataFrame:
+    """Stored audits added up per coarser `keys`, distinct texts and duplicates estimated; no text is read."""
+    counts = ["records", "slice_rows", "safe", "vulnerable", "complete"]
+    merged = stored.groupBy(*keys).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts],
+                                       F.theta_union_agg("texts", log_size).alias("texts"))
+    return merged.withColumn("unique_estimate", F.theta_sketch_estimate("texts")).withColumn(
+        "duplicates_estimate", F.greatest(F.col("complete") - F.col("unique_estimate"), F.lit(0)))
+
+
+def audit_overlap(stored: DataFrame, key: str, first, second, log_size: int = 14) -> DataFrame:
+    """Estimated distinct texts of two values of `key`, of both together, and in common."""
+    sides = merge_audits(stored.where(F.col(key).isin(first, second)), [key], log_size)
+    pair = sides.agg(F.first(F.when(F.col(key) == F.lit(first), F.col("texts")), ignorenulls=True).alias("_a"),
+                     F.first(F.when(F.col(key) == F.lit(second), F.col("texts")), ignorenulls=True).alias("_b"))
+    return pair.select(
+        F.theta_sketch_estimate("_a").alias("first_texts"), F.theta_sketch_estimate("_b").alias("second_texts"),
+        F.theta_sketch_estimate(F.theta_union("_a", "_b", log_size)).alias("all_texts"),
+        F.theta_sketch_estimate(F.theta_intersection("_a", "_b")).alias("common_texts"))
+
+
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column)
 

@@ -162,6 +162,25 @@ def dedup_audit(spark, base):
         "language", "lang")
 
 
+AUDITED = ("SELECT d.source AS repo, text, coalesce(lower(lang) IN ('en', 'es'), false) AS inside, "
+           "CASE quality WHEN 1 THEN 'safe' WHEN 0 THEN 'vulnerable' END AS safety FROM documents d "
+           "LEFT JOIN labels l ON l.doc_id = d.doc_id")
+
+
+@query("raw_audit", t.with_ctes((), (
+    "SELECT repo, count(*) AS records, count(*) FILTER (inside) AS slice_rows, count(*) FILTER (inside "
+    "AND safety = 'safe') AS safe, count(*) FILTER (inside AND safety = 'vulnerable') AS vulnerable, "
+    "count(DISTINCT h) AS unique_hashes, count(h) - count(DISTINCT h) AS duplicates FROM (SELECT *, CASE "
+    f"WHEN inside AND safety IS NOT NULL THEN sha256({t.strip_sql('text')}) END AS h FROM audited) "
+    "GROUP BY 1"), audited=AUDITED))
+def raw_audit(spark, base):
+    quality = F.col("quality")
+    rated = t.source_files(spark, base).join(t.load(spark, base, "labels"), "doc_id", "left").select(
+        "repo", "code", F.upper("language").alias("language"),
+        F.when(quality == 1, "safe").when(quality == 0, "vulnerable").alias("safety"))
+    return curate.raw_audit(rated, ["repo"], ["en", "es"])
+
+
 # The documents are prose, hence hash-comment stripping applies to every language here.
 CURATED = PARITY | {
     "resolved": t.RESOLVED,

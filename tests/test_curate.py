@@ -138,3 +138,69 @@ def test_number_rows_equals_window(spark, hot_rows):
     want = df.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("p")))
     assert sorted(map(tuple, got.select("g", "p", "n").collect()), key=repr) == sorted(
         map(tuple, want.collect()), key=repr)
+
+
+def audited_rows():
+    rng = random.Random(9)
+    return [(rng.choice("xyz"), rng.choice(["py", "Python", "c", None]),
+             rng.choice(["safe", "vulnerable", "Safe", None]),
+             rng.choice([None, "", " a ", "a", *(f"t{i}" for i in range(40))])) for _ in range(600)]
+
+
+def plain_audit(rows):
+    out = {}
+    for key in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == key]
+        inside = [r for r in mine if r[1] and r[1].lower() in ("py", "python")]
+        texts = [r[3].strip() for r in inside if r[2] is not None and r[3] is not None]
+        out[key] = (len(mine), len(inside), sum(r[2] == "safe" for r in inside),
+                    sum(r[2] == "vulnerable" for r in inside), len(set(texts)), len(texts) - len(set(texts)))
+    return out
+
+
+def test_raw_audit_equals_plain_counts(spark):
+    rows, schema = audited_rows(), "k string, language string, safety string, code string"
+    df = spark.createDataFrame(rows, schema)
+    got = {r[0]: tuple(r)[1:] for r in curate.raw_audit(df, ["k"]).collect()}
+    assert got == plain_audit(rows)
+    assert tuple(curate.raw_audit(df).first()) == plain_audit([("", *r[1:]) for r in rows])[""]
+    assert tuple(curate.raw_audit(df.limit(0)).first()) == (0, 0, 0, 0, 0, 0)
+
+
+def test_stored_audits_are_merged_without_texts(spark, tmp_path):
+    schema = "k string, language string, safety string, code string, day int"
+    rows = [(*r, i % 4) for i, r in enumerate(audited_rows())]
+    # Sketches of few texts are exact, whatever they are merged from.
+    curate.audit_sketches(spark.createDataFrame(rows, schema), ["k", "day"]).write.parquet(str(tmp_path / "audits"))
+    stored, want = spark.read.parquet(str(tmp_path / "audits")), plain_audit(rows)
+    for r in curate.merge_audits(stored, ["k"]).collect():
+        exact = want[r["k"]]
+        assert (r["records"], r["slice_rows"], r["safe"], r["vulnerable"]) == exact[:4]
+        assert (r["unique_estimate"], r["duplicates_estimate"]) == exact[4:]
+    # Many texts: two sources of 60,000 share 20,000. Four standard errors are allowed.
+    many = spark.range(120_000).select(
+        F.when(F.col("id") < 60_000, "a").otherwise("b").alias("k"), F.lit("py").alias("language"),
+        F.lit("safe").alias("safety"),
+        F.when(F.col("id") < 80_000, F.col("id") % 60_000).otherwise(F.col("id")).cast("string").alias("code"))
+    large = curate.audit_sketches(many, ["k"])
+    error = 4 / 2 ** 7
+    total = curate.merge_audits(large).first()["unique_estimate"]
+    assert abs(total - 100_000) < error * 100_000
+    both = curate.audit_overlap(large, "k", "a", "b").first()
+    assert abs(both["all_texts"] - 100_000) < error * 100_000
+    assert abs(both["common_texts"] - 20_000) < error * 100_000
+    assert abs(both["first_texts"] - 60_000) < error * 60_000
+
+
+def test_a_cut_is_refined_until_few_rows_are_ranked(spark):
+    rows = [(i, i % 10 == 0) for i in range(3_000)]
+    df = spark.createDataFrame(rows, "id long, label boolean")
+    whole = curate.stratified_split(df, "id", digits=1, most=10**9).collect()
+    for digits, most in ((1, 5), (1, 1), (2, 3)):
+        fine = curate.stratified_split(df.repartition(3), "id", digits=digits, most=most).collect()
+        assert {r["id"]: r["split"] for r in fine} == {r["id"]: r["split"] for r in whole}
+    sizes = [sum(r["split"] == s for r in whole) for s in ("train", "val", "test")]
+    assert sizes == [2_100, 450, 450]
+    # Repeated keys cannot be told apart by digits: the search ends all the same.
+    same = spark.createDataFrame([(7, True)] * 40, "id long, label boolean")
+    assert curate.stratified_split(same, "id", digits=16, most=1).count() == 40
