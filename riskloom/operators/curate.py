@@ -343,17 +343,21 @@ def copy_audit(df: DataFrame, keys: Sequence[str], code: str = "code") -> DataFr
 
 
 def raw_audit(df: DataFrame, keys: Sequence[str] = (), languages: Sequence[str] = ("py", "python"),
-              code: str = "code", language: str = "language", safety: str = "safety") -> DataFrame:
+              code: str = "code", language: str = "language", safety: str = "safety",
+              digest: str | None = None) -> DataFrame:
     """Counts of an unprocessed corpus, one row per `keys` (one in all without).
 
     `records` are all rows, `slice_rows` those in one of `languages` (any case), `safe` and
     `vulnerable` the slice by its label as it stands; `unique_hashes` the distinct stripped texts
     of slice rows with code and label, `duplicates` the others of these. A null language is in no
-    slice. Rows that are not compared are one row per task in the shuffle.
+    slice. Rows that are not compared are one row per task in the shuffle. `digest` names a column
+    that holds the texts' hashes (null for a null text) in place of `code`: where labels are joined
+    to the texts, hash before, so that no text is moved.
     """
     inside = F.coalesce(F.lower(language).isin([name.lower() for name in languages]), F.lit(False))
-    whole = inside & F.col(code).isNotNull() & F.col(safety).isNotNull()
-    per_hash = df.groupBy(*keys, F.when(whole, text.sha256_stripped(F.col(code))).alias("_h")).agg(
+    hashed = F.col(digest) if digest else text.sha256_stripped(F.col(code))
+    whole = inside & F.col(digest or code).isNotNull() & F.col(safety).isNotNull()
+    per_hash = df.groupBy(*keys, F.when(whole, hashed).alias("_h")).agg(
         F.count("*").alias("_records"), F.count_if(inside).alias("_slice"),
         F.count_if(inside & (F.col(safety) == "safe")).alias("_safe"),
         F.count_if(inside & (F.col(safety) == "vulnerable")).alias("_vulnerable"),

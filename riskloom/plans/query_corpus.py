@@ -175,10 +175,12 @@ AUDITED = ("SELECT d.source AS repo, text, coalesce(lower(lang) IN ('en', 'es'),
     "GROUP BY 1"), audited=AUDITED))
 def raw_audit(spark, base):
     quality = F.col("quality")
-    rated = t.source_files(spark, base).join(t.load(spark, base, "labels"), "doc_id", "left").select(
-        "repo", "code", F.upper("language").alias("language"),
+    hashed = t.source_files(spark, base).select(
+        "doc_id", "repo", "language", text.sha256_stripped(F.col("code")).alias("digest"))
+    rated = hashed.join(t.load(spark, base, "labels"), "doc_id", "left").select(
+        "repo", "digest", F.upper("language").alias("language"),
         F.when(quality == 1, "safe").when(quality == 0, "vulnerable").alias("safety"))
-    return curate.raw_audit(rated, ["repo"], ["en", "es"])
+    return curate.raw_audit(rated, ["repo"], ["en", "es"], digest="digest")
 
 
 # The documents are prose, hence hash-comment stripping applies to every language here.

@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riskloom import fixed
+from riskloom.functions import text
 from riskloom.operators import curate, skew
 
 
@@ -163,6 +164,8 @@ def test_raw_audit_equals_plain_counts(spark):
     df = spark.createDataFrame(rows, schema)
     got = {r[0]: tuple(r)[1:] for r in curate.raw_audit(df, ["k"]).collect()}
     assert got == plain_audit(rows)
+    hashed = df.withColumn("code", text.sha256_stripped(F.col("code")))
+    assert {r[0]: tuple(r)[1:] for r in curate.raw_audit(hashed, ["k"], digest="code").collect()} == got
     assert tuple(curate.raw_audit(df).first()) == plain_audit([("", *r[1:]) for r in rows])[""]
     assert tuple(curate.raw_audit(df.limit(0)).first()) == (0, 0, 0, 0, 0, 0)
 
