@@ -12,29 +12,35 @@ from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]"
 SPACE = r"[\s\x1c-\x1f]"
+# The same characters one by one: trimming by a set reads a text's ends only.
+SPACES = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                           0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 # Literal, comment and token patterns.
+# The first look-ahead of a pattern settles nearly all places by one character.
 STRING_LITERAL = (
+    r"(?=[\"'])(?:"
     r'"""[\s\S]*?"""' r"|'''[\s\S]*?'''"
     r'|"[^\n"\\]*+(?:\\[^\n][^\n"\\]*+)*+"'
-    r"|'[^\n'\\]*+(?:\\[^\n][^\n'\\]*+)*+'"
+    r"|'[^\n'\\]*+(?:\\[^\n][^\n'\\]*+)*+')"
 )
-NUMBER_LITERAL = rf"(?<!{WORD})\p{{Nd}}+(\.\p{{Nd}}+)?([eE][+-]?\p{{Nd}}+)?(?!{WORD})"
+NUMBER_LITERAL = rf"(?=\p{{Nd}})(?<!{WORD})\p{{Nd}}+(\.\p{{Nd}}+)?([eE][+-]?\p{{Nd}}+)?(?!{WORD})"
 C_COMMENT = r"//[^\n]*|/\*[\s\S]*?\*/"
-CORPUS_TOKEN = rf"(?U)<[A-Z_]+>|{WORD}+|[^\s\p{{L}}\p{{N}}_]"
+# White space spelled out, and ASCII first: the Unicode flag makes every test of a character slow.
+CORPUS_TOKEN = (r"<[A-Z_]+>|[a-zA-Z0-9_\p{L}\p{N}]+"
+                r"|[^\s\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\p{L}\p{N}_]")
 SCAN_TOKEN = r"(?U)[A-Za-z_][A-Za-z0-9_]*|\p{Nd}+|[^\s\p{L}\p{N}_]"
 DISPLAY_TOKEN = r"[A-Za-z_][A-Za-z0-9_]*"
 
 
 def strip(text: Column) -> Column:
     """Drop Unicode white space at both ends."""
-    return F.regexp_replace(
-        text, rf"(?U)\A{SPACE}+|(?<!{SPACE}){SPACE}+\z", "")
+    return F.trim(text, F.lit(SPACES))
 
 
 def rstrip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)(?<!{SPACE}){SPACE}+\z", "")
+    return F.rtrim(text, F.lit(SPACES))
 
 
 def splitlines(text: Column) -> Column:
@@ -46,12 +52,13 @@ def splitlines(text: Column) -> Column:
 
 def clean_text(text: Column) -> Column:
     """Unify line ends, drop control characters except tab and newline, strip."""
-    unified = F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n")
+    given = F.coalesce(text, F.lit(""))
+    unified = F.when(F.contains(given, F.lit("\r")), F.regexp_replace(given, r"\r\n?", "\n")).otherwise(given)
     return strip(F.regexp_replace(unified, r"[\x00-\x08\x0B-\x1F\x7F]", ""))
 
 
 def _drop_blank_lines(text: Column) -> Column:
-    lines = F.filter(F.split(text, "\n"), lambda l: l.rlike(rf"(?U)(?!{SPACE})[\s\S]"))
+    lines = F.filter(F.split(text, "\n"), lambda l: F.ltrim(l, F.lit(SPACES)) != "")
     return F.array_join(lines, "\n")
 
 

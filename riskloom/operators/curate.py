@@ -68,7 +68,8 @@ def resolve_copies(df: DataFrame, key: str = "code_hash", label: str = "label",
                .agg(F.min(label).alias("_lo"), F.max(label).alias("_hi"),
                     F.min(ord).alias(ord))
                .where("_lo = _hi").select(ord))
-    return df.join(winners, ord, "left_semi")
+    # Only the winners' positions are held in a hash table; the texts pass by it unsorted.
+    return df.join(winners.hint("shuffle_hash"), ord, "left_semi")
 
 
 def language_slice(df: DataFrame, language: str | None = "py") -> DataFrame:
@@ -242,7 +243,7 @@ def stratified_split(df: DataFrame, key: str, label: str = "label", seed: int =
     prefix has more than `most` rows only its rows are counted again, by `digits` more digits;
     then they are ranked, and the hash found at the cut decides every other row by comparison.
     No class is gathered in one task, and no task ranks more than `most` rows of different
-    keys. The counts run when this is called, the rest is lazy.
+    keys. Counts and cuts are found when this is called; each reader of the result then hashes keys only.
     """
     if abs(sum(ratios) - 1.0) >= 1e-5:
         raise ValueError("split ratios must sum to 1")
@@ -287,8 +288,9 @@ def stratified_split(df: DataFrame, key: str, label: str = "label", seed: int =
     cuts = (found.groupBy(F.col("label").alias("_label"))
             .agg(F.max(F.when(F.col("cut") == "train", F.col("_at"))).alias("_train"),
                  F.max(F.when(F.col("cut") == "val", F.col("_at"))).alias("_val")))
+    cuts = df.sparkSession.createDataFrame(cuts.collect(), cuts.schema)
     here = F.struct(F.col("_h"), F.col(key).alias("_key"))
-    # One row per class label: the broadcast is as small as the label set.
+    # One row per class label.
     return (hashed.join(F.broadcast(cuts), hashed[label] == cuts["_label"], "left")
             .withColumn("split", F.when(here <= F.col("_train"), "train")
                         .when(here <= F.col("_val"), "val").otherwise("test"))

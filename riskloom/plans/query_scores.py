@@ -143,5 +143,4 @@ def train_and_evaluate(spark, base):
     """Train on the curated documents and measure on the test split (no SQL form)."""
     rows = curate.normalise(curate.resolve_copies(_parity(spark, base)), language=F.lit("py"))
     curated = jobs.settle(rows.select("ord", "label", "tokens"), "curated")
-    split = jobs.settle(curate.stratified_split(curated, "ord"), "training")
-    return jobs.train_and_evaluate(split)[1]
+    return jobs.train_and_evaluate(curate.stratified_split(curated, "ord"))[1]

@@ -212,3 +212,15 @@ def test_metrics_files_of_a_training(spark, tmp_path):
     report = spark.read.json(f"{tmp_path}/training_report").first()
     assert report["test_f1"] == row["f1"] and report["training_time_seconds"] > 0
     assert spark.read.parquet(f"{tmp_path}/epochs").count() == 4
+
+
+def test_rows_are_packed_in_blocks(spark):
+    rows = [(True, 1, [3, 3, 70_000]), (False, 0, []), (True, 0, [5] * 300 + [3])]
+    df = spark.createDataFrame(rows, "is_train boolean, label int, features array<int>").coalesce(1)
+    batch = trainer.packed_rows(df).toArrow().to_batches()[0]
+    block, = trainer._unpacked(batch)
+    assert [*zip(block["feature"], block["row"], block["counts"])] == [(3, 0, 2), (3, 2, 1), (5, 2, 300), (70_000, 0, 1)]
+    assert (block["train"].tolist(), block["positive"].tolist()) == ([1, 0, 1], [1, 0, 0])
+    inverse, kinds = trainer.inverse_frequencies(trainer.packed_rows(df), 16)
+    assert kinds == {(False, False): 1, (False, True): 0, (True, False): 1, (True, True): 1}
+    assert inverse[3] == 0 and inverse[5] == 0 and not inverse.any()
