@@ -286,7 +286,7 @@ def vocabulary(spark, base):
     spots="SELECT doc_id, unnest(toks[1:200]) AS token, generate_subscripts(toks[1:200], 1) AS "
           "pos FROM tokenised"))
 def encode_pad(spark, base):
-    tokens = _tokenised(spark, base).select("doc_id", "tokens")
+    tokens = jobs.settle(_tokenised(spark, base).select("doc_id", "tokens"), "tokens")
     vocab = curate.build_vocabulary(tokens, max_size=VOCABULARY_SIZE)
     return curate.encode_tokens(tokens, vocab, "doc_id").select(
         "doc_id", F.array_join(F.transform("features", lambda i: i.cast("string")), " ")
@@ -395,7 +395,7 @@ def path_display(spark, base):
 def attribution_topk(spark, base):
     """Tokens of a document by share of all their occurrences."""
 
-    tokens = _tokenised(spark, base).select("doc_id", "tokens")
+    tokens = jobs.settle(_tokenised(spark, base).select("doc_id", "tokens"), "tokens")
     weights = curate.token_frequency(tokens).withColumn("weight", F.lit(1.0) / F.col("n"))
     weighted = model.token_weights(tokens, weights, "doc_id", count="n")
     top = weighted.withColumn("tokens", detect.ranked_tokens(F.col("token_weights")))

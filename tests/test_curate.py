@@ -207,3 +207,13 @@ def test_a_cut_is_refined_until_few_rows_are_ranked(spark):
     # Repeated keys cannot be told apart by digits: the search ends all the same.
     same = spark.createDataFrame([(7, True)] * 40, "id long, label boolean")
     assert curate.stratified_split(same, "id", digits=16, most=1).count() == 40
+
+
+def test_queries_of_two_passes_write_their_tokens_once(spark, monkeypatch):
+    import __spark_entry__ as entry
+    from riskloom.plans import jobs
+    written, settle = [], jobs.settle
+    monkeypatch.setattr(jobs, "settle", lambda df, name: written.append(name) or settle(df, name))
+    for name in ("encode_pad", "attribution_topk"):
+        entry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert written == ["tokens", "tokens"]
