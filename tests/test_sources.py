@@ -214,3 +214,11 @@ def test_line_and_csv_sinks(spark, tmp_path):
     sinks.write_vocabulary(corpus.default_vocabulary(spark), str(tmp_path / "v"))
     assert spark.read.parquet(str(tmp_path / "v")).count() == 100
     assert curate.value_counts(enc, "split").first()["n"] == 1
+
+
+def test_only_the_wanted_fields_of_stored_findings(spark):
+    doc = '{"first_position": 5, "functions": [{"start_line": 3, "remediation": {"title": "t"}, "function_name": "f"}]}'
+    df = spark.createDataFrame([(1, doc), (2, "{}")], "id long, scan_result_json string")
+    got = corpus.parse_stored_scan(df, fields=("function_name", "start_line"))
+    assert got.columns == ["scan_id", "ord", "function_name", "start_line"]
+    assert [tuple(r) for r in got.collect()] == [(1, 5, "f", 3)]
