@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import text
-from ..operators import curate, detect, model
+from ..operators import curate, detect, model, skew
 from . import jobs
 from . import tables as t
 from .registry import query
@@ -398,6 +398,6 @@ def attribution_topk(spark, base):
     tokens = jobs.settle(_tokenised(spark, base).select("doc_id", "tokens"), "tokens")
     weights = curate.token_frequency(tokens).withColumn("weight", F.lit(1.0) / F.col("n"))
     weighted = model.token_weights(tokens, weights, "doc_id", count="n")
-    top = weighted.withColumn("tokens", detect.ranked_tokens(F.col("token_weights")))
+    top = skew.compute_once(weighted, tokens=detect.ranked_tokens(F.col("token_weights")))
     return top.where(F.size("tokens") > 0).select("doc_id", F.array_join("tokens", " ")
                                                   .alias("tokens"))

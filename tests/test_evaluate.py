@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.operators import evaluate, model, trainer
+from riskloom.operators import detect, evaluate, model, trainer
 from riskloom.plans import jobs
 from riskloom.sources import corpus
 
@@ -125,6 +125,56 @@ def test_token_weights(spark):
             (1, "a", 1.0), (1, "b", 3.0), (2, "c", 0.0)]
 
 
+def test_only_rare_tokens_are_joined_one_by_one(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(rng.choice([None, *range(40)]), rng.choices([None, *(f"t{int(rng.paretovariate(0.7))}" for _ in range(9))],
+                                                         k=rng.randrange(12))) for _ in range(150)] + [(3, None), (99, [])]
+    df = spark.createDataFrame(rows, "id int, tokens array<string>")
+    found = Counter(t for _, tokens in rows for t in tokens or () if t is not None)
+    table = [(t, None if n == 2 else 1 / n, n) for t, n in found.items() if n != 3] + [(None, 7.0, 1000)]
+    weights = spark.createDataFrame(table, "token string, weight double, n long")
+    known = {t: w or 0.0 for t, w, _ in table if t is not None}
+    expected = {}
+    for key, tokens in rows:
+        for pos, token in enumerate(tokens or ()):
+            times, first = expected.setdefault(key, {}).get(token, (0, pos))
+            expected[key][token] = (times + 1, min(first, pos))
+    joined, join = [], model.salted_join
+    monkeypatch.setattr(model, "salted_join", lambda big, *args: joined.append(big.count()) or join(big, *args))
+
+    def check(count="n"):
+        got = model.token_weights(df, weights if count else weights.drop("n"), "id", count=count).collect()
+        assert len(got) == len(expected)
+        for r in got:
+            spots = {w["token"]: (w["weight"], w["pos"]) for w in r["token_weights"]}
+            assert len(spots) == len(r["token_weights"])
+            assert spots == {t: (known.get(t, 0.0) * times, first) for t, (times, first) in expected[r["id"]].items()}
+
+    check()
+    assert joined.pop() == sum(n for n in found.values() if n == 3)     # they have no weight
+    monkeypatch.setattr(model, "BLOCK_TOKENS", 7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    check()
+    monkeypatch.setattr(model, "COMMON_TOKENS", 4)
+    check()
+    assert 0 < joined[-1] < found.total() - 4
+    monkeypatch.setattr(model, "COMMON_TOKENS", 0)
+    check()
+    check(None)
+    assert joined[-2:] == [found.total()] * 2
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_ranked_tokens_look_past_the_heaviest(spark):
+    """Light long tokens behind many heavy ones that are short, markers or repeats; no weights; ties."""
+    many = [("ab", 9.0, i) for i in range(30)] + [("<STR>", 8.0, 1), ("same", 7.0, 2), ("same", 7.0, 3)]
+    rows = [(1, [*many, ("low", 0.5, 4), ("nought", None, 5)]), (2, [(f"t{i:02}", 1.0, i) for i in range(60)]),
+            (3, []), (4, None)]
+    df = spark.createDataFrame(rows, "id int, w array<struct<token string, weight double, pos int>>")
+    got = {r["id"]: r["t"] for r in df.select("id", detect.ranked_tokens(F.col("w")).alias("t")).collect()}
+    assert got == {1: ["same", "low", "nought"], 2: ["t59", "t58", "t57", "t56", "t55"], 3: [], 4: None}
+
+
 def test_training_query_trains_with_the_operators_defaults(spark, monkeypatch):
     import __spark_entry__ as entry
     trained = []
