@@ -97,9 +97,8 @@ def token_weights(df: DataFrame, weights: DataFrame, key: str, tokens: str = "to
     weights = settle(weights.select("token", kept, *[count] if count else []), "weights")
     common = _common(weights, count)
     local = weights.where(common).select("token", F.coalesce("weight", F.lit(0.0)).alias("weight")).toArrow()
-    sent = df.sparkSession.createDataFrame(local.select(["token"]), "token string")
     rare = (df.select(key, F.explode(tokens).alias("token")).where("token IS NOT NULL")
-            .join(F.broadcast(sent), "token", "left_anti"))
+            .join(F.broadcast(weights.where(common).select("token")), "token", "left_anti"))
     found = salted_join(rare, weights.where(~common), ["token"], "inner", [key], count).select(
         F.col(key).alias("_key"), F.array("token").alias("tokens"), F.coalesce("weight", F.lit(0.0)).alias("weight"))
     rows = df.select(F.col(key).alias("_key"), F.col(tokens).alias("tokens"), F.lit(None).cast("double").alias("weight"))
